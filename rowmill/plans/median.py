@@ -1,0 +1,47 @@
+"""Exact median without holding a group's values in one task."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from rowmill.functions.columns import col, columns_of, is_missing
+from rowmill.plans.hot_ranges import ROWS_PER_TASK, Order, split
+
+VALUE, COUNT, UPTO, ALL = "_value", "_count", "_upto", "_all"
+
+
+def exact_median(
+    df: DataFrame, group_columns: list[str] | str | None, column: str, result_column: str = "median",
+    rows_per_task: int = ROWS_PER_TASK,
+) -> DataFrame:
+    """One row per group with a value: keys and median.
+
+    Values are counted first (combined on the map side), then ranked by running
+    count over sorted distinct values, where hot groups are cut into ranges.
+    """
+    keys = columns_of(group_columns)
+    value = col(column).cast("double")
+    counted = (
+        df.filter(~is_missing(df, column))
+        .groupBy(*[col(k) for k in keys], value.alias(VALUE))
+        .agg(F.count(F.lit(1)).alias(COUNT))
+    )
+    parts = split(counted, keys, [Order(VALUE)], rows_per_task)
+    rows = parts.totals(parts.rows, {ALL: F.sum(COUNT)})
+    upto = F.sum(COUNT).over(parts.running)
+    if parts.hot:
+        rows = parts.carry(rows, {"_carried": F.sum(COUNT)})
+        upto = upto + F.coalesce(F.col("_carried"), F.lit(0))
+    rows = rows.withColumn(UPTO, upto)
+    first = F.col(UPTO) - F.col(COUNT)
+    low, high = F.floor((F.col(ALL) - 1) / 2), F.floor(F.col(ALL) / 2)
+
+    def covers(rank):
+        return (first <= rank) & (rank < F.col(UPTO))
+
+    middle = rows.filter(covers(low) | covers(high))
+    median = (F.max(F.when(covers(low), F.col(VALUE))) + F.max(F.when(covers(high), F.col(VALUE)))) / 2
+    if not keys:
+        return middle.agg(median.alias(result_column))
+    return middle.groupBy(*[col(k) for k in keys]).agg(median.alias(result_column))
