@@ -62,10 +62,9 @@ def keep_latest_per_group(
         latest = dated.withColumn("_place", F.row_number().over(window)).filter(F.col("_place") == 1)
         known = fail_if(F.col("_date").isNull(), message, F.lit(True))
         return latest.filter(known).drop("_place", "_date")
-    newest = F.max("_date")
     names = {k: f"_latest_key{i}" for i, k in enumerate(keys)}
-    newest_per_group = dated.groupBy(*[col(k).alias(n) for k, n in names.items()]).agg(
-        fail_if(newest.isNull(), message, newest).alias("_newest")
-    )
-    match = [col(k).eqNullSafe(F.col(n)) for k, n in names.items()] + [F.col("_date") == F.col("_newest")]
-    return dated.join(newest_per_group, match, "inner").drop(*names.values(), "_newest", "_date")
+    newest = dated.groupBy(*[col(k).alias(n) for k, n in names.items()]).agg(F.max("_date").alias("_newest"))
+    match = [col(k).eqNullSafe(F.col(n)) for k, n in names.items()]
+    joined = dated.join(newest, match, "left")
+    latest = joined.filter(fail_if(F.col("_newest").isNull(), message, F.col("_date") == F.col("_newest")))
+    return latest.drop(*names.values(), "_newest", "_date")
