@@ -101,13 +101,12 @@ def highlight_extremes(
     message = f"column {column} has no numbers to highlight"
     if mode in ("max", "min"):
         limit = numbers.agg((F.max if largest else F.min)("_number")).scalar()
-        test = value == fail_if(limit.isNull(), message, limit)
+        test = fail_if(limit.isNull(), message, value == limit)
     elif include_ties:
         # The sort key alone is carried to the top-n step.
         best = numbers.select("_number").orderBy(F.desc("_number") if largest else F.asc("_number")).limit(n)
         limit = best.agg((F.min if largest else F.max)("_number")).scalar()
-        limit = fail_if(limit.isNull(), message, limit)
-        test = value >= limit if largest else value <= limit
+        test = fail_if(limit.isNull(), message, value >= limit if largest else value <= limit)
     else:
         order = top_order(numbers, "_number", largest, order_columns)
         if len(order) < 2:
@@ -119,7 +118,7 @@ def highlight_extremes(
         place = F.struct(size, *[F.struct(is_missing(df, x), col(x)) for x in names[1:]])
         last = best.agg(F.max(place)).scalar()
         mine = F.struct(value if not largest else -value, *[F.struct(is_missing(df, x), col(x)) for x in names[1:]])
-        test = value.isNotNull() & (mine <= fail_if(last.isNull(), message, last))
+        test = fail_if(last.isNull(), message, value.isNotNull() & (mine <= last))
     return _paint(df, as_flag(test), color, _names([column]))
 
 
@@ -177,10 +176,10 @@ def color_scale(
     else:
         stats = numbers.agg(F.struct(*ends, F.median("_number").alias("middle"))).scalar()
         low, high, middle = stats["low"], stats["high"], stats["middle"]
-    low = fail_if(low.isNull(), f"column {column} has no numbers for a colour scale", low)
     below = F.try_divide(value - middle, middle - low)
     above = F.try_divide(value - middle, high - middle)
     position = F.coalesce(F.when(value <= middle, below).otherwise(above), F.when(value.isNotNull(), F.lit(0.0)))
+    position = fail_if(low.isNull(), f"column {column} has no numbers for a colour scale", position)
     place, shade = position_column or f"{column}_scale", color_column or f"{column}_color"
     df = df.withColumn(place, position)
     start, mid, end = PALETTES[palette]
