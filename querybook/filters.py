@@ -19,7 +19,7 @@ _CONDITIONS = {
     "not_equal": ("status", "!=", "F", "status IS DISTINCT FROM 'F'"),
     "greater": ("o_totalprice", ">", 250000, "o_totalprice > 250000"),
     "at_least": ("o_totalprice", ">=", 250000.5, "o_totalprice >= 250000.5"),
-    "less": ("o_totalprice", "<", 1000, "o_totalprice < 1000"),
+    "less": ("o_totalprice", "<", 20000, "o_totalprice < 20000"),
     "at_most": ("o_totalprice", "<=", 90000, "o_totalprice <= 90000"),
     "between": ("o_totalprice", "between", [1000, 50000], "o_totalprice BETWEEN 1000 AND 50000"),
     "in": ("status", "in", ["O", "X"], "status IN ('O', 'X')"),

@@ -65,7 +65,7 @@ for _operator, _expression in _CALCULATIONS.items():
     _calculation(_operator, _expression)
 
 
-@query("SELECT p_partkey, p_size + 10 AS larger FROM part")
+@query("SELECT p_partkey, CAST(p_size + 10 AS BIGINT) AS larger FROM part")
 def calculate_column_with_a_constant(t):
     df = rm.calculate_column(t("part"), "larger", "add", "p_size", value=10)
     return rm.select_columns(df, ["p_partkey", "larger"])

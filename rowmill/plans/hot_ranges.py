@@ -26,14 +26,15 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rowmill.functions.columns import col, columns_of, is_floating, is_missing, require_columns, type_of
+from rowmill.functions.columns import col, columns_of, is_floating, is_missing, kind, require_columns, type_of
 
 ROWS_PER_TASK = 2_000_000
 MAX_RANGES = 10_000  # also bounds every table that is broadcast here
 SAMPLES_PER_RANGE = 100
 SOURCE_FILE, SOURCE_BLOCK, SOURCE_ROW = "_source_file", "_source_block", "_source_row"
 
-RANGE, HOT, BOUNDS = "_range", "_hot", "_bounds"
+RANGE, HOT = "_range", "_hot"
+JSON_OPTIONS = {"timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
 
 
 @dataclass(frozen=True)
@@ -149,70 +150,83 @@ class Split:
         return df.drop(RANGE, HOT, *extra)
 
 
-def _fields(df: DataFrame, order: Sequence[Order], prefix: str) -> list[Column]:
-    """Null flag and value of every order column, so that null sorts last."""
-    result = []
-    for i, item in enumerate(order):
+def _turned(c: Column, data_type: T.DataType) -> Column | None:
+    """A value that sorts the other way round, or None where there is none."""
+    if isinstance(data_type, T.IntegralType):
+        return F.bitwise_not(c)
+    if kind(data_type) == "number":
+        return -c
+    if isinstance(data_type, T.BooleanType):
+        return ~c
+    if isinstance(data_type, T.DateType):
+        return -F.datediff(c, F.lit("1970-01-01").cast("date"))
+    if kind(data_type) == "datetime":
+        since = c.cast("timestamp_ntz") - F.lit("1970-01-01").cast("timestamp_ntz")
+        return -since.cast("interval second").cast("decimal(20,6)")
+    return None
+
+
+def _fields(df: DataFrame, keys: Sequence[str], order: Sequence[Order]) -> tuple[list[Column], bool]:
+    """Group and order as fields that compare one by one, and whether they ascend.
+
+    Each column gives a null flag, so that null comes last, and its value. When
+    directions are mixed, values are turned. A text cannot be; it sets the
+    direction, and a second text in the other one ends the fields.
+    """
+    fixed = [o.ascending for o in order if _turned(col(o.column), type_of(df, o.column)) is None]
+    ascending = fixed[0] if fixed else any(o.ascending for o in order)
+    result: list[Column] = []
+    for i, item in enumerate([*[Order(k, ascending) for k in keys], *order]):
         missing = is_missing(df, item.column)
-        value = F.when(~missing, col(item.column))
-        result += [missing.alias(f"{prefix}n{i}"), value.alias(f"{prefix}v{i}")]
-    return result
-
-
-def _before(bound: Column, key: Sequence[Column], order: Sequence[Order]) -> Column:
-    """Whether a bound sorts before a row's key, in the direction of each column."""
-    test = F.lit(False)
-    for i in reversed(range(len(order))):
-        n, v = bound[f"n{i}"], bound[f"v{i}"]
-        row_n, row_v = key[2 * i], key[2 * i + 1]
-        ahead = F.coalesce(v < row_v if order[i].ascending else v > row_v, F.lit(False))
-        test = (n < row_n) | ((n == row_n) & (ahead | (v.eqNullSafe(row_v) & test)))
-    return test
+        value: Column | None = F.when(~missing, col(item.column))
+        if item.ascending != ascending:
+            value = _turned(value, type_of(df, item.column))
+        if value is None:
+            break
+        result += [(missing if ascending else ~missing).alias(f"n{i}"), value.alias(f"v{i}")]
+    return result, ascending
+
+
+def _place(bounds: Column, steps: int, fields: Sequence[Column]) -> Column:
+    """Number of bounds below the row's key, by binary search in a constant array."""
+    jumps = F.array(*[F.lit(2**i) for i in reversed(range(steps))])
+
+    def search(key: Column) -> Column:
+        return F.aggregate(
+            jumps, F.lit(0), lambda at, jump: at + F.when(F.get(bounds, at + jump - 1) < key, jump).otherwise(F.lit(0))
+        )
 
+    # `transform` over one element computes the key once for all steps.
+    return F.get(F.transform(F.array(F.struct(*fields)), search), F.lit(0))
 
-def _range_of(bounds: Column, steps: int, key: Sequence[Column], order: Sequence[Order]) -> Column:
-    """Number of bounds before the row's key, by binary search."""
 
-    def step(position: Column, exponent: Column) -> Column:
-        jump = F.pow(F.lit(2), exponent).cast("int")
-        hit = F.coalesce(_before(F.get(bounds, position + jump - 1), key, order), F.lit(False))
-        return F.when(hit, position + jump).otherwise(position)
+def _same_group(bound: Column, key: Sequence[Column], groups: int) -> Column:
+    test = bound.isNotNull()
+    for i in range(groups):
+        test = test & (bound[f"n{i}"] == key[2 * i]) & bound[f"v{i}"].eqNullSafe(key[2 * i + 1])
+    return F.coalesce(test, F.lit(False))
 
-    return F.aggregate(F.sequence(F.lit(steps - 1), F.lit(0), F.lit(-1)), F.lit(0), step)
 
+def _bounds(
+    df: DataFrame, groups: int, fields: Sequence[Column], total: int, rows_per_task: int,
+) -> tuple[Column, int]:
+    """Sorted range bounds of all hot groups as a constant array, and their number.
 
-def _bounds(df: DataFrame, keys: list[str], order: Sequence[Order], total: int, rows_per_task: int) -> DataFrame | None:
-    """One row per hot group with its sorted range bounds, or None without hot groups."""
+    The leading `groups` pairs of fields are the group. Bounds travel as JSON, so
+    one literal holds them and no row carries them.
+    """
     ranges = min(MAX_RANGES, math.ceil(total / rows_per_task))
     fraction = min(1.0, ranges * SAMPLES_PER_RANGE / total)
     per_range = max(1, int(fraction * total / ranges))
-    fields = _fields(df, order, "")
-    groups = [col(k).alias(f"_g{i}") for i, k in enumerate(keys)]
-    sample = df.select(*groups, *fields).sample(fraction, seed=7)
-    names = [f"_g{i}" for i in range(len(keys))]
-    sort = []
-    for i, item in enumerate(order):
-        v = F.col(f"v{i}")
-        sort += [F.col(f"n{i}"), v.asc() if item.ascending else v.desc()]
-    # The sample is at most MAX_RANGES * SAMPLES_PER_RANGE narrow rows in all.
-    numbered = sample.withColumn("_row", F.row_number().over(Window.partitionBy(*names).orderBy(*sort)))
-    cuts = numbered.filter(F.col("_row") % per_range == 0).drop("_row").orderBy(*names, *sort)
-    found = cuts.collect()  # at most MAX_RANGES rows
-    if not found:
-        return None
-    width = len(names)
-    grouped: dict[tuple, list[tuple]] = {}
-    for row in found:
-        bound = tuple(row[width:])
-        cell = grouped.setdefault(tuple(row[:width]), [])
-        if not cell or cell[-1] != bound:
-            cell.append(bound)
-    bound_type = T.StructType([f for f in cuts.schema.fields[width:]])
-    schema = T.StructType([
-        *[T.StructField(n, type_of(df, k), True) for n, k in zip(names, keys)],
-        T.StructField(BOUNDS, T.ArrayType(bound_type), False),
-    ])
-    return df.sparkSession.createDataFrame([(*g, b) for g, b in grouped.items()], schema)
+    sample = df.select(*fields).sample(fraction, seed=7)
+    group = sample.columns[: 2 * groups]
+    # The sample is at most about MAX_RANGES * SAMPLES_PER_RANGE narrow rows in all.
+    numbered = sample.withColumn("_row", F.row_number().over(Window.partitionBy(*group).orderBy(*sample.columns)))
+    cuts = numbered.filter(F.col("_row") % per_range == 0).drop("_row").orderBy(*sample.columns)
+    as_json = F.to_json(F.struct(*cuts.columns), JSON_OPTIONS).alias("json")
+    found = list(dict.fromkeys(row["json"] for row in cuts.select(as_json).collect()))  # at most MAX_RANGES rows
+    bound_type = T.ArrayType(T.StructType(cuts.schema.fields))
+    return F.from_json(F.lit("[" + ",".join(found) + "]"), bound_type, JSON_OPTIONS), len(found)
 
 
 def split(
@@ -228,17 +242,18 @@ def split(
     total = load.count()
     if total <= rows_per_task:
         return plain
-    table = _bounds(load, keys, order, total, rows_per_task)
-    if table is None:
+    fields, ascending = _fields(df, keys, order)
+    bounds, size = _bounds(load, len(keys), fields, total, rows_per_task)
+    if not size:
         return plain
-    steps = max(1, max(len(row[0]) for row in table.select(BOUNDS).collect()).bit_length())
+    rows = df.withColumn(RANGE, _place(bounds, size.bit_length(), fields))
     if keys:
-        match = [col(k).eqNullSafe(F.col(f"_g{i}")) for i, k in enumerate(keys)]
-        rows = df.join(F.broadcast(table), match, "left").drop(*[f"_g{i}" for i in range(len(keys))])
+        # A group is hot if one of the two bounds next to the row belongs to it; others are one range.
+        near = [F.get(bounds, F.col(RANGE) - 1), F.get(bounds, F.col(RANGE))]
+        rows = rows.withColumn(HOT, _same_group(near[0], fields, len(keys)) | _same_group(near[1], fields, len(keys)))
+        rows = rows.withColumn(RANGE, F.when(F.col(HOT), F.col(RANGE)).otherwise(F.lit(0)))
     else:
-        rows = df.withColumn(BOUNDS, table.select(BOUNDS).scalar())
-    key = _fields(df, order, "_k")
-    inside = _range_of(F.col(BOUNDS), steps, key, order)
-    is_hot = F.col(BOUNDS).isNotNull()
-    rows = rows.withColumns({RANGE: F.when(is_hot, inside).otherwise(F.lit(0)), HOT: is_hot}).drop(BOUNDS)
+        rows = rows.withColumn(HOT, F.lit(True))
+    if not ascending:
+        rows = rows.withColumn(RANGE, F.lit(size) - F.col(RANGE))
     return Split(rows, keys, order, True, sort_columns(df, order))

@@ -1,6 +1,8 @@
 """Ordered windows against pandas, on data with one hot group, ties and nulls."""
 
+import datetime as dt
 import random
+from decimal import Decimal
 
 import numpy as np
 import pandas as pd
@@ -147,3 +149,20 @@ def test_change_from_zero_is_infinite(spark):
     df = spark.createDataFrame([(1, 0.0), (2, 5.0), (3, 0.0), (4, 0.0), (5, -1.0)], "i bigint, n double")
     out = rm.percent_change(df, "n", order_columns="i")
     assert [r[2] for r in rows(out, order="i")] == [None, float("inf"), -100.0, None, float("-inf")]
+
+
+@pytest.mark.parametrize("make", [
+    lambda i: f"t{i % 7}", lambda i: dt.datetime(2026, 1, 1 + i % 7, i % 3), lambda i: dt.date(2026, 1, 1 + i % 7), lambda i: i % 3 == 0,
+    lambda i: Decimal(i % 7) / 4, lambda i: -(2**63) + i % 7,
+])
+@pytest.mark.parametrize("ascending", [True, False])
+def test_ranges_of_every_type(spark, make, ascending):
+    data = [(i, None if i % 11 == 0 else make(i)) for i in range(200)]
+    kind = {str: "string", dt.datetime: "timestamp_ntz", dt.date: "date", bool: "boolean", Decimal: "decimal(10,2)", int: "bigint"}
+    df = spark.createDataFrame(data, f"id bigint, v {kind[type(make(1))]}")
+    out = rm.rank_rows(df, "v", ascending=ascending, method="first", order_columns="id", rows_per_task=10)
+    ordered = sorted((r for r in data if r[1] is not None), key=lambda r: r[0])
+    ordered.sort(key=lambda r: r[1], reverse=not ascending)  # stable: ties stay by id
+    expected = {r[0]: float(n) for n, r in enumerate(ordered, start=1)} | {r[0]: None for r in data if r[1] is None}
+    assert by_id(out, "rank") == expected
+    assert split(df, None, [Order("v", ascending), Order("id")], 10).hot
