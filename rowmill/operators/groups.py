@@ -102,13 +102,19 @@ def group_aggregate(
             plain[name] = F.percentile_approx(or_null(df, column), 0.5).cast("double")
         else:
             plain[name] = aggregate(df, column, function)
-    if not medians or approximate or not needs_split(df, rows_per_task):
+    large = bool(medians) and not approximate and needs_split(df, rows_per_task)
+    apart = large or (bool(medians) and not approximate and any(i["function"] == "nunique" for i in aggregations))
+    if not apart:
         return _group(df, keys, **plain)
-    # The grouped table and the medians have one row per group, so they join without skew.
+    # Distinct counts group by value first, which would build a median buffer per value; so medians go apart.
+    # All parts have one row per group and join without skew.
     others = {n: c for n, c in plain.items() if n not in medians} or {"_rows": F.count(F.lit(1))}
     result = _group(df, keys, **others)
-    for name, column in medians.items():
-        part = exact_median(df, keys, column, name, rows_per_task=rows_per_task)
+    if large:
+        parts = [exact_median(df, keys, column, name, rows_per_task=rows_per_task) for name, column in medians.items()]
+    else:
+        parts = [_group(df, keys, **{n: plain[n] for n in medians})]
+    for part in parts:
         part = part.withColumnsRenamed({k: f"_right_{i}" for i, k in enumerate(keys)})
         match = [col(k).eqNullSafe(F.col(f"_right_{i}")) for i, k in enumerate(keys)]
         result = result.join(part, match, "left").drop(*[f"_right_{i}" for i in range(len(keys))])

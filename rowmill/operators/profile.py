@@ -20,7 +20,8 @@ def _value_counts(df: DataFrame, names: list[str], order: list[str]) -> DataFram
     cells = F.explode(F.array(*[
         F.struct(F.lit(i).alias("column_id"), to_text(df, n).alias("value")) for i, n in enumerate(names)
     ])).alias("cell")
-    place = F.struct(*[col(o) for o in order]) if order else None
+    # A single order column keeps the minimum in a hash aggregate; a struct needs a sorted one.
+    place = (col(order[0]) if len(order) == 1 else F.struct(*[col(o) for o in order])) if order else None
     base = df.select(cells, *([place.alias("place")] if order else []))
     base = base.select("cell.column_id", "cell.value", *(["place"] if order else [])).filter(F.col("value").isNotNull())
     counts = [F.count(F.lit(1)).alias("n")]
@@ -98,10 +99,10 @@ def profile_table(
     counted = _value_counts(df, names, order)
     per_column = counted.groupBy("column_id").agg(F.count(F.lit(1)).alias("unique_count"))
     samples = _first_values(counted, [F.col("place"), F.col("value")], SAMPLES, "sample_values", F.col("value"))
-    texts = [i for i, n in enumerate(names) if what[n] in ("text", "boolean")]
+    # All three read the same counts, whose shuffle is done once and reused.
     top = _first_values(
-        counted.filter(F.col("column_id").isin(texts)), [F.desc("n"), F.col("place"), F.col("value")], TOP_VALUES,
-        "top_values", F.struct(F.col("value"), F.col("n").alias("count")),
+        counted, [F.desc("n"), F.col("place"), F.col("value")], TOP_VALUES, "top_values",
+        F.struct(F.col("value"), F.col("n").alias("count")),
     )
     medians = _medians(df, names, numeric, rows_per_task)
     for part in (per_column, samples, top, medians):
@@ -112,7 +113,8 @@ def profile_table(
     def ratio(part):
         return rounded(F.try_divide(part.cast("double"), filled.cast("double")), 4)
 
-    repeated = unique <= F.greatest(F.lit(20), F.floor(filled / 2))
+    texts = [n for n in names if what[n] in ("text", "boolean")]
+    repeated = F.col("column").isin(texts) & (unique <= F.greatest(F.lit(20), F.floor(filled / 2)))
     is_text = F.col("numbers").isNotNull() & (filled > 0)
     return facts.select(
         "column", "type", F.col("rows").alias("row_count"), "missing_count", unique.alias("unique_count"),

@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from rowmill.functions.columns import (
     col, columns_of, is_missing, kind, or_null, require_columns, to_double, to_number, type_of,
 )
-from rowmill.plans.hot_ranges import ROWS_PER_TASK, SOURCE_ROW, Order, order_of, sort_columns, split
+from rowmill.plans.hot_ranges import ROWS_PER_TASK, SOURCE_ROW, Order, order_of, split
+from rowmill.plans.lineage import materialize
 
 RANK_METHODS = ("average", "min", "max", "first", "dense")
 
@@ -42,7 +43,7 @@ def _rank_by_value(df: DataFrame, keys: list[str], order: Order, method: str, re
         .groupBy(*[col(k) for k in keys], value.alias(name))
         .agg(F.count(F.lit(1)).alias(count))
     )
-    parts = split(counted, keys, [Order(name, order.ascending)], rows_per_task)
+    parts = split(materialize(counted), keys, [Order(name, order.ascending)], rows_per_task)
     rows, upto, distinct = parts.rows, F.sum(count).over(parts.running), F.row_number().over(parts.window)
     if parts.hot:
         rows = parts.carry(rows, {"_upto": F.sum(count), "_distinct": F.count(F.lit(1))})

@@ -33,7 +33,7 @@ MAX_RANGES = 10_000  # also bounds every table that is broadcast here
 SAMPLES_PER_RANGE = 100
 SOURCE_FILE, SOURCE_BLOCK, SOURCE_ROW = "_source_file", "_source_block", "_source_row"
 
-RANGE, HOT = "_range", "_hot"
+RANGE = "_range"  # place of the row's range within all ranges; -1 for rows of groups that stay whole
 JSON_OPTIONS = {"timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
 
 
@@ -82,8 +82,12 @@ class Split:
     rows: DataFrame
     keys: list[str]
     order: list[Order]
-    hot: bool = False
     sort: list[Column] = field(default_factory=list)
+    cut: Column | None = None  # test for rows of hot groups; None when no group is cut
+
+    @property
+    def hot(self) -> bool:
+        return self.cut is not None
 
     @property
     def window(self) -> WindowSpec:
@@ -97,7 +101,7 @@ class Split:
     def _hot_groups(self, totals: dict[str, Column], by_range: bool) -> DataFrame:
         names = [*[col(k) for k in self.keys], *([F.col(RANGE)] if by_range else [])]
         aggregates = [c.alias(n) for n, c in totals.items()]
-        hot = self.rows.filter(F.col(HOT))
+        hot = self.rows.filter(self.cut) if self.keys else self.rows
         return hot.groupBy(*names).agg(*aggregates) if names else hot.agg(*aggregates)
 
     def _attach(self, df: DataFrame, table: DataFrame, by_range: bool) -> DataFrame:
@@ -142,12 +146,12 @@ class Split:
         else:
             found = {n: table.select(h).scalar() for n, h in names.items()}
         df = df.withColumns({
-            n: F.when(F.col(HOT), found[n]).otherwise(c.over(within)) for n, c in totals.items()
+            n: F.when(self.cut, found[n]).otherwise(c.over(within)) for n, c in totals.items()
         })
         return df.drop(*names.values())
 
     def finish(self, df: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
-        return df.drop(RANGE, HOT, *extra)
+        return df.drop(RANGE, *extra)
 
 
 def _turned(c: Column, data_type: T.DataType) -> Column | None:
@@ -166,67 +170,59 @@ def _turned(c: Column, data_type: T.DataType) -> Column | None:
     return None
 
 
-def _fields(df: DataFrame, keys: Sequence[str], order: Sequence[Order]) -> tuple[list[Column], bool]:
-    """Group and order as fields that compare one by one, and whether they ascend.
+def _key(df: DataFrame, keys: Sequence[str], order: Sequence[Order]) -> tuple[Column, bool]:
+    """Group hash and order of a row as one comparable struct, and whether it ascends.
 
-    Each column gives a null flag, so that null comes last, and its value. When
-    directions are mixed, values are turned. A text cannot be; it sets the
-    direction, and a second text in the other one ends the fields.
+    Each order column gives a null flag, so that null comes last, and its value.
+    When directions are mixed, values are turned. A text cannot be; it sets the
+    direction, and a second text in the other one ends the key.
     """
     fixed = [o.ascending for o in order if _turned(col(o.column), type_of(df, o.column)) is None]
     ascending = fixed[0] if fixed else any(o.ascending for o in order)
-    result: list[Column] = []
-    for i, item in enumerate([*[Order(k, ascending) for k in keys], *order]):
+    fields: list[Column] = [_hash(keys).alias("h")] if keys else []
+    for i, item in enumerate(order):
         missing = is_missing(df, item.column)
         value: Column | None = F.when(~missing, col(item.column))
         if item.ascending != ascending:
             value = _turned(value, type_of(df, item.column))
         if value is None:
             break
-        result += [(missing if ascending else ~missing).alias(f"n{i}"), value.alias(f"v{i}")]
-    return result, ascending
+        fields += [(missing if ascending else ~missing).alias(f"n{i}"), value.alias(f"v{i}")]
+    return F.struct(*fields), ascending
+
+
+def _hash(keys: Sequence[str]) -> Column:
+    """Groups that share a hash share their bounds, which is harmless: bounds only cut, they never join."""
+    return F.xxhash64(*[col(k) for k in keys])
 
 
-def _place(bounds: Column, steps: int, fields: Sequence[Column]) -> Column:
-    """Number of bounds below the row's key, by binary search in a constant array."""
-    jumps = F.array(*[F.lit(2**i) for i in reversed(range(steps))])
+def _place(bounds: Column, size: int, key: Column, ascending: bool) -> Column:
+    """The range of a row: bounds below its key, by binary search in a constant array."""
+    jumps = F.array(*[F.lit(2**i) for i in reversed(range(size.bit_length()))])
 
-    def search(key: Column) -> Column:
+    def search(row: Column) -> Column:
         return F.aggregate(
-            jumps, F.lit(0), lambda at, jump: at + F.when(F.get(bounds, at + jump - 1) < key, jump).otherwise(F.lit(0))
+            jumps, F.lit(0), lambda at, jump: at + F.when(F.get(bounds, at + jump - 1) < row, jump).otherwise(F.lit(0))
         )
 
     # `transform` over one element computes the key once for all steps.
-    return F.get(F.transform(F.array(F.struct(*fields)), search), F.lit(0))
+    at = F.get(F.transform(F.array(key), search), F.lit(0))
+    return at if ascending else F.lit(size) - at
 
 
-def _same_group(bound: Column, key: Sequence[Column], groups: int) -> Column:
-    test = bound.isNotNull()
-    for i in range(groups):
-        test = test & (bound[f"n{i}"] == key[2 * i]) & bound[f"v{i}"].eqNullSafe(key[2 * i + 1])
-    return F.coalesce(test, F.lit(False))
-
-
-def _bounds(
-    df: DataFrame, groups: int, fields: Sequence[Column], total: int, rows_per_task: int,
-) -> tuple[Column, int]:
-    """Sorted range bounds of all hot groups as a constant array, and their number.
-
-    The leading `groups` pairs of fields are the group. Bounds travel as JSON, so
-    one literal holds them and no row carries them.
-    """
+def _bounds(df: DataFrame, grouped: bool, key: Column, total: int, rows_per_task: int) -> tuple[T.DataType, dict[str, int | None]]:
+    """Sorted range bounds of all hot groups as JSON texts, each with the hash of its group."""
     ranges = min(MAX_RANGES, math.ceil(total / rows_per_task))
     fraction = min(1.0, ranges * SAMPLES_PER_RANGE / total)
     per_range = max(1, int(fraction * total / ranges))
-    sample = df.select(*fields).sample(fraction, seed=7)
-    group = sample.columns[: 2 * groups]
+    sample = df.select(key.alias("key")).sample(fraction, seed=7)
     # The sample is at most about MAX_RANGES * SAMPLES_PER_RANGE narrow rows in all.
-    numbered = sample.withColumn("_row", F.row_number().over(Window.partitionBy(*group).orderBy(*sample.columns)))
-    cuts = numbered.filter(F.col("_row") % per_range == 0).drop("_row").orderBy(*sample.columns)
-    as_json = F.to_json(F.struct(*cuts.columns), JSON_OPTIONS).alias("json")
-    found = list(dict.fromkeys(row["json"] for row in cuts.select(as_json).collect()))  # at most MAX_RANGES rows
-    bound_type = T.ArrayType(T.StructType(cuts.schema.fields))
-    return F.from_json(F.lit("[" + ",".join(found) + "]"), bound_type, JSON_OPTIONS), len(found)
+    group = Window.partitionBy(*(["key.h"] if grouped else [])).orderBy("key")
+    numbered = sample.withColumn("_row", F.row_number().over(group))
+    cuts = numbered.filter(F.col("_row") % per_range == 0).orderBy("key")
+    hashed = F.col("key.h") if grouped else F.lit(None).cast("long")
+    found = cuts.select(F.to_json("key", JSON_OPTIONS).alias("json"), hashed.alias("h")).collect()  # at most MAX_RANGES rows
+    return sample.schema["key"].dataType, {row["json"]: row["h"] for row in found}
 
 
 def split(
@@ -237,23 +233,17 @@ def split(
     keys = columns_of(group_columns)
     require_columns(df, keys)
     order = list(order)
-    plain = Split(df, keys, order, False, sort_columns(df, order))
+    sort = sort_columns(df, order)
     load = df if only is None else df.filter(only)
     total = load.count()
     if total <= rows_per_task:
-        return plain
-    fields, ascending = _fields(df, keys, order)
-    bounds, size = _bounds(load, len(keys), fields, total, rows_per_task)
-    if not size:
-        return plain
-    rows = df.withColumn(RANGE, _place(bounds, size.bit_length(), fields))
-    if keys:
-        # A group is hot if one of the two bounds next to the row belongs to it; others are one range.
-        near = [F.get(bounds, F.col(RANGE) - 1), F.get(bounds, F.col(RANGE))]
-        rows = rows.withColumn(HOT, _same_group(near[0], fields, len(keys)) | _same_group(near[1], fields, len(keys)))
-        rows = rows.withColumn(RANGE, F.when(F.col(HOT), F.col(RANGE)).otherwise(F.lit(0)))
-    else:
-        rows = rows.withColumn(HOT, F.lit(True))
-    if not ascending:
-        rows = rows.withColumn(RANGE, F.lit(size) - F.col(RANGE))
-    return Split(rows, keys, order, True, sort_columns(df, order))
+        return Split(df, keys, order, sort)
+    key, ascending = _key(df, keys, order)
+    key_type, found = _bounds(load, bool(keys), key, total, rows_per_task)
+    if not found:
+        return Split(df, keys, order, sort)
+    # One literal holds all bounds; no row carries them.
+    bounds = F.from_json(F.lit("[" + ",".join(found) + "]"), T.ArrayType(key_type), JSON_OPTIONS)
+    cut = _hash(keys).isin(sorted(set(found.values()))) if keys else F.lit(True)
+    place = F.when(cut, _place(bounds, len(found), key, ascending)).otherwise(F.lit(-1))
+    return Split(df.withColumn(RANGE, place), keys, order, sort, cut)

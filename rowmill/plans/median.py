@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from rowmill.functions.columns import col, columns_of, is_missing
 from rowmill.plans.hot_ranges import ROWS_PER_TASK, Order, split
+from rowmill.plans.lineage import materialize
 
 VALUE, COUNT, UPTO, ALL = "_value", "_count", "_upto", "_all"
 
@@ -27,7 +28,8 @@ def exact_median(
         .groupBy(*[col(k) for k in keys], value.alias(VALUE))
         .agg(F.count(F.lit(1)).alias(COUNT))
     )
-    parts = split(counted, keys, [Order(VALUE)], rows_per_task)
+    # Bounds, carries, totals and rows all read the counts.
+    parts = split(materialize(counted), keys, [Order(VALUE)], rows_per_task)
     rows = parts.totals(parts.rows, {ALL: F.sum(COUNT)})
     upto = F.sum(COUNT).over(parts.running)
     if parts.hot:
