@@ -21,6 +21,7 @@ from rowmill.operators.numeric import rounded
 from rowmill.operators.sorting import top_order
 from rowmill.plans.hot_ranges import ROWS_PER_TASK, needs_split, sort_columns
 from rowmill.plans.median import exact_median
+from rowmill.plans.top import within_reach
 
 # Colours, display formats and colour scales.
 COLORS = {"red": "FFC7CE", "yellow": "FFEB9C", "green": "C6EFCE", "blue": "BDD7EE", "gray": "D9E1F2"}
@@ -83,7 +84,7 @@ def highlight_rows(
 
 def highlight_extremes(
     df: DataFrame, column: str, mode: str, color: str, n: int = 1, include_ties: bool = True,
-    order_columns: list[str] | str | None = None,
+    order_columns: list[str] | str | None = None, rows_per_task: int = ROWS_PER_TASK,
 ) -> DataFrame:
     """Largest or smallest values of a column.
 
@@ -98,6 +99,8 @@ def highlight_extremes(
     value = to_double(df, column)
     numbers = df.withColumn("_number", value).filter(F.col("_number").isNotNull())
     largest = mode in ("max", "top_n")
+    if mode in ("top_n", "bottom_n"):
+        numbers = within_reach(numbers, "_number", n, largest, rows_per_task)
     message = f"column {column} has no numbers to highlight"
     if mode in ("max", "min"):
         limit = numbers.agg((F.max if largest else F.min)("_number")).scalar()

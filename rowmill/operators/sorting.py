@@ -6,13 +6,18 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rowmill.functions.columns import checked_timestamp, col, columns_of, fail_if, require_columns, require_number
-from rowmill.plans.hot_ranges import Order, order_of, sort_columns, source_order
+from rowmill.plans.hot_ranges import ROWS_PER_TASK, Order, order_of, sort_columns, source_order
+from rowmill.plans.top import within_reach
 
 TOP_LIMIT = 100_000
 
 
 def sort_rows(df: DataFrame, columns: list[str] | str, ascending: list[bool] | bool = True) -> DataFrame:
-    """Sort with nulls last in both directions; keep it as the last step before the sink."""
+    """Sort with nulls last in both directions; keep it as the last step before the sink.
+
+    Ties are in no particular order. A hash of the row comes after the sort
+    columns, so that a value many rows share is spread over tasks like any other.
+    """
     names = columns_of(columns)
     require_columns(df, names)
     if not names:
@@ -20,7 +25,9 @@ def sort_rows(df: DataFrame, columns: list[str] | str, ascending: list[bool] | b
     directions = [ascending] * len(names) if isinstance(ascending, bool) else list(ascending)
     if len(directions) != len(names):
         raise ValueError("one direction per sort column is needed")
-    return df.orderBy(*sort_columns(df, [Order(n, a) for n, a in zip(names, directions)]))
+    keys = sort_columns(df, [Order(n, a) for n, a in zip(names, directions)])
+    others = [f.name for f in df.schema.fields if f.name not in names and "map<" not in f.dataType.simpleString()]
+    return df.orderBy(*keys, *([F.xxhash64(*[col(n) for n in others])] if others else []))
 
 
 def top_order(df: DataFrame, column: str, largest: bool, order_columns: list[str] | str | None) -> list[Order]:
@@ -32,12 +39,14 @@ def top_order(df: DataFrame, column: str, largest: bool, order_columns: list[str
 
 def select_top_n(
     df: DataFrame, column: str, n: int = 10, largest: bool = True, order_columns: list[str] | str | None = None,
+    rows_per_task: int = ROWS_PER_TASK,
 ) -> DataFrame:
     """The n rows with the largest or smallest number; `order_columns` decide ties."""
     require_number(df, [column])
     if isinstance(n, bool) or not isinstance(n, int) or not 1 <= n <= TOP_LIMIT:
         raise ValueError(f"n must be a whole number from 1 to {TOP_LIMIT}")
-    return df.orderBy(*sort_columns(df, top_order(df, column, largest, order_columns))).limit(n)
+    rows = within_reach(df, column, n, largest, rows_per_task)
+    return rows.orderBy(*sort_columns(df, top_order(df, column, largest, order_columns))).limit(n)
 
 
 def keep_latest_per_group(

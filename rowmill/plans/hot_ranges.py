@@ -29,8 +29,8 @@ from pyspark.sql import types as T
 from rowmill.functions.columns import col, columns_of, is_floating, is_missing, kind, require_columns, type_of
 
 ROWS_PER_TASK = 2_000_000
-MAX_RANGES = 10_000  # also bounds every table that is broadcast here
-SAMPLES_PER_RANGE = 100
+MAX_RANGES = 50_000  # also bounds every table that is broadcast here
+SAMPLES_PER_RANGE = 50
 SOURCE_FILE, SOURCE_BLOCK, SOURCE_ROW = "_source_file", "_source_block", "_source_row"
 
 RANGE = "_range"  # place of the row's range within all ranges; -1 for rows of groups that stay whole

@@ -2,8 +2,10 @@ import datetime as dt
 
 import pytest
 from pyspark.errors import PySparkException
+from pyspark.sql import functions as F
 
 import rowmill as rm
+from rowmill.plans.top import within_reach
 from tests.conftest import rows, values
 
 
@@ -112,6 +114,29 @@ def test_top_n(table):
         rm.select_top_n(table("s string", ("a",)), "s")
 
 
+@pytest.mark.parametrize("largest", [True, False])
+def test_long_top_n_of_many_rows(spark, largest):
+    df = spark.range(20_000).selectExpr("id", "pmod(id * 7919, 5003) AS x")
+    plain = rm.select_top_n(df, "x", 3000, largest, "id")
+    reached = rm.select_top_n(df, "x", 3000, largest, "id", rows_per_task=100)
+    assert sorted(rows(plain)) == sorted(rows(reached))
+    assert 3000 <= within_reach(df, "x", 3000, largest, 100).count() < 6000
+    # Fewer values than asked for: nulls fill up.
+    gaps = df.withColumn("x", F.when(F.col("id") % 10 == 0, F.col("x")))
+    assert rm.select_top_n(gaps, "x", 3000, largest, "id", rows_per_task=100).count() == 3000
+
+
+def test_sorting_spreads_a_common_value(spark):
+    df = spark.range(0, 20_000, 1, 4).selectExpr("id", "'same' AS g")
+    plain = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        sizes = [r[0] for r in rm.sort_rows(df, "g").groupBy(F.spark_partition_id()).count().select("count").collect()]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", plain)
+    assert len(sizes) == 4 and max(sizes) < 8000
+
+
 def test_latest_per_group(table):
     df = table(
         "customer string, date string, v int", ("A", "2026-01-01", 1), ("A", "2026-02-01", 2), ("A", "2026-02-01", 3),
