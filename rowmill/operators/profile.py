@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rowmill.functions.columns import (
-    col, is_missing, kind, parse_number, parse_timestamp, to_double, to_text, type_of,
+    col, is_missing, kind, parse_number, parse_timestamp, text_of, to_double, to_text, type_of,
 )
 from rowmill.operators.numeric import rounded
 from rowmill.plans.hot_ranges import ROWS_PER_TASK, needs_split
+from rowmill.plans.lineage import materialize
 from rowmill.plans.median import exact_median
 
 SAMPLES, TOP_VALUES = 3, 3
@@ -67,7 +68,7 @@ def profile_table(
             }.items():
                 scalars.append(value.alias(f"{stat}{i}"))
         elif what[name] == "datetime":
-            scalars += [F.min(to_text(df, name)).alias(f"first{i}"), F.max(to_text(df, name)).alias(f"last{i}")]
+            scalars += [F.min(col(name)).alias(f"first{i}"), F.max(col(name)).alias(f"last{i}")]
         elif what[name] == "text":
             number = parse_number(col(name)).isNotNull()
             date = parse_timestamp(col(name)).isNotNull() & ~number
@@ -89,22 +90,27 @@ def profile_table(
             F.col(f"missing{i}").alias("missing_count"),
             *[fact(n, s, null_double).alias(s) for s in ("min", "max", "sum", "mean")],
             fact(n, "zero", null_long).alias("zero_count"), fact(n, "negative", null_long).alias("negative_count"),
-            fact(n, "first", null_text).alias("min_date"), fact(n, "last", null_text).alias("max_date"),
+            *[
+                (text_of(F.col(f"{s}{i}"), type_of(df, n)) if what[n] == "datetime" else null_text).alias(a)
+                for s, a in (("first", "min_date"), ("last", "max_date"))
+            ],
             fact(n, "length", null_double).alias("length"),
             fact(n, "number", null_long).alias("numbers"), fact(n, "date", null_long).alias("dates"),
         )
         for i, n in enumerate(names)
     ]
     facts = one.select(F.explode(F.array(*rows)).alias("f")).select("f.*")
+    large = needs_split(df, rows_per_task)
     counted = _value_counts(df, names, order)
+    if large:
+        counted = materialize(counted)  # read three times below
     per_column = counted.groupBy("column_id").agg(F.count(F.lit(1)).alias("unique_count"))
     samples = _first_values(counted, [F.col("place"), F.col("value")], SAMPLES, "sample_values", F.col("value"))
-    # All three read the same counts, whose shuffle is done once and reused.
     top = _first_values(
         counted, [F.desc("n"), F.col("place"), F.col("value")], TOP_VALUES, "top_values",
         F.struct(F.col("value"), F.col("n").alias("count")),
     )
-    medians = _medians(df, names, numeric, rows_per_task)
+    medians = _medians(df, names, numeric, large, rows_per_task)
     for part in (per_column, samples, top, medians):
         facts = facts.join(F.broadcast(part), "column_id", "left")  # one row per column
     filled = F.col("rows") - F.col("missing_count")
@@ -128,10 +134,10 @@ def profile_table(
     )
 
 
-def _medians(df: DataFrame, names: list[str], numeric: list[str], rows_per_task: int) -> DataFrame:
+def _medians(df: DataFrame, names: list[str], numeric: list[str], large: bool, rows_per_task: int) -> DataFrame:
     if not numeric:
         return df.sparkSession.createDataFrame([], "column_id int, median double")
-    if needs_split(df, rows_per_task):
+    if large:
         cells = F.explode(F.array(*[
             F.struct(F.lit(names.index(n)).alias("column_id"), to_double(df, n).alias("value")) for n in numeric
         ])).alias("cell")

@@ -89,8 +89,9 @@ def rank_rows(
             rank = rank + F.coalesce(F.col("_carried"), F.lit(0))
         rank = rank.cast("double")
     else:
-        same = Window.partitionBy(*slots, or_null(df, column))
-        tied = F.count(F.lit(1)).over(same) if method in ("max", "average") else F.lit(1)
+        # Peers of the row, counted in the same sort as the rank.
+        peers = window.rangeBetween(Window.currentRow, Window.currentRow)
+        tied = F.count(F.lit(1)).over(peers) if method in ("max", "average") else F.lit(1)
         rank = _rank_expression(method, F.rank().over(window), tied, F.dense_rank().over(window))
     ranked = rows.withColumn(result_column, F.when(present, rank))
     return parts.finish(ranked, ["_aside", "_carried"])
