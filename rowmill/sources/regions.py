@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from rowmill.functions.columns import NOT_SPACE, parse_number, parse_timestamp, strip
 from rowmill.plans.hot_ranges import ROWS_PER_TASK, SOURCE_FILE, SOURCE_ROW, source_order, Order, split
+from rowmill.plans.lineage import materialize
 from rowmill.sources.load import ORIGIN_FILE, ORIGIN_TABLE, _with_position
 
 # How far headers are looked for, and how a header row is scored.
@@ -203,8 +204,9 @@ def find_table_regions(cells: DataFrame, declared: DataFrame | None = None) -> D
         - F.when(F.col("tagged"), TAG_PENALTY).otherwise(0.0)
     )
     # The row bonus is the only part missing; what cannot reach the limit with it is out.
-    scored = scored.withColumn("base", base).filter(F.col("base") + ROWS_WEIGHT * ROWS_CAP >= ACCEPTED_SCORE)
-    rows = _filled_rows(scored.select(*SPAN).distinct(), free)
+    # Few candidates remain; they and the rows of their spans are read by several branches below.
+    scored = materialize(scored.withColumn("base", base).filter(F.col("base") + ROWS_WEIGHT * ROWS_CAP >= ACCEPTED_SCORE))
+    rows = materialize(_filled_rows(scored.select(*SPAN).distinct(), free))
     ends = _last_rows(rows)
     ended = scored.join(ends, SPAN).filter(F.col("end_row") >= F.col("header_row"))
     ended = ended.groupBy(*SPAN, "header_row").agg(
