@@ -185,3 +185,14 @@ def find_filter_candidates(t):
 def find_filter_candidates_in_a_request(t):
     df = rm.find_filter_candidates(t("orders"), text="LOW, URGENT", columns=["o_orderpriority"], minimum_length=3)
     return df.drop("matched_values")
+
+
+@query("SELECT c_name, c_mktsegment, c_acctbal AS balance, c_custkey FROM customer")
+def cells_from_csv(t):
+    target = t.scratch()
+    headers = [*_HEADERS, "c_custkey"]
+    rm.write_result(t("customer").withColumnRenamed("c_acctbal", "balance").select(*headers), target, "csv")
+    cells = rm.cells_from_csv(t.spark, target, width=10)
+    df = rm.read_region(cells, rm.find_table_regions(cells), headers)
+    df = rm.convert_column_type(rm.convert_column_type(df, "balance", "number"), "c_custkey", "number")
+    return df.select("c_name", "c_mktsegment", "balance", F.col("c_custkey").cast("bigint").alias("c_custkey"))
