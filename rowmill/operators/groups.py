@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rowmill.functions.columns import (
-    col, columns_of, is_missing, kind, or_null, require_columns, require_number, text_of, to_text, type_of,
+    col, columns_of, is_missing, or_null, require_columns, require_number, text_of, to_text, type_of,
     typed_literal,
 )
 from rowmill.plans.median import exact_median

@@ -6,8 +6,6 @@ ranges (see `rowmill.plans.hot_ranges`); `rows_per_task` sets that size.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
