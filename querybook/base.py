@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from rowmill.plans.lineage import shared_folder
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -25,9 +26,8 @@ class Tables:
         return self.spark.read.parquet(self.path(table))
 
     def scratch(self) -> str:
-        """A new folder that all executors see: under the cluster's checkpoint folder where one is named."""
-        shared = self.spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="rowmill-")
-        return f"{shared.rstrip('/')}/rowmill-{uuid.uuid4().hex}"
+        """A new folder that all executors see."""
+        return f"{shared_folder(self.spark)}/rowmill-{uuid.uuid4().hex}"
 
 
 def query(sql: str | None = None, name: str | None = None):
