@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowmill.llm import bitplanes, mixing, packing, shards
+from rowmill.llm import bitplanes, mixing, outliers, packing, shards
 from rowmill.llm.words import word_count
 from rowmill.plans.lineage import shared_folder
 
@@ -72,6 +72,12 @@ def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(spark.read.parquet(f"{sf_dir}/documents.parquet"), word_count(F.col("text")))
 
 
+@query()
+def op6_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = outliers.quality_rules(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return judged.select("doc_id", *outliers.STATISTICS, "base_failed", "kept", "distance")
+
+
 @query()
 def op9_bit_plane_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_folder(spark)}/token-files-{uuid.uuid4().hex}"
