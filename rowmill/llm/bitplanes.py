@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rowmill.llm.tokens import TextEncoder, slices
+from rowmill.llm.tokens import slices, text_encoder
 
 MAGIC = b"RMBP"
 CHUNKS = "shard int, chunk int, n_ids int, keys array<bigint>, lengths array<int>, continued boolean, unfinished boolean, payload binary"
@@ -79,7 +79,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int, c
     def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        shard, encode = TaskContext.get().partitionId(), TextEncoder(tokenizer)
+        shard, encode = TaskContext.get().partitionId(), text_encoder(tokenizer)
         writer = _ChunkWriter(shard, chunk_ids, planes)
         for batch in batches:
             keys, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rowmill.llm.tokens import TextEncoder, slices
+from rowmill.llm.tokens import slices, text_encoder
 from rowmill.plans.lineage import written
 
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
@@ -34,7 +34,7 @@ def cut_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = 409
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = TextEncoder(tokenizer)
+        encode = text_encoder(tokenizer)
         for batch in batches:
             keys, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
             for a, z in slices([len(t or b"") for t in texts]):

@@ -120,6 +120,12 @@ class TextEncoder:
         return out, np.diff(upto, prepend=0)
 
 
+@lru_cache(maxsize=4)
+def text_encoder(path: str) -> TextEncoder:
+    """The worker's encoder for a tokenizer file; it keeps its words from task to task."""
+    return TextEncoder(path)
+
+
 def slices(sizes: list[int], limit: int = SLICE_BYTES):
     """Ranges of neighbours whose sizes add up to about the limit; one larger item stands alone."""
     start = total = 0
