@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowmill.llm import bitplanes, mixing, outliers, packing, shards
+from rowmill.llm import bitplanes, mixing, neardup, outliers, packing, shards
 from rowmill.llm.words import word_count
 from rowmill.plans.lineage import shared_folder
 
@@ -43,6 +43,11 @@ def op2_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+@query()
+def op3_hyperminhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), width=4)
+
+
 OP5_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size, substr(md5('mix|' || coalesce(doc_id::VARCHAR, '')), 1, 15) AS h FROM documents
