@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowmill.llm import bitplanes, mixing, neardup, outliers, packing, shards, toxicity
+from rowmill.llm import bitplanes, mincut, mixing, neardup, outliers, packing, shards, toxicity
 from rowmill.llm.words import word_count
 from rowmill.plans.lineage import shared_folder
 
@@ -91,6 +91,13 @@ def op6_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *outliers.STATISTICS, "base_failed", "kept", "distance")
 
 
+@query()
+def op8_min_cut_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    text = mincut.extract_main_text(pages, mincut.fit(pages))
+    return text.withColumn("n_chars", F.length("text").cast("long"))
+
+
 @query()
 def op9_bit_plane_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_folder(spark)}/token-files-{uuid.uuid4().hex}"
