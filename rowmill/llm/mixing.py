@@ -49,7 +49,7 @@ def _join_sources(rows: DataFrame, per_source: DataFrame, few: bool, how: str =
     return rows.join(F.broadcast(per_source) if few else per_source, rows["source"].eqNullSafe(F.col("source_")), how).drop("source_")
 
 
-def mix(docs: DataFrame, size: Column, most: float = 3.0, key: str = "doc_id") -> DataFrame:
+def mix(docs: DataFrame, size: Column, most: float = 3.0, key: str = "doc_id", carry: list[str] | None = None) -> DataFrame:
     """Every row of `docs` (`key`, source) with size, source_size, target and taken.
 
     `taken` is size times a whole number from 0 to `most` (rounded down), chosen so
@@ -57,14 +57,16 @@ def mix(docs: DataFrame, size: Column, most: float = 3.0, key: str = "doc_id") -
     of its documents allows: within half a document. Reruns, and tables stored in
     another way, give the same. A null key is a key; rows of equal key and source
     follow each other. Sources of size 0, null texts and empty tables take nothing.
-    Only the key, the source and what `size` needs are read.
+    Only the key, the source, what `size` needs and the columns in `carry` are read and
+    returned.
     """
+    carry = carry or []
     digest = F.substring(F.md5(F.concat_ws("|", F.lit("mix"), F.coalesce(F.col(key).cast("string"), F.lit("")))), 1, 15)
-    sized = docs.select(F.col(key).alias("key"), F.col("source").cast("string").alias("source"), size.cast("long").alias("size"), digest.alias("h"))
+    sized = docs.select(F.col(key).alias("key"), *carry, F.col("source").cast("string").alias("source"), size.cast("long").alias("size"), digest.alias("h"))
     # the code counts a row's place in the written table last: it parts rows that are equal in all that is returned
     rows = written(sized, "mixing").withColumn("place", F.monotonically_increasing_id())
     hex16 = lambda number: F.lpad(F.hex(number), 16, "0")
-    rows = rows.select("key", "source", "size", F.concat("h", hex16(F.col("size")), hex16(F.xxhash64("place"))).alias("code"))
+    rows = rows.select("key", *carry, "source", "size", F.concat("h", hex16(F.col("size")), hex16(F.xxhash64("place"))).alias("code"))
     per_source = written(budgets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), most), "budgets")
     few = per_source.count() <= BROADCAST_SOURCES
     # whole rounds that the budget covers, and the rest that a threshold must meet
@@ -93,4 +95,4 @@ def mix(docs: DataFrame, size: Column, most: float = 3.0, key: str = "doc_id") -
     # no last bucket: the rest is nothing, or by rounding all of the source
     extra = F.when(F.col("prefix").isNull(), F.col("rest") >= F.greatest(F.col("source_size"), F.lit(1))).otherwise(below)
     taken = F.col("size") * (F.col("times") + extra.cast("long"))
-    return joined.select(F.col("key").alias(key), "source", "size", "source_size", "target", taken.alias("taken"))
+    return joined.select(F.col("key").alias(key), *carry, "source", "size", "source_size", "target", taken.alias("taken"))

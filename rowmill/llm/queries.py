@@ -8,7 +8,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowmill.llm import bitplanes, mincut, mixing, neardup, outliers, packing, shards, topk, toxicity
+import corpus_pipeline
+from rowmill.llm import bitplanes, mincut, mixing, neardup, outliers, packing, shards, topk, toxicity, weaklabels
+from rowmill.llm.tokens import word_tokenizer
 from rowmill.llm.words import word_count
 from rowmill.plans.lineage import shared_folder
 
@@ -28,12 +30,6 @@ def query(sql: str | None = None):
     return register
 
 
-def word_tokenizer() -> str:
-    import public_tokenizers
-
-    return public_tokenizers.path("word_bpe_49k.json")
-
-
 OP1_SQL = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
@@ -111,6 +107,13 @@ def op6_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *outliers.STATISTICS, "base_failed", "kept", "distance")
 
 
+@query()
+def op7_weak_label_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    scored = docs.select("doc_id", weaklabels.score(F.col("text"), weaklabels.learn(docs)).alias("score"))
+    return scored.withColumns({"predicted": (F.col("score") >= 0.5).cast("int"), "kept": F.col("score") >= 0.5})
+
+
 @query()
 def op8_min_cut_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
@@ -130,3 +133,8 @@ def op9_bit_plane_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.cut_pieces(spark.read.parquet(f"{sf_dir}/documents.parquet"), word_tokenizer(), end_id=1)
     return packing.pack(pieces)
+
+
+@query()
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)

@@ -136,3 +136,10 @@ def slices(sizes: list[int], limit: int = SLICE_BYTES):
         total += n
     if start < len(sizes):
         yield start, len(sizes)
+
+
+def word_tokenizer() -> str:
+    """The file of the public word tokenizer that the queries use."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
