@@ -253,7 +253,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8, car
     )
     cuts = F.array(*[F.xxhash64(F.lit(b), F.substring("registers", 2 * PER_BAND * b + 1, 2 * PER_BAND)) for b in range(BANDS)])
     bands = classes.select("c", "rep", "n", F.posexplode(cuts).alias("band", "k"))
-    shared = written(bands.groupBy("k").agg(F.count(F.lit(1)).alias("s"), F.max("n").alias("max_n")).where("s > 1"), "bands")
+    who = [F.bit_xor(F.xxhash64("c")).alias("who"), F.bit_xor(F.xxhash64("c", F.lit(1))).alias("who_else")]
+    groups = bands.groupBy("k").agg(F.count(F.lit(1)).alias("s"), F.max("n").alias("max_n"), F.min("band").alias("first_band"), *who).where("s > 1")
+    # bands in which the same texts meet are compared once
+    shared = written(groups.groupBy("s", "max_n", "who", "who_else").agg(F.min_by("k", F.struct("first_band", "k")).alias("k")).select("k", "s", "max_n"), "bands")
     members = written(bands.where(_maybe_in(shared, F.col("k"))(F.col("k"))).join(shared, "k"), "members")
 
     candidates = written(members.select("c", "rep").distinct(), "candidates")
