@@ -70,13 +70,13 @@ def _distances(vectors: np.ndarray, pivots: np.ndarray) -> np.ndarray:
 
 
 def _scores(queries: np.ndarray, vectors: np.ndarray) -> np.ndarray:
-    """Exact inner products of whole numbers; beyond 64 bits it is an error."""
+    """Exact inner products of whole numbers; they stop at the ends of 64 bits."""
     largest = lambda m: max(1.0, float(m.max(initial=0)), -float(m.min(initial=0)))
     most = largest(queries) * largest(vectors) * queries.shape[1]
     if most < 2**53:
         return (queries.astype(np.float64) @ vectors.astype(np.float64).T).astype(np.int64)
     whole = lambda m: np.array([[int(x) for x in row] for row in m], object).reshape(m.shape)
-    return (whole(queries) @ whole(vectors).T).astype(np.int64)
+    return np.clip(whole(queries) @ whole(vectors).T, -(2**63), 2**63 - 1).astype(np.int64)
 
 
 def build_index(vectors: DataFrame, width: int, n: int, most: float) -> tuple[DataFrame, DataFrame, dict[str, np.ndarray], np.ndarray]:
