@@ -12,17 +12,17 @@ from pyspark.sql import types as T
 from rowmill.functions.columns import (
     col, columns_of, is_missing, is_present, kind, or_null, require_columns, type_of, typed_literal,
 )
-from rowmill.operators.windows import mark_duplicates
-from rowmill.plans.hot_ranges import ROWS_PER_TASK, Order, order_of, sort_columns
+from rowmill.operators.windows import visible
+from rowmill.plans.hot_ranges import ROWS_PER_TASK, SOURCE_ROW, Order, order_of, sort_columns
 
 HIDDEN = "_hidden"
 
 
 def remove_empty_rows(df: DataFrame, how: str = "all") -> DataFrame:
-    """Drop rows where all, or any, cells are null or NaN; blank text is a value."""
+    """Drop rows where all, or any, cells are null or NaN; blank text is a value. Names with a leading _ are no cells."""
     if how not in ("all", "any"):
         raise ValueError("how must be all or any")
-    missing = [is_missing(df, n) for n in df.columns]
+    missing = [is_missing(df, n) for n in visible(df)]
     empty = reduce((lambda a, b: a & b) if how == "all" else (lambda a, b: a | b), missing)
     return df.filter(~empty)
 
@@ -33,18 +33,21 @@ def remove_duplicates(
 ) -> DataFrame:
     """One row per key: the first or last in row order (keep=False: only keys without copies).
 
-    The key is the subset, or the whole row. Spark limits each key to one row
+    The key is the subset, or all columns without a leading _. Spark limits each key to one row
     before the shuffle, so a key with many copies stays cheap.
     """
     if keep not in (False, "first", "last"):
         raise ValueError("keep must be 'first', 'last' or False")
-    keys = columns_of(subset)
+    keys = columns_of(subset) or visible(df)
     require_columns(df, keys)
+    rest = [n for n in df.columns if n not in keys]
     if keep is False:
-        marked = mark_duplicates(df, keys, "_copy", False, rows_per_task=rows_per_task)
-        return marked.filter(~F.col("_copy")).drop("_copy")
-    if not keys or set(keys) == set(df.columns):
-        return df.dropDuplicates()
+        # one row per key is carried along and kept if it is the only one
+        carried = [F.any_value(F.struct(*[col(n) for n in rest])).alias("_rest")] if rest else []
+        counted = df.groupBy(*[col(k) for k in keys]).agg(F.count(F.lit(1)).alias("_copies"), *carried).filter("_copies = 1")
+        return counted.select(*[F.col("_rest")[n].alias(n) if n in rest else col(n) for n in df.columns])
+    if not rest or not columns_of(subset) and SOURCE_ROW not in df.columns:
+        return df.dropDuplicates(keys)
     order = [Order(o.column, keep == "first") for o in order_of(df, order_columns, "remove_duplicates")]
     window = Window.partitionBy(*[col(k) for k in keys]).orderBy(*sort_columns(df, order))
     return df.withColumn("_place", F.row_number().over(window)).filter(F.col("_place") == 1).drop("_place")

@@ -159,8 +159,13 @@ def percent_change(
     return parts.finish(changed, ["_seen", "_filled", "_carried", "_number", "_at", "_before", *renamed.values()])
 
 
+def visible(df: DataFrame) -> list[str]:
+    """Columns that hold data: names with a leading _ say where a row comes from."""
+    return [n for n in df.columns if not n.startswith("_")] or df.columns
+
+
 def _all_keys(df: DataFrame, subset: list[str] | str | None) -> list[str]:
-    names = columns_of(subset) or df.columns
+    names = columns_of(subset) or visible(df)
     require_columns(df, names)
     return names
 
@@ -177,22 +182,18 @@ def mark_duplicates(
         # Any order will do; the key columns themselves cannot cut a hot key, so rows are spread by position.
         place = df.withColumn("_place", F.monotonically_increasing_id())
         return _mark_every_copy(place, keys, result_column, rows_per_task)
-    order = order_of(df, order_columns or _row_order(df, subset), "mark_duplicates")
+    if columns_of(subset) or order_columns or SOURCE_ROW in df.columns:
+        order = order_of(df, order_columns, "mark_duplicates")
+    else:  # equal rows are interchangeable; their position cuts a row with very many copies
+        df, order = df.withColumn("_place", F.monotonically_increasing_id()), [Order("_place")]
     if keep == "last":
-        order = [Order(o.column, False) for o in order]
+        order = [Order(o.column, not o.ascending) for o in order]
     parts = split(df, keys, order, rows_per_task)
     rows, number = parts.rows, F.row_number().over(parts.window)
     if parts.hot:
         rows = parts.carry(rows, {"_carried": F.count(F.lit(1))})
         number = number + F.coalesce(F.col("_carried"), F.lit(0))
-    return parts.finish(rows.withColumn(result_column, number > 1), ["_carried"])
-
-
-def _row_order(df: DataFrame, subset: list[str] | str | None) -> list[str] | None:
-    """Whole-row duplicates are identical, so any column orders them."""
-    if columns_of(subset) or SOURCE_ROW in df.columns:
-        return None
-    return df.columns[:1]
+    return parts.finish(rows.withColumn(result_column, number > 1), ["_carried", "_place"])
 
 
 def _mark_every_copy(df: DataFrame, keys: list[str], result_column: str, rows_per_task: int) -> DataFrame:

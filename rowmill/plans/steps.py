@@ -7,7 +7,7 @@ DataFrame, so Catalyst plans the whole chain at once.
 from __future__ import annotations
 
 import inspect
-import json
+import copy
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -166,16 +166,29 @@ def check_steps(df: DataFrame, steps: list[Step]) -> list[dict[str, Any]]:
 # ------------------------------------------------------------------ tidying
 
 
-def _null_tests(value: Any) -> Any:
-    """`== null` and `!= null` written as is_null and not_null, at any depth."""
-    if isinstance(value, list):
-        return [_null_tests(item) for item in value]
-    if not isinstance(value, dict):
-        return value
-    fixed = {key: _null_tests(item) for key, item in value.items()}
-    if "operator" in fixed and fixed.get("value") is None:
-        fixed["operator"] = {"==": "is_null", "!=": "not_null"}.get(fixed["operator"], fixed["operator"])
-    return fixed
+#: Operators that change nothing when they are applied again right away.
+ONCE_IS_ENOUGH = {
+    "select_columns", "reorder_columns", "drop_columns", "convert_column_type", "remove_empty_rows", "remove_duplicates", "drop_rows_missing_keys",
+    "fill_missing_values", "select_visible_rows", "normalize_text", "clean_numeric_values", "round_numbers", "filter_rows", "filter_by_conditions",
+    "filter_relative_dates", "filter_calendar_period", "sort_rows", "select_top_n", "keep_latest_per_group", "highlight_rows", "highlight_extremes",
+    "highlight_missing", "format_numbers", "color_scale", "mark_missing_required", "mark_error_values",
+}
+NULL_TESTS = {"==": "is_null", "!=": "not_null"}
+
+
+def _null_tests(params: dict[str, Any]) -> dict[str, Any]:
+    """Parameters in which every condition on null is written as is_null or not_null.
+
+    Conditions are dictionaries with an operator; they stand in lists and under any key.
+    """
+    out = copy.deepcopy(params)
+    left: list[Any] = [out]
+    while left:
+        node = left.pop()
+        left += node.values() if isinstance(node, dict) else node if isinstance(node, list) else ()
+        if isinstance(node, dict) and node.get("value") is None and node.get("operator") in NULL_TESTS:
+            node["operator"] = NULL_TESTS[node["operator"]]
+    return out
 
 
 def _as_aggregates(step: Step) -> list[dict[str, str]]:
@@ -228,20 +241,18 @@ def _new_names(step: Step) -> dict[str, str]:
 
 
 def normalize_steps(steps: list[Step]) -> list[Step]:
-    """An equivalent, tidier list: null tests, merged aggregates, no repeats, names followed."""
+    """An equivalent, tidier list: null tests, merged aggregates, names followed.
+
+    A step that repeats the one right before it is dropped if doing it twice changes
+    nothing more.
+    """
     result: list[Step] = []
-    seen: set[str] = set()
-    for step in steps:
-        step = {"function": step["function"], "params": _null_tests(dict(step.get("params") or {}))}
-        mark = json.dumps(step, sort_keys=True, default=str, ensure_ascii=False)
-        if mark in seen:
+    for raw in steps:
+        step = {"function": raw["function"], "params": _null_tests(raw.get("params") or {})}
+        if result and step == result[-1] and step["function"] in ONCE_IS_ENOUGH:
             continue
-        seen.add(mark)
         merged = _merged(result[-1], step) if result else None
-        if merged is None:
-            result.append(step)
-        else:
-            result[-1] = merged
+        result[-1:] = [merged] if merged else [*result[-1:], step]
     names: dict[str, str] = {}
     followed = []
     for step in result:
