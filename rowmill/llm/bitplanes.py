@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rowmill.llm.tokens import slices, text_encoder
+from rowmill.llm.tokens import text_encoder, text_slices
 
 MAGIC = b"RMBP"
 CHUNKS = "shard int, chunk int, n_ids int, keys array<bigint>, lengths array<int>, continued boolean, unfinished boolean, payload binary"
@@ -82,11 +82,9 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int, c
         shard, encode = TaskContext.get().partitionId(), text_encoder(tokenizer)
         writer = _ChunkWriter(shard, chunk_ids, planes)
         for batch in batches:
-            keys, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
-            for a, z in slices([len(t or b"") for t in texts]):
-                ids, counts = encode(texts[a:z])
-                ids = np.insert(ids, np.cumsum(counts), end_id)
-                yield from writer.add(keys[a:z], counts + 1, ids)
+            for keys, texts in text_slices(batch):
+                ids, counts = encode(texts)
+                yield from writer.add(keys, counts + 1, np.insert(ids, np.cumsum(counts), end_id))
         yield from writer.finish()
 
     ordered.mapInArrow(chunks, CHUNKS).write.parquet(f"{path}/chunks")

@@ -33,7 +33,7 @@ FIRST_BANDS = 4
 BLOCK, HUBS, BLOCK_SHINGLES = 512, 32, 8_000_000
 #: Estimates this many standard deviations below the threshold are not confirmed.
 MARGIN = 5.0
-KEPT_WORDS = 400_000
+KEPT_WORDS = 150_000
 
 
 class _WordHashes(dict):

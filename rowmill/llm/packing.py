@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rowmill.llm.tokens import slices, text_encoder
+from rowmill.llm.tokens import text_encoder, text_slices
 from rowmill.plans.lineage import written
 
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
@@ -36,12 +36,11 @@ def cut_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = 409
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = text_encoder(tokenizer)
         for batch in batches:
-            keys, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
-            for a, z in slices([len(t or b"") for t in texts]):
-                ids, counts = encode(texts[a:z])
+            for keys, texts in text_slices(batch):
+                ids, counts = encode(texts)
                 octets = np.insert(ids, np.cumsum(counts), end_id).astype("<u4").tobytes()
                 rows, parts, at = [], [], 0
-                for key, n in zip(keys[a:z], (counts + 1).tolist()):
+                for key, n in zip(keys, (counts + 1).tolist()):
                     for piece, start in enumerate(range(0, n, capacity)):
                         length = min(capacity, n - start)
                         part = octets[4 * (at + start) : 4 * (at + start + length)]

@@ -15,11 +15,12 @@ from functools import lru_cache
 from itertools import chain, repeat
 
 import numpy as np
+import pyarrow.compute as pc
 
 #: Words a worker keeps for good; the rest are encoded once per slice of a batch. Bounds memory only.
-KEPT_WORDS = 400_000
+KEPT_WORDS = 200_000
 #: UTF-8 bytes of text that are put together at a time.
-SLICE_BYTES = 8_000_000
+SLICE_BYTES = 3_000_000
 LETTERS_AND_SIGNS = re.compile(rb"([a-z\x80-\xff]+)([!-&(-/:-@\[-`{-~]*)")
 
 
@@ -138,6 +139,14 @@ def slices(sizes: list[int], limit: int = SLICE_BYTES):
         yield start, len(sizes)
 
 
+def text_slices(batch):
+    """Keys and UTF-8 texts of a batch with doc_id and text, a slice at a time."""
+    sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_pylist()
+    for a, z in slices(sizes):
+        part = batch.slice(a, z - a)
+        yield part.column("doc_id").to_pylist(), part.column("text").to_pylist()
+
+
 def word_tokenizer() -> str:
     """The file of the public word tokenizer that the queries use."""
     import public_tokenizers
