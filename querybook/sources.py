@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 import rowmill as rm
@@ -154,15 +156,17 @@ _REQUEST = "documents in fr or de from src1, not SRC12 or esrc2"
 
 @query(f"""SELECT "column", "value", row_count FROM (
     SELECT 'lang' AS "column", lang AS "value", count(*) AS row_count FROM documents GROUP BY lang
-    UNION ALL SELECT 'source', source, count(*) FROM documents GROUP BY source)
-  WHERE regexp_matches('{_REQUEST.lower()}', '(^|[^a-z0-9_])' || "value" || '($|[^a-z0-9_])') ORDER BY length("value") DESC, "column", "value" LIMIT 5""")
+    UNION ALL SELECT 'source', source, count(*) FROM documents GROUP BY source
+    UNION ALL SELECT 'text', text, count(*) FROM documents WHERE length(text) BETWEEN 2 AND {len(_REQUEST)} GROUP BY text)
+  WHERE regexp_matches('{_REQUEST.lower()}', '(^|[^a-z0-9_])' || regexp_escape(lower("value")) || '($|[^a-z0-9_])') ORDER BY length("value") DESC, "column", "value" """)
 def find_values(t):
     return rm.find_values(t("documents"), _REQUEST)
 
 
 _CANDIDATES = """WITH cells AS (
-  SELECT 'p_name' AS "column", lower(p_name) AS v FROM part UNION ALL SELECT 'p_type', lower(p_type) FROM part),
-pairs AS (SELECT "column", v, f FROM cells, (VALUES ('red'), ('ing'), ('economy'), ('zzz')) AS fragments(f)),
+  SELECT 'p_name' AS "column", p_name AS v FROM part UNION ALL SELECT 'p_type', p_type FROM part),
+wanted AS (SELECT DISTINCT "column", substr(v, strpos(lower(v), f), length(f)) AS f FROM cells, (VALUES ('red'), ('ing'), ('economy'), ('zzz')) AS fragments(f) WHERE contains(lower(v), f)),
+pairs AS (SELECT "column", v, f FROM cells JOIN wanted USING ("column")),
 counts AS (SELECT "column", f, count(*) FILTER (WHERE v = f) AS n0, count(*) FILTER (WHERE contains(v, f)) AS n1,
   count(*) FILTER (WHERE starts_with(v, f)) AS n2, count(*) FILTER (WHERE ends_with(v, f)) AS n3,
   count(*) FILTER (WHERE starts_with(v, f) AND ends_with(v, f)) AS n23 FROM pairs GROUP BY 1, 2)
@@ -178,15 +182,27 @@ def find_filter_candidates(t):
     return df.drop("matched_values")
 
 
-@query("""SELECT 'o_orderpriority' AS "column", 'endswith' AS operator, 'low' AS "value", count(*) AS row_count FROM orders
+@query("""SELECT 'o_orderpriority' AS "column", 'endswith' AS operator, 'LOW' AS "value", count(*) AS row_count FROM orders
   WHERE o_orderpriority = '5-LOW' AND FALSE HAVING count(*) > 0
-  UNION ALL SELECT 'o_orderpriority', 'contains', 'low', count(*) FROM orders WHERE o_orderpriority = '5-LOW'
-  UNION ALL SELECT 'o_orderpriority', 'contains', 'urgent', count(*) FROM orders WHERE o_orderpriority = '1-URGENT'""")
+  UNION ALL SELECT 'o_orderpriority', 'contains', 'LOW', count(*) FROM orders WHERE o_orderpriority = '5-LOW'
+  UNION ALL SELECT 'o_orderpriority', 'contains', 'URGENT', count(*) FROM orders WHERE o_orderpriority = '1-URGENT'""")
 def find_filter_candidates_in_a_request(t):
     df = rm.find_filter_candidates(t("orders"), text="LOW, URGENT", columns=["o_orderpriority"], minimum_length=3)
     return df.drop("matched_values")
 
 
+@query("""SELECT 'contains' AS operator, 'LOW' AS "value", count(*) AS row_count FROM orders WHERE contains(o_orderpriority, 'LOW')
+  UNION ALL SELECT 'contains', 'URGENT', count(*) FROM orders WHERE contains(o_orderpriority, 'URGENT')""")
+def filter_rows_with_each_candidate(t):
+    found = rm.find_filter_candidates(t("orders"), text="low, urgent", columns=["o_orderpriority"], minimum_length=3)
+    parts = [
+        rm.filter_rows(t("orders"), "o_orderpriority", c["operator"], c["value"]).agg(F.count(F.lit(1)).alias("row_count"))
+        .select(F.lit(c["operator"]).alias("operator"), F.lit(c["value"]).alias("value"), "row_count")
+        for c in found.collect()  # one row per candidate
+    ]
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
 @query("SELECT c_name, c_mktsegment, c_acctbal AS balance, c_custkey FROM customer")
 def cells_from_csv(t):
     target = t.scratch()

@@ -1,8 +1,9 @@
 """Which cell values, or pieces of them, occur in a search text.
 
-Both lookups count the distinct values of each column once (on the map side)
-and go on with columns of few distinct values only, so the matching itself
-works on a table that is small whatever the size of the data.
+Both lookups count the distinct values of each column once, combined on the map
+side, and match the distinct values only. Nothing limits them unless a caller
+asks for it: `max_distinct` leaves out columns of many values, `limit` shortens
+the list.
 """
 
 from __future__ import annotations
@@ -12,9 +13,9 @@ from pyspark.sql import functions as F
 
 from rowmill.functions.columns import col, is_missing, kind, strip, to_text, type_of
 
-MAX_DISTINCT = 100
-MIN_LENGTH, MAX_LENGTH = 2, 80
 WORD = "[a-z0-9_]"
+#: Pieces up to which they are sent to all tasks; more are dealt out with the values, over SALTS places per column.
+BROADCAST_PIECES, SALTS = 50_000, 64
 
 
 def _not_too_many(df: DataFrame, names: list[str], max_distinct: int) -> list[str]:
@@ -28,9 +29,9 @@ def _not_too_many(df: DataFrame, names: list[str], max_distinct: int) -> list[st
     return [n for i, n in enumerate(names) if sizes[i] <= 2 * max_distinct + 10]
 
 
-def _distinct_values(df: DataFrame, names: list[str], max_distinct: int) -> DataFrame:
-    """(column, value, n) for columns with at most `max_distinct` distinct raw values."""
-    names = _not_too_many(df, names, max_distinct)
+def _distinct_values(df: DataFrame, names: list[str], max_distinct: int | None) -> DataFrame:
+    """(column, raw, n, value) of all columns, or of those with at most `max_distinct` distinct raw values."""
+    names = names if max_distinct is None else _not_too_many(df, names, max_distinct)
     if not names:
         return df.sparkSession.createDataFrame([], "column string, raw string, n bigint, value string")
     cells = F.explode(F.array(*[
@@ -40,9 +41,11 @@ def _distinct_values(df: DataFrame, names: list[str], max_distinct: int) -> Data
         df.select(cells.alias("cell")).select("cell.*").filter(F.col("raw").isNotNull())
         .groupBy("column", "raw").agg(F.count(F.lit(1)).alias("n"))
     )
-    few = counted.groupBy("column").agg(F.count(F.lit(1)).alias("distinct")).filter(F.col("distinct") <= max_distinct)
-    # At most one row per column of the table.
-    return counted.join(F.broadcast(few), "column", "left_semi").withColumn("value", strip(F.col("raw")))
+    if max_distinct is not None:
+        few = counted.groupBy("column").agg(F.count(F.lit(1)).alias("distinct")).filter(F.col("distinct") <= max_distinct)
+        # At most one row per column of the table.
+        counted = counted.join(F.broadcast(few), "column", "left_semi")
+    return counted.withColumn("value", strip(F.col("raw")))
 
 
 def _text_columns(df: DataFrame, columns: list[str] | None, texts_only: bool) -> list[str]:
@@ -50,69 +53,93 @@ def _text_columns(df: DataFrame, columns: list[str] | None, texts_only: bool) ->
     return [n for n in names if kind(type_of(df, n)) in (("text",) if texts_only else ("text", "number", "boolean", "datetime"))]
 
 
-def _occurs(value: Column, text: Column) -> Column:
-    """Whether the lower-case value stands in the text as a whole word."""
-    quoted = F.regexp_replace(value, r"([\\.^$|?*+()\[\]{}\-#&~ ])", r"\\$1")
-    before = F.when(value.rlike(f"^{WORD}"), F.lit(f"(?<!{WORD})")).otherwise(F.lit(""))
-    after = F.when(value.rlike(f"{WORD}$"), F.lit(f"(?!{WORD})")).otherwise(F.lit(""))
-    return F.regexp_like(text, F.concat(before, quoted, after))
+def _occurs(value: Column, text: str) -> Column:
+    """Whether the lower-case value stands in the text as a whole word: found, and not next to another word character."""
+    words = "".join("1" if c.isascii() and (c.isalnum() or c == "_") else "0" for c in f" {text} ")
+    flag = lambda place: F.substr(F.lit(words), place, F.lit(1)) == "1"
+
+    def stands(place: Column) -> Column:
+        before = value.rlike(f"^{WORD}") & flag(place)
+        after = value.rlike(f"{WORD}$") & flag(place + F.length(value) + 1)
+        return (F.substr(F.lit(text), place, F.length(value)) == value) & ~before & ~after
+
+    places = F.sequence(F.lit(1), F.lit(max(1, len(text))))
+    return F.lit(text).contains(value) & F.exists(places, stands)
 
 
 def find_values(
-    df: DataFrame, text: str, columns: list[str] | None = None, max_distinct: int = MAX_DISTINCT, limit: int = 5,
+    df: DataFrame, text: str, columns: list[str] | None = None, max_distinct: int | None = None, limit: int | None = None,
+    minimum_length: int = 2, maximum_length: int | None = None,
 ) -> DataFrame:
-    """Exact values of text columns that the search text names, longest first, with their row counts."""
+    """Exact values of text columns that the search text names, longest first, with their row counts.
+
+    Values shorter than `minimum_length` characters say too little to count as named.
+    """
     names = _text_columns(df, columns, texts_only=True)
     if not names:
         raise ValueError("the table has no text column")
     values = _distinct_values(df, names, max_distinct).withColumn("folded", F.lower("value"))
-    sizes = F.length("folded").between(MIN_LENGTH, MAX_LENGTH)
-    hits = values.filter(sizes & _occurs(F.col("folded"), F.lit(text.strip().casefold())))
+    length = F.length("folded")
+    # A value longer than the search text cannot stand in it.
+    longest = min(len(text), maximum_length or len(text))
+    hits = values.filter(length.between(minimum_length, longest) & _occurs(F.col("folded"), text.strip().casefold()))
     grouped = hits.groupBy("column", "folded").agg(F.min("value").alias("value"), F.sum("n").alias("row_count"))
-    ranked = grouped.orderBy(F.length("value").desc(), "column", "value").limit(limit)
-    return ranked.select("column", "value", "row_count")
+    ranked = grouped.orderBy(F.length("value").desc(), "column", "value")
+    return (ranked if limit is None else ranked.limit(limit)).select("column", "value", "row_count")
 
 
-def _fragments(values: DataFrame, text: str, minimum: int) -> DataFrame:
-    """Longest pieces of each value that occur in the text, per column."""
-    value = F.col("folded")
-    starts = F.explode(F.sequence(F.lit(1), F.length(value))).alias("start")
-    at = values.filter(F.length(value).between(minimum, MAX_LENGTH)).select("column", "folded", starts)
-    ends = F.explode(F.sequence(F.lit(minimum), F.greatest(F.lit(minimum), F.length("folded") - F.col("start") + 1)))
-    pieces = at.withColumn("size", ends).select("column", "folded", F.substr("folded", "start", "size").alias("fragment"))
-    found = pieces.filter((F.length("fragment") >= minimum) & F.lit(text).contains(F.col("fragment")))
-    longest = Window.partitionBy("column", "folded")  # pieces of one value of at most 80 characters
-    kept = found.withColumn("_max", F.max(F.length("fragment")).over(longest))
-    return kept.filter(F.length("fragment") == F.col("_max")).select("column", "fragment").distinct()
+def _shared_pieces(value: Column, text: str, minimum: int) -> Column:
+    """The longest pieces of the search text that the value contains, each once; none below the minimum length."""
+    n = len(text)
+
+    def reach(start: Column) -> Column:
+        """Length of the longest piece from here that the value contains: one character more as long as it does."""
+        step = lambda best, size: F.when((best == size - 1) & value.contains(F.substr(F.lit(text), start, size)), size).otherwise(best)
+        return F.aggregate(F.sequence(F.lit(1), F.lit(n) - start + 1), F.lit(0), step)
+
+    reached = F.transform(F.sequence(F.lit(1), F.lit(n)), lambda start: F.struct(reach(start).alias("size"), start.alias("start")))
+    longest = lambda found: F.filter(found, lambda x: (x["size"] == F.array_max(F.transform(found, lambda y: y["size"]))) & (x["size"] >= minimum))
+    best = F.transform(F.array(reached), longest)[0]
+    return F.array_distinct(F.transform(best, lambda x: F.substr(F.lit(text), x["start"], x["size"])))
 
 
 def find_filter_candidates(
     df: DataFrame, text: str | None = None, fragments: list[str] | None = None, columns: list[str] | None = None,
-    max_distinct: int = MAX_DISTINCT, minimum_length: int = MIN_LENGTH, limit: int = 40,
+    max_distinct: int | None = None, minimum_length: int = 2, limit: int | None = None, examples: int = 8,
 ) -> DataFrame:
-    """Text filters that would match something: fragment × column × ==, contains, startswith, endswith.
+    """Text filters that would match something: piece × column × ==, contains, startswith, endswith.
 
-    Fragments are given, or are the longest pieces the search text shares with
-    each value. Operators that select the same rows are listed once.
+    Pieces are the given fragments, or the longest ones that the search text shares
+    with each value, whatever their case. `value` is spelled as the column spells
+    it, once per spelling, so that a filter with it finds `row_count` rows. Filters
+    that select the same rows are listed once. `matched_values` are up to
+    `examples` of the values that match, for display.
     """
     if (text is None) == (fragments is None):
         raise ValueError("give a search text or a list of fragments")
     names = _text_columns(df, columns, texts_only=False)
     values = _distinct_values(df, names, max_distinct).withColumn("folded", F.lower("value"))
+    folded = F.col("folded")
     if fragments is not None:
-        listed = F.array(*[F.lit(f.casefold()) for f in dict.fromkeys(fragments) if len(f) >= minimum_length])
-        wanted = values.select("column").distinct().select("column", F.explode(listed).alias("fragment"))
+        listed = [f.casefold() for f in dict.fromkeys(fragments) if len(f) >= minimum_length]
+        pieces = F.filter(F.array(*[F.lit(f) for f in dict.fromkeys(listed)]).cast("array<string>"), lambda f: folded.contains(f))
     else:
-        wanted = _fragments(values, text.casefold(), minimum_length)
-    # Both sides hold at most max_distinct values per column.
-    pairs = values.join(wanted, "column")
-    value, piece = F.col("folded"), F.col("fragment")
+        pieces = _shared_pieces(folded, text.casefold(), minimum_length) if text else F.array().cast("array<string>")
+    spelled = F.transform(pieces, lambda f: F.substr(F.col("value"), F.call_function("locate", f, folded), F.length(f)))
+    wanted = values.select("column", F.explode(spelled).alias("piece")).distinct()
+    if wanted.count() <= BROADCAST_PIECES:
+        pairs = values.join(F.broadcast(wanted), "column")
+    else:
+        salt = F.pmod(F.xxhash64("raw"), F.lit(SALTS)).cast("int")
+        copies = wanted.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        pairs = values.withColumn("salt", salt).join(copies, ["column", "salt"]).drop("salt")
+    value, piece = F.col("value"), F.col("piece")
+    pairs = pairs.filter(value.contains(piece))
     tests = {"==": value == piece, "contains": value.contains(piece), "startswith": value.startswith(piece),
              "endswith": value.endswith(piece)}
     counts = [F.coalesce(F.sum(F.when(t, F.col("n"))), F.lit(0)).alias(f"n{i}") for i, t in enumerate(tests.values())]
     both = F.coalesce(F.sum(F.when(tests["startswith"] & tests["endswith"], F.col("n"))), F.lit(0)).alias("both")
-    matched = [F.sort_array(F.collect_set(F.when(t, F.col("value")))).alias(f"v{i}") for i, t in enumerate(tests.values())]
-    counted = pairs.groupBy("column", "fragment").agg(*counts, both, *matched)
+    counted = pairs.groupBy("column", "piece").agg(*counts, both)
     # == is within startswith and endswith, and these are within contains: equal counts mean equal rows.
     same_ends = (F.col("n2") == F.col("both")) & (F.col("n3") == F.col("both"))
     fresh = [
@@ -121,13 +148,19 @@ def find_filter_candidates(
         (F.col("n2") > 0) & (F.col("n2") != F.col("n0")) & (F.col("n2") != F.col("n1")),
         (F.col("n3") > 0) & (F.col("n3") != F.col("n0")) & (F.col("n3") != F.col("n1")) & ~same_ends,
     ]
-    rows = F.array_compact(F.array(*[
-        F.when(keep, F.struct(
-            F.lit(i).alias("place"), F.lit(name).alias("operator"), F.col(f"n{i}").alias("row_count"),
-            F.slice(F.col(f"v{i}"), 1, 8).alias("matched_values"),
-        ))
+    listed = F.array_compact(F.array(*[
+        F.when(keep, F.struct(F.lit(i).alias("place"), F.lit(name).alias("operator"), F.col(f"n{i}").alias("row_count")))
         for i, (name, keep) in enumerate(zip(tests, fresh))
     ]))
-    listed = counted.select("column", F.col("fragment").alias("value"), F.explode(rows).alias("c"))
-    flat = listed.select("column", "c.operator", "value", "c.row_count", "c.matched_values", "c.place")
-    return flat.orderBy(F.length("value").desc(), "place", "column", "row_count", "value").limit(limit).drop("place")
+    flat = counted.select("column", "piece", F.explode(listed).alias("c")).select("column", "piece", "c.*")
+    # Examples: Spark keeps the first values of each filter before the shuffle, so none is ever collected whole.
+    matching = F.explode(F.array_compact(F.array(*[F.when(t, F.lit(i)) for i, t in enumerate(tests.values())])))
+    distinct = pairs.select("column", "piece", "value", matching.alias("place")).distinct()
+    first = Window.partitionBy("column", "piece", "place").orderBy("value")
+    few = distinct.withColumn("nth", F.row_number().over(first)).filter(F.col("nth") <= examples)
+    shown = few.groupBy("column", "piece", "place").agg(F.sort_array(F.collect_list("value")).alias("matched_values"))
+    out = flat.join(shown, ["column", "piece", "place"], "left").select(
+        "column", "operator", F.col("piece").alias("value"), "row_count", "matched_values", "place"
+    )
+    ranked = out.orderBy(F.length("value").desc(), "place", "column", "row_count", "value")
+    return (ranked if limit is None else ranked.limit(limit)).drop("place")

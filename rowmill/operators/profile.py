@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rowmill.functions.columns import (
     col, is_missing, kind, parse_number, parse_timestamp, text_of, to_double, to_text, type_of,
@@ -40,6 +41,14 @@ def _first_values(counted: DataFrame, order: list, limit: int, name: str, cell)
     return kept.groupBy("column_id").agg(F.transform(items, lambda x: x["item"]).alias(name))
 
 
+def _as_text(df: DataFrame, name: str) -> Column:
+    data_type = type_of(df, name)
+    if isinstance(data_type, T.BinaryType):
+        return F.hex(col(name))
+    nested = isinstance(data_type, (T.ArrayType, T.MapType, T.StructType))
+    return F.to_json(col(name)) if nested else col(name).cast("string")
+
+
 def profile_table(
     df: DataFrame, order_columns: list[str] | str | None = None, rows_per_task: int = ROWS_PER_TASK,
 ) -> DataFrame:
@@ -50,9 +59,10 @@ def profile_table(
     values repeat (distinct <= max(20, rows / 2)).
     """
     order = [order_columns] if isinstance(order_columns, str) else list(order_columns or [])
-    names = [n for n in df.columns if kind(type_of(df, n)) != "other"]
-    if not names:
-        raise ValueError("the table has no column that can be profiled")
+    names = df.columns
+    types = {n: type_of(df, n).simpleString() for n in names}
+    # Nested values are profiled by their JSON text, binary ones by their hexadecimal digits.
+    df = df.withColumns({n: _as_text(df, n) for n in names if kind(type_of(df, n)) == "other"})
     what = {n: kind(type_of(df, n)) for n in names}
     numeric = [n for n in names if what[n] == "number"]
     # One pass for everything that needs no distinct values.
@@ -86,7 +96,7 @@ def profile_table(
     rows = [
         F.struct(
             F.lit(i).alias("column_id"), F.lit(n).alias("column"),
-            F.lit(type_of(df, n).simpleString()).alias("type"), F.col("rows"),
+            F.lit(types[n]).alias("type"), F.col("rows"),
             F.col(f"missing{i}").alias("missing_count"),
             *[fact(n, s, null_double).alias(s) for s in ("min", "max", "sum", "mean")],
             fact(n, "zero", null_long).alias("zero_count"), fact(n, "negative", null_long).alias("negative_count"),

@@ -9,12 +9,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rowmill.functions.columns import (
-    SPACE, col, columns_of, is_present, kind, literal_kind, plain_text, regex_literal, require_columns,
+    SPACE, col, columns_of, is_present, kind, literal_kind, regex_literal, require_columns,
     to_text, type_of, typed_literal,
 )
 from rowmill.functions.columns import strip as strip_space
 
-# Above this size a replacement map is joined instead of written as CASE branches.
+# Above this size a replacement map is joined instead of written as CASE branches; both give the same.
 CASE_LIMIT = 50
 
 
@@ -27,10 +27,10 @@ def normalize_text(
         raise ValueError("case must be preserve, lower or upper")
     for name in columns_of(columns):
         text = to_text(df, name)
-        if strip:
-            text = strip_space(text)
         if collapse_whitespace:
             text = F.regexp_replace(text, f"(?U){SPACE}+", " ")
+        if strip:  # squeezed white space is one blank
+            text = F.trim(text) if collapse_whitespace else strip_space(text)
         if case != "preserve":
             text = F.lower(text) if case == "lower" else F.upper(text)
         df = df.withColumn(name, text)
@@ -51,20 +51,18 @@ def replace_values(df: DataFrame, column: str, replacements: dict[Any, Any]) ->
     if what == "number" and any(isinstance(new, float) for _, new in pairs) and isinstance(data_type, T.IntegralType):
         data_type = T.DoubleType()
     current = col(column).cast(data_type)
-    if len(pairs) <= CASE_LIMIT or what == "datetime":
+    if len(pairs) <= CASE_LIMIT:
         result = None
         for old, new in pairs:
             test = col(column).isNull() if old is None else col(column) == typed_literal(old, type_of(df, column))
             value = typed_literal(new, data_type)
             result = F.when(test, value) if result is None else result.when(test, value)
         return df.withColumn(column, result.otherwise(current))
-    schema = T.StructType([T.StructField("_old", type_of(df, column)), T.StructField("_new", data_type)])
-    convert = {"text": plain_text, "number": (lambda v: float(v) if isinstance(data_type, T.DoubleType) else v)}
-    as_given = convert.get(what, lambda v: v)
-    rows = [(old, None if new is None else as_given(new)) for old, new in pairs]
-    # As large as the map the caller passed in, so it is safe to broadcast.
-    table = df.sparkSession.createDataFrame(rows, schema).withColumn("_hit", F.lit(True))
-    joined = df.join(F.broadcast(table), col(column).eqNullSafe(F.col("_old")), "left")
+    entries = F.array(*[
+        F.struct(typed_literal(old, type_of(df, column)).alias("_old"), typed_literal(new, data_type).alias("_new")) for old, new in pairs
+    ])
+    table = df.sparkSession.range(1).select(F.inline(entries)).withColumn("_hit", F.lit(True))
+    joined = df.join(table, col(column).eqNullSafe(F.col("_old")), "left")  # Spark knows the table's size
     value = F.when(F.col("_hit"), F.col("_new")).otherwise(current)
     return joined.withColumn(column, value).drop("_old", "_new", "_hit")
 

@@ -16,8 +16,8 @@ from rowmill.plans.hot_ranges import ROWS_PER_TASK, SOURCE_FILE, SOURCE_ROW, sou
 from rowmill.plans.lineage import materialize
 from rowmill.sources.load import ORIGIN_FILE, ORIGIN_TABLE, _with_position
 
-# How far headers are looked for, and how a header row is scored.
-HEADER_ROWS, HEADER_COLUMNS = 200, 100
+# How far down headers are looked for unless a caller says otherwise, and how a header row is scored.
+HEADER_ROWS = 200
 TEXT_WEIGHT, UNIQUE_WEIGHT, DENSITY_WEIGHT = 0.45, 0.15, 0.30
 ROWS_WEIGHT, ROWS_CAP = 0.01, 10
 TAG_PENALTY = 0.4
@@ -29,10 +29,13 @@ SPAN = [*SHEET, "start_col", "end_col"]
 
 
 def cells_from_csv(
-    spark: SparkSession, path: str | list[str], width: int = HEADER_COLUMNS, rows_per_task: int = ROWS_PER_TASK,
+    spark: SparkSession, path: str | list[str], width: int | None = None, rows_per_task: int = ROWS_PER_TASK,
     **options: str,
 ) -> DataFrame:
-    """Cells of headerless CSV files, one line per row; `sheet` is the file name."""
+    """Cells of headerless CSV files, one line per row; `sheet` is the file name.
+
+    Without a `width` a small job finds the most fields that any line can have.
+    """
     lines = _with_position(spark.read.text(path), "text")
     order = [Order(n) for n in source_order(lines) if n != SOURCE_FILE]
     parts = split(lines, SOURCE_FILE, order, rows_per_task)
@@ -40,6 +43,10 @@ def cells_from_csv(
     if parts.hot:
         rows = parts.carry(rows, {"_carried": F.count(F.lit(1))})
         number = number + F.coalesce(F.col("_carried"), F.lit(0))
+    if width is None:
+        separators = F.length("value") - F.length(F.replace(F.col("value"), F.lit(options.get("sep", ",")), F.lit("")))
+        width = 1 + (lines.agg(F.max(separators / len(options.get("sep", ",")))).first()[0] or 0)
+        width = int(width)
     schema = ", ".join(f"c{i} string" for i in range(1, width + 1))
     record = F.from_csv("value", F.lit(schema), options)
     cells = F.posexplode(F.array(*[record[f"c{i}"] for i in range(1, width + 1)]))
@@ -67,17 +74,19 @@ def _unique_names(values: Column, start: Column) -> Column:
         values, lambda v, i: F.when(_filled(v), strip(v)).otherwise(F.concat(F.lit("column_"), (start + i).cast("string")))
     )
 
-    def numbered(name: Column, i: Column) -> Column:
-        nth = F.size(F.filter(F.slice(named, 1, i + 1), lambda other: other == name))
-        return F.when(nth == 1, name).otherwise(F.concat(name, F.lit("_"), nth.cast("string")))
+    def given(names: Column, name: Column) -> Column:
+        """The names with one more: itself if free, else with the first number that neither a given nor a wanted name has."""
+        options = F.transform(F.sequence(F.lit(2), F.size(named) + 2), lambda n: F.concat(name, F.lit("_"), n.cast("string")))
+        free = F.filter(options, lambda o: ~F.array_contains(names, o) & ~F.array_contains(named, o))
+        return F.array_append(names, F.when(F.array_contains(names, name), F.get(free, F.lit(0))).otherwise(name))
 
-    return F.transform(named, numbered)
+    return F.aggregate(named, F.array().cast("array<string>"), given)
 
 
-def _header_candidates(cells: DataFrame) -> DataFrame:
+def _header_candidates(cells: DataFrame, header_rows: int) -> DataFrame:
     """Runs of at least two filled cells, two of them text, in the first rows."""
-    head = cells.filter((F.col("row") <= HEADER_ROWS) & (F.col("col") <= HEADER_COLUMNS))
-    in_row = Window.partitionBy(*SHEET, "row").orderBy("col")  # at most HEADER_COLUMNS cells
+    head = cells.filter(F.col("row") <= header_rows)
+    in_row = Window.partitionBy(*SHEET, "row").orderBy("col")  # the cells of one row
     runs = head.withColumn("run", F.col("col") - F.row_number().over(in_row))
     names = F.sort_array(F.collect_list(F.struct("col", "value")))
     grouped = runs.groupBy(*SHEET, "row", "run").agg(
@@ -91,13 +100,13 @@ def _header_candidates(cells: DataFrame) -> DataFrame:
     return found.drop("run").withColumnRenamed("row", "header_row")
 
 
-def _density(candidates: DataFrame, cells: DataFrame) -> DataFrame:
+def _density(candidates: DataFrame, cells: DataFrame, header_rows: int) -> DataFrame:
     """Share of filled cells in the rows right below each candidate."""
     last = cells.groupBy(*SHEET).agg(F.max("row").alias("last_row"))
     below = candidates.join(last, SHEET).filter(F.col("last_row") > F.col("header_row"))
     rows = F.sequence(F.col("header_row") + 1, F.least(F.col("last_row"), F.col("header_row") + DENSITY_ROWS))
     rows_below = below.select(*SPAN, "header_row", F.size(rows).alias("looked_at"), F.explode(rows).alias("row"))
-    near = cells.filter(F.col("row") <= HEADER_ROWS + DENSITY_ROWS).select(*SHEET, "row", "col")
+    near = cells.filter(F.col("row") <= header_rows + DENSITY_ROWS).select(*SHEET, "row", "col")
     hit = rows_below.join(near, [*SHEET, "row"], "left")
     inside = F.col("col").between(F.col("start_col"), F.col("end_col"))
     return hit.groupBy(*SPAN, "header_row", "looked_at").agg(F.count_if(inside).alias("filled"))
@@ -110,7 +119,7 @@ def _filled_rows(spans: DataFrame, cells: DataFrame) -> DataFrame:
     return inside.groupBy(*SPAN, "row").agg(F.lit(1).alias("one")).drop("one")
 
 
-def _last_rows(rows: DataFrame) -> DataFrame:
+def _last_rows(rows: DataFrame, header_rows: int) -> DataFrame:
     """Filled rows followed by two empty ones; a table ends at the first of them.
 
     Each row vouches for the two rows above it, which is one grouping by row
@@ -126,19 +135,19 @@ def _last_rows(rows: DataFrame) -> DataFrame:
         F.bool_or("vote.own").alias("own"), F.bool_and("vote.own").alias("alone")
     )
     ends = judged.filter(F.col("own") & F.col("alone"))
-    slot = F.least(F.col("row"), F.lit(HEADER_ROWS + 1).cast("long"))
+    slot = F.least(F.col("row"), F.lit(header_rows + 1).cast("long"))
     return ends.groupBy(*SPAN, slot.alias("slot")).agg(F.min("row").alias("end_row"))
 
 
-def _filled_counts(candidates: DataFrame, rows: DataFrame) -> DataFrame:
+def _filled_counts(candidates: DataFrame, rows: DataFrame, header_rows: int) -> DataFrame:
     """Filled rows of each candidate region.
 
     Only the first rows are matched with every candidate. All regions of a span
     that reach farther end at the same row, so their rest is counted once.
     """
-    near = rows.filter(F.col("row") <= HEADER_ROWS)
-    far_ends = candidates.filter(F.col("end_row") > HEADER_ROWS).select(*SPAN, "end_row").distinct()
-    rest = rows.filter(F.col("row") > HEADER_ROWS).join(far_ends, SPAN).filter(F.col("row") <= F.col("end_row"))
+    near = rows.filter(F.col("row") <= header_rows)
+    far_ends = candidates.filter(F.col("end_row") > header_rows).select(*SPAN, "end_row").distinct()
+    rest = rows.filter(F.col("row") > header_rows).join(far_ends, SPAN).filter(F.col("row") <= F.col("end_row"))
     rest = rest.groupBy(*SPAN, "end_row").agg(F.count(F.lit(1)).alias("far"))
     inside = near.join(candidates.select(*SPAN, "header_row", "end_row"), SPAN).filter(
         (F.col("row") > F.col("header_row")) & (F.col("row") <= F.col("end_row"))
@@ -181,11 +190,12 @@ def _declared_regions(declared: DataFrame, cells: DataFrame) -> DataFrame:
     return _main(counted.withColumn("filled_rows", F.coalesce("filled_rows", F.lit(0))))
 
 
-def find_table_regions(cells: DataFrame, declared: DataFrame | None = None) -> DataFrame:
+def find_table_regions(cells: DataFrame, declared: DataFrame | None = None, header_rows: int = HEADER_ROWS) -> DataFrame:
     """One main table per sheet: header row, column span, end row, headers, filled rows, confidence.
 
     `declared` (file, sheet, header_row, start_col, end_col, end_row[, has_totals])
-    wins over detection in its sheets.
+    wins over detection in its sheets. Headers are looked for in the first
+    `header_rows` rows of a sheet, in all columns.
     """
     cells = cells.select(
         *SHEET, F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"), "value"
@@ -194,8 +204,8 @@ def find_table_regions(cells: DataFrame, declared: DataFrame | None = None) -> D
     if declared is not None:
         regions = _declared_regions(declared, cells)
         free = cells.join(regions.select(*SHEET), SHEET, "left_anti")
-    candidates = _header_candidates(free)
-    density = _density(candidates, free)
+    candidates = _header_candidates(free, header_rows)
+    density = _density(candidates, free, header_rows)
     scored = candidates.join(density, [*SPAN, "header_row"])
     width = F.col("width")
     base = (
@@ -207,7 +217,7 @@ def find_table_regions(cells: DataFrame, declared: DataFrame | None = None) -> D
     # Few candidates remain; they and the rows of their spans are read by several branches below.
     scored = materialize(scored.withColumn("base", base).filter(F.col("base") + ROWS_WEIGHT * ROWS_CAP >= ACCEPTED_SCORE))
     rows = materialize(_filled_rows(scored.select(*SPAN).distinct(), free))
-    ends = _last_rows(rows)
+    ends = _last_rows(rows, header_rows)
     ended = scored.join(ends, SPAN).filter(F.col("end_row") >= F.col("header_row"))
     ended = ended.groupBy(*SPAN, "header_row").agg(
         F.min("end_row").alias("end_row"), F.first("base").alias("base"), F.first("values").alias("values")
@@ -216,7 +226,7 @@ def find_table_regions(cells: DataFrame, declared: DataFrame | None = None) -> D
     score = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("base") + F.least(length, F.lit(ROWS_CAP)) * ROWS_WEIGHT))
     # A header that is itself the last row has no data below it.
     accepted = ended.withColumn("score", score).filter((F.col("score") >= ACCEPTED_SCORE) & (length > 0))
-    counted = _filled_counts(accepted.withColumn("confidence", F.round("score", 3)), rows)
+    counted = _filled_counts(accepted.withColumn("confidence", F.round("score", 3)), rows, header_rows)
     found = _main(counted)
     result = found if regions is None else found.unionByName(regions)
     return result.select(

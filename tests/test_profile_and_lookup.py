@@ -47,9 +47,10 @@ def test_find_values_matches_whole_words(shops):
     assert rows(rm.find_values(shops, "pen", max_distinct=3)) == []
 
 
-def test_columns_of_many_values_are_left_out(table):
+def test_columns_of_many_values_are_left_out_if_asked_for(table):
     df = table("s string, few string", *[(f"w{i}", "w1") for i in range(300)])
-    assert rows(rm.find_values(df, "w1 w2")) == [("few", "w1", 300)]
+    assert rows(rm.find_values(df, "w1 w2", max_distinct=100)) == [("few", "w1", 300)]
+    assert rows(rm.find_values(df, "w1 w2")) == [("few", "w1", 300), ("s", "w1", 1), ("s", "w2", 1)]
 
 
 def test_filter_candidates_from_fragments(shops):
@@ -68,4 +69,4 @@ def test_filter_candidates_list_equal_row_sets_once(table):
 def test_filter_candidates_from_text(table):
     df = table("vendor string", ("Acme Ltd",), ("Acme Inc",), ("Other",))
     got = rows(rm.find_filter_candidates(df, text="rows of acme please"), "operator", "value", "row_count")
-    assert got[0] == ("contains", "acme ", 2)
+    assert got[0] == ("contains", "Acme ", 2)  # as the column spells it
