@@ -27,7 +27,7 @@ HEADLINE = [
     "rank_rows_average_over_all", "rank_rows_dense_over_all_cut", "cumulative_sum_per_customer", "cumulative_sum_over_all_cut",
     "percent_change_per_customer_1", "percent_change_over_all_cut_1", "mark_duplicates_every_copy", "add_subtotals", "add_total_row_sum",
     "add_conditional_summary_row_sum_two", "highlight_extremes_top_n", "color_scale", "format_numbers_currency", "profile_table",
-    "find_values", "find_filter_candidates", "find_table_regions", "read_region", "combine_files", "preview_steps",
+    "profile_table_of_many_rows", "color_scale_over_many_rows", "select_top_n_of_a_long_list", "find_values", "find_filter_candidates", "find_table_regions", "read_region", "combine_files", "preview_steps",
 ]
 
 

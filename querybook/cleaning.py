@@ -102,3 +102,29 @@ def mark_error_values(t):
     priority = F.when(F.col("o_orderpriority") == "1-URGENT", "#DIV/0!").when(F.col("o_orderpriority") == "2-HIGH", "#NOPE!")
     df = t("orders").select("o_orderkey", status.alias("status"), priority.otherwise(F.col("o_orderpriority")).alias("priority"))
     return rm.mark_error_values(df)
+
+
+# Tables loaded with their source position: whole rows are compared without it.
+_FLAGS = "(SELECT l_returnflag, nullif(l_linestatus, 'O') AS l_linestatus FROM lineitem)"
+
+
+def _loaded_flags(t):
+    df = rm.load_table(t.spark, t.path("lineitem"), include_source_metadata=True)
+    kept = df.select("l_returnflag", F.nullif("l_linestatus", F.lit("O")).alias("l_linestatus"), "_source_file", "_source_row")
+    return kept
+
+
+@query(f"SELECT DISTINCT l_returnflag, l_linestatus FROM {_FLAGS}")
+def remove_duplicates_of_a_loaded_table(t):
+    return rm.remove_duplicates(_loaded_flags(t)).select("l_returnflag", "l_linestatus")
+
+
+@query(f"SELECT l_returnflag, l_linestatus, count(*) - 1 AS later_copies FROM {_FLAGS} GROUP BY ALL")
+def mark_duplicates_of_a_loaded_table(t):
+    marked = rm.mark_duplicates(_loaded_flags(t), result_column="copy", keep="first", rows_per_task=5_000)
+    return marked.groupBy("l_returnflag", "l_linestatus").agg(F.count_if("copy").alias("later_copies"))
+
+
+@query(f"SELECT l_linestatus FROM {_FLAGS} WHERE l_linestatus IS NOT NULL")
+def remove_empty_rows_of_a_loaded_table(t):
+    return rm.remove_empty_rows(_loaded_flags(t).drop("l_returnflag")).select("l_linestatus")

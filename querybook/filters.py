@@ -132,6 +132,12 @@ def select_top_n(t):
     return rm.select_top_n(t("orders"), "o_totalprice", 25, order_columns="o_orderkey")
 
 
+@query("SELECT * FROM lineitem ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate, l_quantity LIMIT 120000")
+def select_top_n_of_a_long_list(t):
+    ties = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_quantity"]
+    return rm.select_top_n(t("lineitem"), "l_extendedprice", 120_000, order_columns=ties, rows_per_task=20_000)
+
+
 @query("SELECT * FROM events ORDER BY value, event_id LIMIT 100")
 def select_bottom_n(t):
     return rm.select_top_n(t("events"), "value", 100, largest=False, order_columns="event_id")

@@ -100,6 +100,11 @@ def replace_values_large_map(t):
     return rm.replace_values(t("nation").select("n_nationkey", "n_name"), "n_name", names)
 
 
+@query("SELECT l_orderkey, l_linenumber, CASE WHEN l_quantity <= 60 THEN l_quantity * 10 ELSE l_quantity END AS l_quantity FROM lineitem")
+def replace_values_whole_numbers_in_a_double_column(t):
+    return rm.replace_values(t("lineitem").select("l_orderkey", "l_linenumber", "l_quantity"), "l_quantity", {i: i * 10 for i in range(1, 61)})
+
+
 @query("SELECT page_id, replace(html, '</p>', '<br>') AS html FROM pages")
 def replace_text(t):
     return rm.replace_text(t("pages").select("page_id", "html"), "html", "</p>", "<br>")
