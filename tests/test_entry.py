@@ -1,0 +1,43 @@
+"""The driver's entry point, with and without the text subpackage."""
+
+import shutil
+import subprocess
+import sys
+from pathlib import Path
+
+import pytest
+
+REPO = Path(__file__).resolve().parents[1]
+CODE = "import __spark_entry__ as e, querybook as q; assert set(q.QUERIES) <= set(e.queries()); print(len(e.queries()) - len(q.QUERIES))"
+
+
+def imported(folder, code=CODE):
+    return subprocess.run([sys.executable, "-c", code], cwd=folder, capture_output=True, text=True)
+
+
+@pytest.fixture
+def copy(tmp_path):
+    for name in ("rowmill", "querybook"):
+        shutil.copytree(REPO / name, tmp_path / name, ignore=shutil.ignore_patterns("__pycache__"))
+    for file in ("__spark_entry__.py", "corpus_pipeline.py"):
+        if (REPO / file).exists():
+            shutil.copy(REPO / file, tmp_path / file)
+    return tmp_path
+
+
+def test_entry_imports():
+    assert imported(REPO).returncode == 0
+
+
+def test_entry_without_the_text_subpackage(copy):
+    shutil.rmtree(copy / "rowmill" / "llm", ignore_errors=True)
+    (copy / "corpus_pipeline.py").unlink(missing_ok=True)
+    run = imported(copy)
+    assert run.returncode == 0 and run.stdout.split() == ["0"], run.stderr
+
+
+def test_other_missing_modules_are_errors(copy):
+    if not (copy / "rowmill" / "llm").exists():
+        pytest.skip("the text subpackage is not here")
+    (copy / "rowmill" / "plans" / "lineage.py").unlink()
+    assert imported(copy).returncode != 0
