@@ -100,6 +100,38 @@ def read_region(t):
     return df.select(F.col("_source_row").alias("source_row"), *_HEADERS)
 
 
+_WIDE = 105
+
+
+def _supplier_cells(t):
+    """The suppliers as a wide grid below 297 rows of notes: names and 104 numbers in columns 1 to 105."""
+    place = [F.lit("book").alias("file"), F.lit("suppliers").alias("sheet")]
+    texts = [F.col("s_name"), *[(F.col("s_suppkey") + i).cast("string") for i in range(2, _WIDE + 1)]]
+    body = t("supplier").select(*place, (F.col("s_suppkey") + 301).alias("row"), F.posexplode(F.array(*texts)))
+    body = body.select("file", "sheet", "row", (F.col("pos") + 1).alias("col"), F.col("col").alias("value"))
+    heads = F.array(F.lit("s_name"), *[F.lit(f"plus {i}") for i in range(2, _WIDE + 1)])
+    head = t.spark.range(1).select(*place, F.lit(300).cast("long").alias("row"), F.posexplode(heads))
+    head = head.select("file", "sheet", "row", (F.col("pos") + 1).alias("col"), F.col("col").alias("value"))
+    notes = t.spark.range(1, 298).select(*place, F.col("id").alias("row"), F.lit(1).alias("col"), F.lit("note").alias("value"))
+    return body.unionByName(head).unionByName(notes)
+
+
+@query(f"""SELECT 300 AS header_row, {_WIDE} AS end_col, {_WIDE} AS names, max(s_suppkey) + 301 AS data_end_row, count(*) AS filled_rows FROM supplier""")
+def find_table_regions_wide_and_late(t):
+    found = rm.find_table_regions(_supplier_cells(t))
+    return found.select("header_row", "end_col", F.size("headers").alias("names"), "data_end_row", "filled_rows")
+
+
+@query(f"""SELECT s_suppkey + 301 AS source_row, s_name, CAST(s_suppkey + 2 AS VARCHAR) AS "plus 2", CAST(s_suppkey + {_WIDE} AS VARCHAR) AS "plus {_WIDE}",
+  {_WIDE} AS filled FROM supplier""")
+def read_region_wide_and_late(t):
+    cells = _supplier_cells(t)
+    headers = ["s_name", *[f"plus {i}" for i in range(2, _WIDE + 1)]]
+    df = rm.read_region(cells, rm.find_table_regions(cells), headers)
+    filled = sum(F.col(f"`{h}`").isNotNull().cast("int") for h in headers)
+    return df.select(F.col("_source_row").alias("source_row"), "s_name", "plus 2", f"plus {_WIDE}", filled.alias("filled"))
+
+
 def _profile_sql(table, order, columns):
     parts = []
     for name, kind, type_name in columns:

@@ -16,13 +16,15 @@ from rowmill.plans.hot_ranges import ROWS_PER_TASK, SOURCE_FILE, SOURCE_ROW, sou
 from rowmill.plans.lineage import materialize
 from rowmill.sources.load import ORIGIN_FILE, ORIGIN_TABLE, _with_position
 
-# How far down headers are looked for unless a caller says otherwise, and how a header row is scored.
-HEADER_ROWS = 200
+# How a header row is scored.
 TEXT_WEIGHT, UNIQUE_WEIGHT, DENSITY_WEIGHT = 0.45, 0.15, 0.30
 ROWS_WEIGHT, ROWS_CAP = 0.01, 10
 TAG_PENALTY = 0.4
 ACCEPTED_SCORE = 0.62
 DENSITY_ROWS = 3
+#: Rows whose places in a span are found in one task, and spans of a sheet that are matched with its rows first.
+ROW_BLOCK = 4096
+LEADING_SPANS = 4
 
 SHEET = ["file", "sheet"]
 SPAN = [*SHEET, "start_col", "end_col"]
@@ -83,89 +85,133 @@ def _unique_names(values: Column, start: Column) -> Column:
     return F.aggregate(named, F.array().cast("array<string>"), given)
 
 
-def _header_candidates(cells: DataFrame, header_rows: int) -> DataFrame:
-    """Runs of at least two filled cells, two of them text, in the first rows."""
-    head = cells.filter(F.col("row") <= header_rows)
+def _filled_columns(cells: DataFrame) -> DataFrame:
+    """The columns of the filled cells of each row, ascending."""
+    return cells.groupBy(*SHEET, "row").agg(F.sort_array(F.collect_list("col")).alias("cols"))
+
+
+def _inside() -> Column:
+    """The filled columns of a row that lie in a span."""
+    return F.filter("cols", lambda c: c.between(F.col("start_col"), F.col("end_col")))
+
+
+def _header_candidates(cells: DataFrame, header_rows: int | None) -> DataFrame:
+    """Runs of at least two filled cells, two of them text, that can reach the limit if the rows below are filled."""
+    head = cells if header_rows is None else cells.filter(F.col("row") <= header_rows)
     in_row = Window.partitionBy(*SHEET, "row").orderBy("col")  # the cells of one row
     runs = head.withColumn("run", F.col("col") - F.row_number().over(in_row))
-    names = F.sort_array(F.collect_list(F.struct("col", "value")))
     grouped = runs.groupBy(*SHEET, "row", "run").agg(
         F.min("col").alias("start_col"), F.max("col").alias("end_col"), F.count(F.lit(1)).alias("width"),
         F.count_if(_text_like(F.col("value"))).alias("texts"),
         F.count_distinct(strip(F.col("value"))).alias("different"),
         F.max(strip(F.col("value")).startswith("[")).alias("tagged"),
-        F.transform(names, lambda x: x["value"]).alias("values"),
     )
-    found = grouped.filter((F.col("width") >= 2) & (F.col("texts") >= 2))
-    return found.drop("run").withColumnRenamed("row", "header_row")
+    names = (
+        F.col("texts") / F.col("width") * TEXT_WEIGHT + F.col("different") / F.col("width") * UNIQUE_WEIGHT
+        - F.when(F.col("tagged"), TAG_PENALTY).otherwise(0.0)
+    )
+    found = grouped.filter((F.col("width") >= 2) & (F.col("texts") >= 2)).withColumn("names", names)
+    best = F.col("names") + DENSITY_WEIGHT + ROWS_WEIGHT * ROWS_CAP
+    return found.filter(best >= ACCEPTED_SCORE - 1e-9).select(*SPAN, F.col("row").alias("header_row"), "width", "names")
 
 
-def _density(candidates: DataFrame, cells: DataFrame, header_rows: int) -> DataFrame:
-    """Share of filled cells in the rows right below each candidate."""
-    last = cells.groupBy(*SHEET).agg(F.max("row").alias("last_row"))
+def _scored(candidates: DataFrame, columns: DataFrame) -> DataFrame:
+    """Candidates with their score but for the row bonus: names, and the share of filled cells in the rows right below."""
+    last = columns.groupBy(*SHEET).agg(F.max("row").alias("last_row"))
     below = candidates.join(last, SHEET).filter(F.col("last_row") > F.col("header_row"))
     rows = F.sequence(F.col("header_row") + 1, F.least(F.col("last_row"), F.col("header_row") + DENSITY_ROWS))
-    rows_below = below.select(*SPAN, "header_row", F.size(rows).alias("looked_at"), F.explode(rows).alias("row"))
-    near = cells.filter(F.col("row") <= header_rows + DENSITY_ROWS).select(*SHEET, "row", "col")
-    hit = rows_below.join(near, [*SHEET, "row"], "left")
-    inside = F.col("col").between(F.col("start_col"), F.col("end_col"))
-    return hit.groupBy(*SPAN, "header_row", "looked_at").agg(F.count_if(inside).alias("filled"))
-
-
-def _filled_rows(spans: DataFrame, cells: DataFrame) -> DataFrame:
-    """Distinct rows with a filled cell inside each span."""
-    joined = cells.select(*SHEET, "row", "col").join(spans, SHEET)
-    inside = joined.filter(F.col("col").between(F.col("start_col"), F.col("end_col")))
-    return inside.groupBy(*SPAN, "row").agg(F.lit(1).alias("one")).drop("one")
+    rows_below = below.select(*SPAN, "header_row", "width", "names", F.size(rows).alias("looked_at"), F.explode(rows).alias("row"))
+    hit = rows_below.join(columns, [*SHEET, "row"], "left")
+    filled = F.sum(F.coalesce(F.size(_inside()), F.lit(0)))
+    dense = hit.groupBy(*SPAN, "header_row", "width", "names", "looked_at").agg(filled.alias("filled"))
+    base = F.col("names") + F.col("filled") / (F.col("width") * F.col("looked_at")) * DENSITY_WEIGHT
+    # The row bonus is the only part missing; what cannot reach the limit with it is out.
+    return dense.select(*SPAN, "header_row", base.alias("base")).filter(F.col("base") + ROWS_WEIGHT * ROWS_CAP >= ACCEPTED_SCORE)
 
 
-def _last_rows(rows: DataFrame, header_rows: int) -> DataFrame:
-    """Filled rows followed by two empty ones; a table ends at the first of them.
+def _filled_rows(spans: DataFrame, columns: DataFrame) -> DataFrame:
+    """Filled rows of each span with their number in it, the row at which a table around them ends, and that row's number.
 
-    Each row vouches for the two rows above it, which is one grouping by row
-    instead of a window over the sheet. Beyond the header rows only the first
-    end matters.
+    A table ends at the first filled row that two empty ones follow. Numbers and
+    ends are found inside blocks of rows and carried over from block to block, so
+    that a long sheet spreads over all tasks.
     """
-    votes = F.explode(F.array(
-        F.struct(F.col("row").alias("row"), F.lit(True).alias("own")),
-        F.struct((F.col("row") - 1).alias("row"), F.lit(False).alias("own")),
-        F.struct((F.col("row") - 2).alias("row"), F.lit(False).alias("own")),
-    )).alias("vote")
-    judged = rows.select(*SPAN, votes).groupBy(*SPAN, F.col("vote.row").alias("row")).agg(
-        F.bool_or("vote.own").alias("own"), F.bool_and("vote.own").alias("alone")
+    rows = columns.join(spans, SHEET).filter(F.size(_inside()) > 0)
+    rows = materialize(rows.select(*SPAN, "row", F.floor(F.col("row") / ROW_BLOCK).alias("block")))
+    block, across = [*SPAN, "block"], Window.partitionBy(*SPAN).orderBy("block")
+    up, down = Window.partitionBy(*block).orderBy("row"), Window.partitionBy(*block).orderBy(F.col("row").desc())
+    before = across.rowsBetween(Window.unboundedPreceding, -1)
+    blocks = rows.groupBy(*block).agg(F.min("row").alias("first"), F.count(F.lit(1)).alias("n"))
+    blocks = blocks.select(*block, F.lead("first").over(across).alias("next_block"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("carried"))
+    joined = rows.join(blocks, block)
+    following = F.coalesce(F.lead("row").over(up), F.col("next_block"))
+    numbered = joined.withColumns({"number": F.col("carried") + F.row_number().over(up), "following": following})
+    is_end = F.col("following").isNull() | (F.col("following") > F.col("row") + 2)
+    marked = materialize(numbered.select(*block, "row", "number", F.when(is_end, F.struct("row", "number")).alias("end")))
+    later = Window.partitionBy(*SPAN).orderBy(F.col("block").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    ends = marked.groupBy(*block).agg(F.min("end").alias("first_end")).select(*block, F.min("first_end").over(later).alias("later_end"))
+    end = F.coalesce(F.min("end").over(down), F.col("later_end"))
+    found = marked.join(ends, block).select(*SPAN, "row", "number", end.alias("end"))
+    return found.select(*SPAN, "row", "number", F.col("end.row").alias("end_row"), F.col("end.number").alias("end_number"))
+
+
+def _regions(scored: DataFrame, columns: DataFrame) -> DataFrame:
+    """The accepted candidates with their end row, number of filled rows and confidence."""
+    rows = _filled_rows(scored.select(*SPAN).distinct(), columns)
+    ended = scored.join(rows.withColumnRenamed("row", "header_row"), [*SPAN, "header_row"])
+    length = F.col("end_row") - F.col("header_row")
+    score = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("base") + F.least(length, F.lit(ROWS_CAP)) * ROWS_WEIGHT))
+    # A header that is itself the last row has no data below it.
+    accepted = ended.withColumn("score", score).filter((F.col("score") >= ACCEPTED_SCORE) & (length > 0))
+    return accepted.select(
+        *SPAN, "header_row", "end_row", (F.col("end_number") - F.col("number")).alias("filled_rows"), F.round("score", 3).alias("confidence")
     )
-    ends = judged.filter(F.col("own") & F.col("alone"))
-    slot = F.least(F.col("row"), F.lit(header_rows + 1).cast("long"))
-    return ends.groupBy(*SPAN, slot.alias("slot")).agg(F.min("row").alias("end_row"))
 
 
-def _filled_counts(candidates: DataFrame, rows: DataFrame, header_rows: int) -> DataFrame:
-    """Filled rows of each candidate region.
+def _best_regions(scored: DataFrame, columns: DataFrame) -> DataFrame:
+    """The main region of each sheet among the candidates.
 
-    Only the first rows are matched with every candidate. All regions of a span
-    that reach farther end at the same row, so their rest is counted once.
+    Rows of a table look like headers of narrower or later regions. The widest
+    spans of a sheet are looked at first; a candidate inside one of their regions
+    has fewer filled rows and no more columns, so it cannot be the main one and
+    its span is not matched with the rows.
     """
-    near = rows.filter(F.col("row") <= header_rows)
-    far_ends = candidates.filter(F.col("end_row") > header_rows).select(*SPAN, "end_row").distinct()
-    rest = rows.filter(F.col("row") > header_rows).join(far_ends, SPAN).filter(F.col("row") <= F.col("end_row"))
-    rest = rest.groupBy(*SPAN, "end_row").agg(F.count(F.lit(1)).alias("far"))
-    inside = near.join(candidates.select(*SPAN, "header_row", "end_row"), SPAN).filter(
-        (F.col("row") > F.col("header_row")) & (F.col("row") <= F.col("end_row"))
+    widest = Window.partitionBy(*SHEET).orderBy((F.col("end_col") - F.col("start_col")).desc(), "first", "start_col")
+    spans = scored.groupBy(*SPAN).agg(F.min("header_row").alias("first"))
+    leads = materialize(spans.withColumn("_rank", F.row_number().over(widest)).filter(F.col("_rank") <= LEADING_SPANS).select(*SPAN))
+    led = _regions(scored.join(leads, SPAN, "left_semi"), columns)
+    largest = materialize(_main(led, SPAN))
+    around = largest.select(*SHEET, *[F.col(c).alias(f"lead_{c}") for c in ("start_col", "end_col", "header_row", "end_row")])
+    covered = (
+        (F.col("lead_start_col") <= F.col("start_col")) & (F.col("lead_end_col") >= F.col("end_col"))
+        & F.col("header_row").between(F.col("lead_header_row"), F.col("lead_end_row"))
     )
-    counted = inside.groupBy(*SPAN, "header_row", "end_row").agg(F.count(F.lit(1)).alias("near"))
-    both = candidates.join(counted, [*SPAN, "header_row", "end_row"], "left").join(rest, [*SPAN, "end_row"], "left")
-    filled = F.coalesce(F.col("near"), F.lit(0)) + F.coalesce(F.col("far"), F.lit(0))
-    return both.withColumn("filled_rows", filled).drop("near", "far")
+    rest = scored.join(leads, SPAN, "left_anti")
+    same_sheet = (rest["file"] == around["file"]) & (rest["sheet"] == around["sheet"])
+    rest = materialize(rest.join(around, same_sheet & covered, "left_anti"))
+    if rest.isEmpty():
+        return _main(largest, SHEET)
+    return _main(largest.unionByName(_regions(rest, columns)), SHEET)
 
 
-def _main(candidates: DataFrame) -> DataFrame:
-    """The region with most filled cells per sheet; wider, higher and surer ones win ties."""
+def _main(candidates: DataFrame, keys: list[str]) -> DataFrame:
+    """The region with most filled cells per key; wider, higher and surer ones win ties."""
     width = F.col("end_col") - F.col("start_col") + 1
-    order = Window.partitionBy(*SHEET).orderBy(
-        (F.col("filled_rows") * width).desc(), width.desc(), "header_row", F.col("confidence").desc(), "start_col"
+    order = [-F.col("filled_rows") * width, -width, F.col("header_row"), -F.col("confidence"), F.col("start_col")]
+    place = F.struct(*[c.alias(f"_{i}") for i, c in enumerate(order)], "end_col", "end_row", "filled_rows", "confidence")
+    best = candidates.groupBy(*keys).agg(F.min(place).alias("best"))
+    return best.select(
+        *SHEET, F.col("best._4").alias("start_col"), "best.end_col", F.col("best._2").alias("header_row"), "best.end_row", "best.confidence", "best.filled_rows"
     )
-    ranked = candidates.withColumn("_best", F.row_number().over(order)).filter("_best = 1")
-    return ranked.select(*SPAN, "header_row", "end_row", "values", "confidence", "filled_rows")
+
+
+def _with_names(regions: DataFrame, cells: DataFrame) -> DataFrame:
+    """The regions with the cells of their header row, blanks null."""
+    wanted = regions.withColumn("col", F.explode(F.sequence("start_col", "end_col")))
+    heads = cells.select(*SHEET, F.col("row").alias("header_row"), "col", "value")
+    named = wanted.join(heads, [*SHEET, "header_row", "col"], "left")
+    values = F.transform(F.sort_array(F.collect_list(F.struct("col", "value"))), lambda x: x["value"])
+    return named.groupBy(*regions.columns).agg(values.alias("values"))
 
 
 def _declared_regions(declared: DataFrame, cells: DataFrame) -> DataFrame:
@@ -181,21 +227,16 @@ def _declared_regions(declared: DataFrame, cells: DataFrame) -> DataFrame:
         & F.col("row").between(F.col("header_row") + 1, F.col("end_row"))
     )
     counts = rows.select(*region, "row").distinct().groupBy(*region).agg(F.count(F.lit(1)).alias("filled_rows"))
-    wanted = ranges.withColumn("col", F.explode(F.sequence("start_col", "end_col")))
-    heads = cells.select(*SHEET, F.col("row").alias("header_row"), "col", "value")
-    named = wanted.join(heads, [*SHEET, "header_row", "col"], "left")
-    values = F.transform(F.sort_array(F.collect_list(F.struct("col", "value"))), lambda x: x["value"])
-    titled = named.groupBy(*region).agg(values.alias("values")).withColumn("confidence", F.lit(1.0))
-    counted = titled.join(counts, region, "left")
-    return _main(counted.withColumn("filled_rows", F.coalesce("filled_rows", F.lit(0))))
+    counted = ranges.withColumn("confidence", F.lit(1.0)).join(counts, region, "left")
+    return _main(counted.withColumn("filled_rows", F.coalesce("filled_rows", F.lit(0))), SHEET)
 
 
-def find_table_regions(cells: DataFrame, declared: DataFrame | None = None, header_rows: int = HEADER_ROWS) -> DataFrame:
+def find_table_regions(cells: DataFrame, declared: DataFrame | None = None, header_rows: int | None = None) -> DataFrame:
     """One main table per sheet: header row, column span, end row, headers, filled rows, confidence.
 
     `declared` (file, sheet, header_row, start_col, end_col, end_row[, has_totals])
-    wins over detection in its sheets. Headers are looked for in the first
-    `header_rows` rows of a sheet, in all columns.
+    wins over detection in its sheets. Headers are looked for in all rows and
+    columns of a sheet, or in its first `header_rows` rows if given.
     """
     cells = cells.select(
         *SHEET, F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"), "value"
@@ -204,32 +245,11 @@ def find_table_regions(cells: DataFrame, declared: DataFrame | None = None, head
     if declared is not None:
         regions = _declared_regions(declared, cells)
         free = cells.join(regions.select(*SHEET), SHEET, "left_anti")
-    candidates = _header_candidates(free, header_rows)
-    density = _density(candidates, free, header_rows)
-    scored = candidates.join(density, [*SPAN, "header_row"])
-    width = F.col("width")
-    base = (
-        F.col("texts") / width * TEXT_WEIGHT + F.col("different") / width * UNIQUE_WEIGHT
-        + F.col("filled") / (width * F.col("looked_at")) * DENSITY_WEIGHT
-        - F.when(F.col("tagged"), TAG_PENALTY).otherwise(0.0)
-    )
-    # The row bonus is the only part missing; what cannot reach the limit with it is out.
-    # Few candidates remain; they and the rows of their spans are read by several branches below.
-    scored = materialize(scored.withColumn("base", base).filter(F.col("base") + ROWS_WEIGHT * ROWS_CAP >= ACCEPTED_SCORE))
-    rows = materialize(_filled_rows(scored.select(*SPAN).distinct(), free))
-    ends = _last_rows(rows, header_rows)
-    ended = scored.join(ends, SPAN).filter(F.col("end_row") >= F.col("header_row"))
-    ended = ended.groupBy(*SPAN, "header_row").agg(
-        F.min("end_row").alias("end_row"), F.first("base").alias("base"), F.first("values").alias("values")
-    )
-    length = F.col("end_row") - F.col("header_row")
-    score = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("base") + F.least(length, F.lit(ROWS_CAP)) * ROWS_WEIGHT))
-    # A header that is itself the last row has no data below it.
-    accepted = ended.withColumn("score", score).filter((F.col("score") >= ACCEPTED_SCORE) & (length > 0))
-    counted = _filled_counts(accepted.withColumn("confidence", F.round("score", 3)), rows, header_rows)
-    found = _main(counted)
+    columns = materialize(_filled_columns(free))
+    scored = materialize(_scored(_header_candidates(free, header_rows), columns))
+    found = _best_regions(scored, columns)
     result = found if regions is None else found.unionByName(regions)
-    return result.select(
+    return _with_names(result, cells).select(
         *SHEET, "header_row", "start_col", "end_col", (F.col("header_row") + 1).alias("data_start_row"),
         F.col("end_row").alias("data_end_row"), _unique_names(F.col("values"), F.col("start_col")).alias("headers"),
         F.col("filled_rows").cast("long").alias("filled_rows"), "confidence",

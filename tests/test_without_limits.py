@@ -43,6 +43,25 @@ def test_wide_grids_with_late_headers(spark, tmp_path):
     assert rm.read_region(cells, rm.find_table_regions(cells, header_rows=300), region["headers"]).count() == 7
 
 
+@pytest.mark.parametrize("block, leads", [(4096, 4), (7, 1)])
+def test_tables_below_many_rows_of_text(spark, monkeypatch, block, leads):
+    """A late and larger table, with words in its rows, wins over the first; gaps of one row stay inside, blocks and spans change nothing."""
+    from rowmill.sources import regions
+
+    monkeypatch.setattr(regions, "ROW_BLOCK", block)
+    monkeypatch.setattr(regions, "LEADING_SPANS", leads)
+    lines = {1: ["k", "v", "w", "x", "y"], 2: ["a", "b", "c", "d", "e"], 3: ["f", "g", "h", "i", "j"], 400: ["name", "town", "size"]}
+    lines |= {r: [f"n{r}", f"t{r}" if r % 3 else None, str(r)] for r in range(401, 460) if r != 430}
+    cells = [("f", "s", r, c, v) for r, line in lines.items() for c, v in enumerate(line, 1) if v is not None]
+    df = spark.createDataFrame(cells, "file string, sheet string, row int, col int, value string")
+    found = rm.find_table_regions(df).collect()
+    assert [(r["header_row"], r["start_col"], r["end_col"], r["data_end_row"], r["filled_rows"], r["headers"]) for r in found] == [
+        (400, 1, 3, 459, 58, ["name", "town", "size"])
+    ]
+    assert rm.read_region(df, rm.find_table_regions(df), ["name", "town", "size"]).count() == 58
+    assert [r["header_row"] for r in rm.find_table_regions(df, header_rows=200).collect()] == [1]
+
+
 @pytest.mark.parametrize("names, expected", [
     (["a", "a_2", "a"], ["a", "a_2", "a_3"]), ([" a ", "", "a", "a"], ["a", "column_2", "a_2", "a_3"]), (["a", "a", "a_2"], ["a", "a_3", "a_2"]), ([], []),
 ])
