@@ -20,9 +20,10 @@ from rowmill.plans.lineage import written
 BROADCAST_GROUPS = 5_000
 D = 4
 #: Standard deviations that are taken for harmless in each coordinate, whatever a group shows.
-HARMLESS = (0.06, 0.03, 0.05, 0.15)
-#: Squared distance from which a row is an outlier: 4e-8 of a normal sample lies beyond.
-CUTOFF = 40.0
+HARMLESS = (0.06, 0.03, 0.04, 0.12)
+#: Squared distance from which a row is an outlier: a thousandth of a normal sample in 4 dimensions lies beyond.
+#: In a group without repetition, rows with 27 % repeated words or with repeated lines for 3 % of the words reach it.
+CUTOFF = 18.5
 #: Half of a normal sample in 4 dimensions shows its scatter too small by this factor; 97.5 % of it lies within NEAR.
 HALF_FACTOR, NEAR, NEAR_FACTOR = 2.11, 11.14, 1.08
 #: Groups of fewer rows are estimated together: first per language, then all.

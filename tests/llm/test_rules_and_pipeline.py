@@ -90,6 +90,22 @@ def test_quality_keeps_good_documents(spark, sf_dir):
     assert kept[1] >= 0.99 and kept[0] <= 0.05
 
 
+def test_repetition_in_a_clean_group_is_rejected(spark):
+    """45 % repeated words, or half of the lines repeated, are allowed by the base rule but stand out."""
+    word = lambda doc, i: f"w{doc % 10}{i % 10}{chr(97 + i // 10 % 26)}{chr(97 + doc // 10 % 26)}"
+    clean = [[word(d, i) for i in range(120)] for d in range(200)]
+    phrase = [f"ab{i:02}c" for i in range(27)]
+    repeated = [*phrase, *phrase, *clean[0][:66]]
+    line = " ".join(f"xy{i:02}z" for i in range(3))
+    lines = [*[line] * 20, *[" ".join(clean[1][i : i + 3]) for i in range(0, 63, 3)]]
+    rows = [(i, " ".join(w)) for i, w in enumerate(clean)] + [(-1, " ".join(repeated)), (-2, "\n".join(lines))]
+    df = spark.createDataFrame([(i, t, "en", "a") for i, t in rows], "doc_id bigint, text string, lang string, source string")
+    found = {r["doc_id"]: r for r in outliers.quality_rules(df).collect()}
+    assert not any(found[i]["base_failed"] for i in (-1, -2))
+    assert not found[-1]["kept"] and not found[-2]["kept"]
+    assert all(r["kept"] for i, r in found.items() if i >= 0)
+
+
 @pytest.mark.parametrize("text", ["a b c a b c", "a a a a a", "a b c x a b c y a b c", "x\nx\n \ny\nx", "#a *b | c", "a b", LONG])
 def test_statistics(spark, text):
     row = spark.createDataFrame([(text,)], "t string").select(outliers.text_statistics(F.col("t")).alias("s")).select("s.*").first()
