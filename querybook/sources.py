@@ -244,3 +244,15 @@ def cells_from_csv(t):
     df = rm.read_region(cells, rm.find_table_regions(cells), headers)
     df = rm.convert_column_type(rm.convert_column_type(df, "balance", "number"), "c_custkey", "number")
     return df.select("c_name", "c_mktsegment", "balance", F.col("c_custkey").cast("bigint").alias("c_custkey"))
+
+
+@query("SELECT c_name, c_mktsegment, c_acctbal AS balance, c_custkey FROM customer")
+def cells_from_csv_of_any_width(t):
+    target = t.scratch()
+    headers = [*_HEADERS, "c_custkey"]
+    table = t("customer").withColumnRenamed("c_acctbal", "balance").select(*headers)
+    table.write.csv(target, header=True, sep=";")
+    cells = rm.cells_from_csv(t.spark, target, delimiter=";")
+    df = rm.read_region(cells, rm.find_table_regions(cells), headers)
+    df = rm.convert_column_type(rm.convert_column_type(df, "balance", "number"), "c_custkey", "number")
+    return df.select("c_name", "c_mktsegment", "balance", F.col("c_custkey").cast("bigint").alias("c_custkey"))

@@ -8,6 +8,8 @@ sheet spreads over all tasks.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -46,9 +48,9 @@ def cells_from_csv(
         rows = parts.carry(rows, {"_carried": F.count(F.lit(1))})
         number = number + F.coalesce(F.col("_carried"), F.lit(0))
     if width is None:
-        separators = F.length("value") - F.length(F.replace(F.col("value"), F.lit(options.get("sep", ",")), F.lit("")))
-        width = 1 + (lines.agg(F.max(separators / len(options.get("sep", ",")))).first()[0] or 0)
-        width = int(width)
+        # A separator inside quotes or over another one counts too, so no line has more fields.
+        separators = F.regexp_count("value", F.lit(f"(?={re.escape(_separator(spark, options))})"))
+        width = 1 + (lines.agg(F.max(separators)).first()[0] or 0)
     schema = ", ".join(f"c{i} string" for i in range(1, width + 1))
     record = F.from_csv("value", F.lit(schema), options)
     cells = F.posexplode(F.array(*[record[f"c{i}"] for i in range(1, width + 1)]))
@@ -61,6 +63,13 @@ def cells_from_csv(
     )
 
 
+def _separator(spark: SparkSession, options: dict[str, str]) -> str:
+    """The separator as Spark reads it: `sep` before `delimiter`, in any case of letters, escapes resolved."""
+    given = {name.lower(): value for name, value in options.items()}
+    named = given.get("sep", given.get("delimiter", ","))
+    return spark.sparkContext._jvm.org.apache.spark.sql.catalyst.csv.CSVExprUtils.toDelimiterStr(named)
+
+
 def _filled(value: Column) -> Column:
     return value.isNotNull() & value.rlike(NOT_SPACE)
 

@@ -43,6 +43,17 @@ def test_wide_grids_with_late_headers(spark, tmp_path):
     assert rm.read_region(cells, rm.find_table_regions(cells, header_rows=300), region["headers"]).count() == 7
 
 
+@pytest.mark.parametrize("options, between", [
+    ({"delimiter": ";"}, ";"), ({"DELIMITER": ";"}, ";"), ({"Sep": ";", "delimiter": ","}, ";"), ({"sep": "\\t"}, "\t"), ({"delimiter": "||"}, "||"), ({}, ","),
+])
+def test_every_separator_counts_for_the_width(spark, tmp_path, options, between):
+    (tmp_path / "grid.csv").write_text("\n".join([between.join("abc"), between.join(["1", "", "3", "4"])]))
+    cells = rm.cells_from_csv(spark, str(tmp_path / "grid.csv"), **options)
+    assert sorted((r["row"], r["col"], r["value"]) for r in cells.collect()) == [
+        (1, 1, "a"), (1, 2, "b"), (1, 3, "c"), (2, 1, "1"), (2, 3, "3"), (2, 4, "4")
+    ]
+
+
 @pytest.mark.parametrize("block, leads", [(4096, 4), (7, 1)])
 def test_tables_below_many_rows_of_text(spark, monkeypatch, block, leads):
     """A late and larger table, with words in its rows, wins over the first; gaps of one row stay inside, blocks and spans change nothing."""
