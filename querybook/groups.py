@@ -106,3 +106,14 @@ def pivot_table_mean_by_day(t):
     listed = ["2024-01-01", "2024-01-02", "2024-01-03"]
     df = rm.pivot_table(df, "event_type", "ts", "value", "mean", fill_value=None, pivot_values=listed)
     return df.select("event_type", *[F.round(F.col(f"`{d}`"), 6).alias(d) for d in listed])
+
+
+_DAYS = [f"2024-01-{d:02}" for d in range(1, 31)]
+
+
+@query("SELECT event_type, " + _cases("day", _DAYS, "round(avg(CASE WHEN {test} THEN value END), 6)")
+       + " FROM (SELECT event_type, value, strftime(ts, '%Y-%m-%d') AS day FROM events) GROUP BY 1")
+def pivot_table_mean_by_every_day(t):
+    df = rm.convert_column_type(t("events"), "ts", "date")
+    df = rm.pivot_table(df, "event_type", "ts", "value", "mean", fill_value=None)
+    return df.select("event_type", *[F.round(F.col(f"`{d}`"), 6).alias(d) for d in df.columns[1:]])

@@ -102,6 +102,18 @@ def test_pivot_by_date(table):
     assert rm.pivot_table(df, "g", "d", "v", "max").columns == ["g", "2026-01-01", "2026-01-02"]
 
 
+def test_pivot_of_listed_values_and_of_all(table):
+    df = table("g string, d timestamp_ntz, v int", *[("a", dt.datetime(2026, 1, d), d) for d in (1, 2, 3)])
+    assert rows(rm.pivot_table(df, "g", "d", "v", "mean", pivot_values=["2026-01-03", "2026-01-05"], fill_value=None)) == [("a", 3.0, None)]
+    assert rows(rm.pivot_table(df, "g", "d", "v", "mean", fill_value=None)) == [("a", 1.0, 2.0, 3.0)]
+
+
+def test_every_day_of_the_events_is_a_column():
+    from querybook import ORACLES
+
+    assert all(f"2024-01-{d:02}" in ORACLES["pivot_table_mean_by_every_day"] for d in range(1, 31))
+
+
 def test_top_n(table):
     df = table("x double, i int", (5.0, 1), (7.0, 2), (7.0, 3), (None, 4), (float("nan"), 5))
     assert values(rm.select_top_n(df, "x", 2, order_columns="i"), "i") == [2, 3]
