@@ -161,7 +161,8 @@ def read_blocks(page: str) -> list[Block]:
             continue
         tag = tag.lower()
         if tag in RAW:
-            if not slash:
+            # Foreign elements may close themselves.
+            if not slash and not (tag == "svg" and attributes.endswith("/")):
                 lower = lower or page.lower()
                 end = lower.find(f"</{tag}", at) if len(lower) == len(page) else page.find(f"</{tag}", at)
                 at = len(page) if end < 0 else end

@@ -135,6 +135,13 @@ def test_a_page_without_named_parts():
     assert lines(page) == [text, "And short.", f"More {text}"]
 
 
+@pytest.mark.parametrize("icon", ["<svg/>", "<svg class='icon' />", "<SVG width=1 />", "<svg><path d='M0'/><text>no text</text></svg>"])
+def test_an_icon_hides_no_text_after_it(icon):
+    first, second = "Long text about the matter at hand, with many words.", "More long text about the matter, with a proper end."
+    page = f"<body><article><p>{first}</p>{icon}<p>{second}</p></article></body>"
+    assert lines(page) == [first, second] and lines(page + icon) == [first, second]
+
+
 @pytest.mark.parametrize("page", [None, "", "<", "<p", "<script>", "<!--", "a < b <p x='>", "</div></p>", "<p>" * 3000, "<a" + "\"" * 50])
 def test_broken_pages_do_not_crash(page):
     assert isinstance(mincut.main_text(page, mincut.UNTRAINED), str)
