@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+import zlib
+from collections import Counter
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from rowmill.llm import bitplanes, mincut, mixing, neardup, outliers, packing, shards, topk, toxicity, weaklabels
+from rowmill.llm import bitplanes, lexical, mincut, mixing, neardup, outliers, packing, shards, spelling, topk, toxicity, warc, weaklabels
 from rowmill.llm.tokens import word_tokenizer
 from rowmill.llm.words import word_count
 from rowmill.plans.lineage import shared_folder
@@ -135,6 +137,111 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(pieces)
 
 
+OP11_SQL = """
+WITH p AS (
+  SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS hex FROM pages
+), d AS (
+  SELECT page_id, payload_bytes, list_reduce(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 +
+    ((('0x' || substr(hex, 1 + 5 * (i // 4)::INTEGER, 5))::BIGINT >> (15 - 5 * (i % 4))::INTEGER) & 31)::INTEGER, 1)), lambda a, b: a || b) AS payload_digest FROM p
+), f AS (
+  SELECT *, row_number() OVER (PARTITION BY payload_digest ORDER BY page_id NULLS LAST) AS place, first_value(page_id) OVER (PARTITION BY payload_digest ORDER BY page_id NULLS LAST) AS first_id FROM d
+)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN place = 1 THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN place > 1 THEN first_id END AS refers_to FROM f
+"""
+
+
+@query(OP11_SQL)
+def op11_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
+    warc.write_warc(spark.read.parquet(f"{sf_dir}/pages.parquet"), path, minimum_revisit=0)
+    records = warc.read_warc(spark, path)
+    return records.select(
+        warc.key_of(F.col("record_id")).alias("page_id"), "payload_bytes", "payload_digest", F.col("type").alias("record_type"), warc.key_of(F.col("refers_to")).alias("refers_to"),
+    )
+
+
+def typing_errors(doc_id: int | None, words: Counter) -> Iterator[tuple[bytes, bytes]]:
+    """Of one in 97 of a document's words, by a checksum, one letter is left out."""
+    start = zlib.crc32(b":" if doc_id is None else b"%d:" % doc_id)
+    for word in words:
+        h = zlib.crc32(word if word.isascii() else word.decode("latin-1").encode(), start)
+        if h % 97 == 0:
+            at = h % len(word)
+            yield word, word[:at] + word[at + 1 :]
+
+
+OP12_SQL = r"""
+WITH RECURSIVE crc_table AS (
+  SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, b: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END, i)) AS t
+), runs AS (
+  SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')) AS run FROM documents
+), own AS (
+  SELECT doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS n FROM runs GROUP BY 1, 2
+), octets AS (
+  SELECT *, hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || run)) AS x FROM own
+), hashed AS (
+  SELECT run, n, xor(list_reduce(list_transform(range(length(x) // 2), lambda i: ('0x' || substr(x, (2 * i + 1)::INTEGER, 2))::BIGINT),
+    lambda c, o: xor(t[(xor(c, o) & 255) + 1], c >> 8), 4294967295::BIGINT), 4294967295) AS h FROM octets, crc_table
+), changed AS (
+  SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, (h % length(run))::INTEGER) || substr(run, (h % length(run))::INTEGER + 2) ELSE run END AS word, n FROM hashed
+), v AS (
+  SELECT word, sum(n)::BIGINT AS n FROM changed WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3
+), shorter AS (
+  SELECT word, n, unnest(list_distinct(list_transform(range(length(word) + 1), lambda i: substr(word, 1, i::INTEGER) || substr(word, i::INTEGER + 2)))) AS k FROM v
+), pairs AS (
+  SELECT DISTINCT a.word, b.word AS other, b.n AS other_n FROM shorter a JOIN shorter b USING (k) WHERE a.word <> b.word AND levenshtein(a.word, b.word) = 1
+), best AS (
+  SELECT word, count(*) AS n_near, first(other ORDER BY other_n DESC, other) AS form, max(other_n) AS form_n FROM pairs GROUP BY word
+), near AS (
+  SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN form_n >= 2 * n THEN form END AS form, CASE WHEN form_n >= 2 * n THEN form_n END AS form_n FROM v LEFT JOIN best USING (word)
+), way AS (
+  SELECT word, word AS step FROM near UNION ALL SELECT way.word, near.form FROM way JOIN near ON near.word = way.step WHERE near.form IS NOT NULL
+), roots AS (
+  SELECT way.word, step AS root FROM way JOIN near ON near.word = way.step WHERE near.form IS NULL
+)
+SELECT word, form, root, n, n_near, form_n FROM near JOIN roots USING (word)
+"""
+
+
+@query(OP12_SQL)
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = spelling.count_words(spark.read.parquet(f"{sf_dir}/documents.parquet"), minimum_length=5, changes=typing_errors)
+    return spelling.spelling_variants(counts.where("n >= 3")).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+OP13_SQL = r"""
+WITH t AS (
+  SELECT row_number() OVER () AS row_id, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+  FROM documents
+), d AS (
+  SELECT row_id, doc_id, terms, len(terms)::BIGINT AS n FROM t WHERE len(terms) > 0
+), c AS (
+  SELECT count(*)::BIGINT AS n_docs, sum(n)::BIGINT AS n_terms FROM d
+), tf AS (
+  SELECT row_id, doc_id, n, term, count(*)::BIGINT AS tf FROM (SELECT row_id, doc_id, n, unnest(terms) AS term FROM d) GROUP BY ALL
+), w AS (
+  SELECT term, floor(1000 * ln((2 * any_value(n_docs) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM tf, c GROUP BY term
+), impact AS (
+  SELECT row_id, doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * n_docs) // n_terms))) AS part FROM tf JOIN w USING (term), c
+), q AS (
+  SELECT row_number() OVER () AS query_id, item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM benchmark
+), s AS (
+  SELECT query_id, item_id, row_id, doc_id, sum(part)::BIGINT AS score FROM q JOIN impact USING (term) GROUP BY ALL
+), r AS (
+  SELECT item_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id NULLS LAST)::INTEGER AS rank, doc_id, score FROM s WHERE score > 0
+)
+SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 10
+"""
+
+
+@query(OP13_SQL)
+def op13_block_max_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
+    lexical.build_index(spark.read.parquet(f"{sf_dir}/documents.parquet"), path)
+    return lexical.search(spark, path, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), k=10)
+
+
 @query()
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
