@@ -186,10 +186,13 @@ WITH RECURSIVE crc_table AS (
   SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, (h % length(run))::INTEGER) || substr(run, (h % length(run))::INTEGER + 2) ELSE run END AS word, n FROM hashed
 ), v AS (
   SELECT word, sum(n)::BIGINT AS n FROM changed WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3
+), places AS (
+  SELECT word, n, unnest(range(length(word))) AS i FROM v
 ), shorter AS (
-  SELECT word, n, unnest(list_distinct(list_transform(range(length(word) + 1), lambda i: substr(word, 1, i::INTEGER) || substr(word, i::INTEGER + 2)))) AS k FROM v
+  SELECT word, n, i, substr(word, 1, i::INTEGER) || substr(word, i::INTEGER + 2) AS k FROM places
 ), pairs AS (
-  SELECT DISTINCT a.word, b.word AS other, b.n AS other_n FROM shorter a JOIN shorter b USING (k) WHERE a.word <> b.word AND levenshtein(a.word, b.word) = 1
+  SELECT a.word, b.word AS other, b.n AS other_n FROM shorter a JOIN shorter b USING (i, k) WHERE a.word <> b.word
+  UNION SELECT shorter.word, v.word, v.n FROM shorter JOIN v ON v.word = k UNION SELECT v.word, s.word, s.n FROM shorter s JOIN v ON v.word = k
 ), best AS (
   SELECT word, count(*) AS n_near, first(other ORDER BY other_n DESC, other) AS form, max(other_n) AS form_n FROM pairs GROUP BY word
 ), near AS (
