@@ -1,10 +1,11 @@
 """Token ids of many texts with a tokenizer file of the tokenizers library.
 
-The tokenizers used here never join characters across ASCII white space, so the
-ids of a text are the ids of its words, one after the other. Each distinct word
-is encoded once per batch, or once per worker if it came up early, and the texts
-are put together from the words' ids with numpy. `splits_at_white_space` checks
-that a tokenizer file allows this.
+The tokenizers used here never join characters across ASCII white space, nor a letter
+or digit with a sign behind it, so the ids of a text are the ids of these parts, one after the
+other. Each distinct part is encoded once per slice, or once per worker if it came up
+early, and the texts are put together from the parts' ids with numpy. Parts of Latin
+letters alone go straight to the library's model, as its normalizer and splitter leave
+them as they are. `splits_at_white_space` checks that a tokenizer file allows this.
 """
 
 from __future__ import annotations
@@ -15,13 +16,19 @@ from functools import lru_cache
 from itertools import chain, repeat
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Words a worker keeps for good; the rest are encoded once per slice of a batch. Bounds memory only.
 KEPT_WORDS = 200_000
 #: UTF-8 bytes of text that are put together at a time.
 SLICE_BYTES = 3_000_000
-LETTERS_AND_SIGNS = re.compile(rb"([a-z\x80-\xff]+)([!-&(-/:-@\[-`{-~]*)")
+#: A sign (other than the apostrophe, which may begin an ending of its own) behind a Latin letter or a digit.
+SIGN = re.compile(rb"[!-&(-/:-@\[-`{-~](?:(?<=[a-z0-9].)|(?<=\xc3[\xa0-\xb6\xb8-\xbf].))")
+LATIN_LETTERS = re.compile(rb"(?:[a-z]|\xc3[\xa0-\xb6\xb8-\xbf])+")
+# Byte-level models write printable octets as they are and the others, in order, as code points from 256.
+_PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTE_LEVEL = {b: b for b in _PRINTABLE} | {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
 
 
 def splits_at_white_space(path: str) -> bool:
@@ -32,9 +39,11 @@ def splits_at_white_space(path: str) -> bool:
     ids = lambda text: encode(text, add_special_tokens=False).ids
     pieces = ["a b", "a 1", "1 2", "! ?", "' s", "é \u0301", "a \u0301b", "AB Cd"]
     parted = all(ids(p.replace(" ", blank)) == [i for w in p.lower().split(" ") for i in ids(w)] for p in pieces for blank in "\x20\x09\x0a\x0b\x0c\x0d")
-    signs = all(ids(f"word{run}") == ids("word") + ids(run) for run in (".", ",", "***", "!?", "_$", "`~"))
+    signs = all(ids(f"{word}{run}") == ids(word) + ids(run) for word in ("word", "été", "a1") for run in (".", ",", "***", "!?", "_$", "`~", ".'s"))
+    model = _tokenizer(path).model
+    plain = all(ids(word) == [t.id for t in model.tokenize(word.encode().decode("latin-1").translate(BYTE_LEVEL))] for word in ("word", "été", "größe", "zzqxj"))
     added = any(t["lstrip"] or t["rstrip"] or any(c.isspace() for c in t["content"]) or not t["content"].startswith("<|") for t in spec["added_tokens"])
-    return parted and signs and not added and spec["model"]["type"] == "BPE" and spec["model"]["end_of_word_suffix"] == "</w>"
+    return parted and signs and plain and not added and spec["model"]["type"] == "BPE" and spec["model"]["end_of_word_suffix"] == "</w>"
 
 
 @lru_cache(maxsize=4)
@@ -51,69 +60,49 @@ class TextEncoder:
         if not splits_at_white_space(path):
             raise ValueError(f"{path} is no tokenizer whose words end at white space")
         self.tokenizer = _tokenizer(path)
-        vocabulary = self.tokenizer.get_vocab()
-        self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.ends_word[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.model = self.tokenizer.model
         self.words: dict[bytes, int] = {}
         self.ids = np.empty(0, np.uint32)
         self.starts = np.zeros(1, np.int64)
 
     def _encode_words(self, words: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-        """The words in an order of its own, all their ids in that order, and how many each has.
-
-        Letters, and a run of signs behind them, are one word each to the tokenizer. So
-        words of this form are encoded many at a time and parted at the ids that end a
-        word; if these are more than expected, and for other words, one by one.
-        """
-        easy, expected, rest = [], [], []
+        """The words in an order of its own, all their ids in that order, and how many each has."""
+        tokenize, latin = self.model.tokenize, LATIN_LETTERS.fullmatch
+        plain, rest = [], []
         for word in words:
-            form = LETTERS_AND_SIGNS.fullmatch(word)
-            if form and (word.isascii() or form[1].decode("utf-8", "replace").isalpha()):
-                easy.append(word)
-                expected.append(2 if form[2] else 1)
-            else:
-                rest.append(word)
+            (plain if latin(word) else rest).append(word)
+        found = [[t.id for t in tokenize(w.decode() if w.isascii() else w.decode("latin-1").translate(BYTE_LEVEL))] for w in plain]
         encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
-        groups = range(0, len(easy), 50)
-        texts = [b" ".join(easy[a : a + 50]).decode("utf-8", "replace") for a in groups]
-        order, found, counts = [], [], []
-        for a, encoding in zip(groups, encode(texts, add_special_tokens=False)):
-            ids = np.array(encoding.ids, np.uint32)
-            ends = np.flatnonzero(self.ends_word[ids]) + 1
-            upto = np.cumsum(expected[a : a + 50])
-            if len(ends) == upto[-1]:
-                order += easy[a : a + 50]
-                found.append(ids)
-                counts.append(np.diff(ends[upto - 1], prepend=0))
-            else:
-                rest += easy[a : a + 50]
-        singles = encode([w.decode("utf-8", "replace") for w in rest], add_special_tokens=False)
-        found += [np.array(e.ids, np.uint32) for e in singles]
-        counts.append(np.array([len(e.ids) for e in singles], np.int64))
-        return order + rest, np.concatenate(found), np.concatenate(counts)
+        found += [e.ids for e in encode([w.decode("utf-8", "replace") for w in rest], add_special_tokens=False)]
+        counts = np.fromiter(map(len, found), np.int64, len(found))
+        return plain + rest, np.fromiter(chain.from_iterable(found), np.uint32, int(counts.sum())), counts
 
     def __call__(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, and the number of ids of each; null texts have none."""
         # the tokenizer lowers all letters; its special tokens count as written
-        split = [(t if b"<|" in t else t.lower()).split() if t else [] for t in texts]
-        counts = np.fromiter(map(len, split), np.int64, len(split))
-        flat = list(chain.from_iterable(split))
-        if not flat:
+        texts = [b"" if not t else t if b"<|" in t else SIGN.sub(rb" \g<0>", t.lower()) for t in texts]
+        split = pc.ascii_split_whitespace(pa.array(texts, pa.large_binary()).cast(pa.large_string(), safe=False))
+        flat = split.flatten()
+        filled = pc.greater(pc.binary_length(flat), 0)  # white space at the ends gives empty words
+        owner = pc.list_parent_indices(split).filter(filled).to_numpy()
+        counts = np.bincount(owner, minlength=len(texts)).astype(np.int64)
+        if not len(owner):
             return np.empty(0, np.uint32), counts
-        ids, starts, first = self.ids, self.starts, len(self.words)
-        places = np.fromiter(map(self.words.get, flat, repeat(-1)), np.int64, len(flat))
+        coded = flat.filter(filled).cast(pa.large_binary()).dictionary_encode()
+        words, ids, starts, first = coded.dictionary.to_pylist(), self.ids, self.starts, len(self.words)
+        places = np.fromiter(map(self.words.get, words, repeat(-1)), np.int64, len(words))
         unknown = np.flatnonzero(places < 0).tolist()
-        new = list(dict.fromkeys([flat[i] for i in unknown]))
-        if new:
-            new, more, lengths = self._encode_words(new)
+        if unknown:
+            new, more, lengths = self._encode_words([words[i] for i in unknown])
             ids = np.concatenate((ids, more))
             starts = np.concatenate((starts, starts[-1] + np.cumsum(lengths)))
             here = dict(zip(new, range(first, first + len(new))))
-            places[unknown] = [here[flat[i]] for i in unknown]
+            places[unknown] = [here[words[i]] for i in unknown]
             keep = min(max(0, KEPT_WORDS - first), len(new))
             if keep:
                 self.words.update(zip(new[:keep], range(first, first + keep)))
                 self.ids, self.starts = ids[: starts[first + keep]], starts[: first + keep + 1]
+        places = places[coded.indices.to_numpy()]
         lengths = starts[places + 1] - starts[places]
         ends = np.cumsum(lengths)
         out = ids[np.repeat(starts[places] - ends + lengths, lengths) + np.arange(ends[-1])]
