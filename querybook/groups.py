@@ -67,7 +67,7 @@ def group_aggregate_median_of_hot_groups(t):
         {"column": "l_extendedprice", "function": "median", "result_column": "middle_price"},
         {"column": "l_quantity", "function": "median", "result_column": "middle_quantity"},
     ]
-    return rm.group_aggregate(t("lineitem"), "l_returnflag", wanted, rows_per_task=5000)
+    return rm.group_aggregate(t("lineitem"), "l_returnflag", wanted)
 
 
 def _cases(column, values, cell, names=None):

@@ -191,5 +191,5 @@ def color_scale(t):
 
 @query(_SCALE)
 def color_scale_over_many_rows(t):
-    df = rm.color_scale(t("events"), "value", "red_yellow_green", rows_per_task=1000)
+    df = rm.color_scale(t("events"), "value", "red_yellow_green")
     return df.select("event_id", "value_scale", "value_color")

@@ -16,8 +16,7 @@ from rowmill.functions.columns import (
     col, columns_of, is_missing, or_null, require_columns, require_number, text_of, to_text, type_of,
     typed_literal,
 )
-from rowmill.plans.median import exact_median
-from rowmill.plans.hot_ranges import ROWS_PER_TASK, needs_split
+from rowmill.plans.selection import medians
 
 FUNCTIONS = ("sum", "mean", "count", "size", "nunique", "min", "max", "median")
 NUMERIC_ONLY = ("sum", "mean", "median")
@@ -35,7 +34,7 @@ def aggregate(df: DataFrame, column: str, function: str) -> Column:
     if function == "sum":
         return F.coalesce(F.sum(value), F.lit(0).cast(type_of(df, column)))
     return {
-        "mean": F.avg, "count": F.count, "nunique": F.count_distinct, "min": F.min, "max": F.max, "median": F.median,
+        "mean": F.avg, "count": F.count, "nunique": F.count_distinct, "min": F.min, "max": F.max,
     }[function](value)
 
 
@@ -72,12 +71,12 @@ def group_count(df: DataFrame, group_columns: list[str] | str, result_column: st
 
 def group_aggregate(
     df: DataFrame, group_columns: list[str] | str, aggregations: list[dict[str, str]],
-    approximate: bool = False, rows_per_task: int = ROWS_PER_TASK,
+    approximate: bool = False,
 ) -> DataFrame:
     """Several named aggregates per group in one pass.
 
-    A median is exact. Where a group may be too large for the in-memory median
-    of one task it is taken from sorted value counts instead and joined by key.
+    Medians are exact: they are found by counting in ranges (see
+    `rowmill.plans.selection`), all of them in the same passes, and joined by key.
     `approximate=True` uses sketches for median and nunique.
     """
     keys = _keys(df, group_columns)
@@ -87,7 +86,7 @@ def group_aggregate(
     if len(set(names)) != len(names) or set(names) & set(keys):
         raise ValueError("result names must differ from each other and from the group columns")
     plain: dict[str, Column] = {}
-    medians: dict[str, str] = {}
+    middles: dict[str, str] = {}
     for item in aggregations:
         column, function, name = item["column"], item["function"], item["result_column"]
         if function not in FUNCTIONS:
@@ -95,29 +94,21 @@ def group_aggregate(
         require_columns(df, [column])
         if function == "median":
             require_number(df, [column])
-            medians[name] = column
         if approximate and function == "nunique":
             plain[name] = F.approx_count_distinct(or_null(df, column))
         elif approximate and function == "median":
             plain[name] = F.percentile_approx(or_null(df, column), 0.5).cast("double")
+        elif function == "median":
+            middles[name] = column
         else:
             plain[name] = aggregate(df, column, function)
-    large = bool(medians) and not approximate and needs_split(df, rows_per_task)
-    apart = large or (bool(medians) and not approximate and any(i["function"] == "nunique" for i in aggregations))
-    if not apart:
-        return _group(df, keys, **plain)
-    # Distinct counts group by value first, which would build a median buffer per value; so medians go apart.
-    # All parts have one row per group and join without skew.
-    others = {n: c for n, c in plain.items() if n not in medians} or {"_rows": F.count(F.lit(1))}
-    result = _group(df, keys, **others)
-    if large:
-        parts = [exact_median(df, keys, column, name, rows_per_task=rows_per_task) for name, column in medians.items()]
-    else:
-        parts = [_group(df, keys, **{n: plain[n] for n in medians})]
-    for part in parts:
-        part = part.withColumnsRenamed({k: f"_right_{i}" for i, k in enumerate(keys)})
+    result = _group(df, keys, **(plain or {"_rows": F.count(F.lit(1))}))
+    if middles:
+        # one row per group on both sides
+        slots = {f"_median{i}": c for i, c in enumerate(middles.values())}
+        part = medians(df, keys, slots).withColumnsRenamed({k: f"_right_{i}" for i, k in enumerate(keys)})
         match = [col(k).eqNullSafe(F.col(f"_right_{i}")) for i, k in enumerate(keys)]
-        result = result.join(part, match, "left").drop(*[f"_right_{i}" for i in range(len(keys))])
+        result = result.join(part, match, "left").withColumnsRenamed(dict(zip(slots, middles)))
     return result.select(*[col(k) for k in keys], *[col(n) for n in names])
 
 

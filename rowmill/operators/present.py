@@ -19,9 +19,9 @@ from rowmill.functions.columns import (
 from rowmill.functions.predicates import as_flag, predicate
 from rowmill.operators.numeric import rounded
 from rowmill.operators.sorting import top_order
-from rowmill.plans.hot_ranges import ROWS_PER_TASK, needs_split, sort_columns
-from rowmill.plans.median import exact_median
-from rowmill.plans.top import within_reach
+from rowmill.operators.windows import number_rows
+from rowmill.plans.hot_ranges import ROWS_PER_TASK
+from rowmill.plans.selection import medians, nth_value
 
 # Colours, display formats and colour scales.
 COLORS = {"red": "FFC7CE", "yellow": "FFEB9C", "green": "C6EFCE", "blue": "BDD7EE", "gray": "D9E1F2"}
@@ -88,8 +88,9 @@ def highlight_extremes(
 ) -> DataFrame:
     """Largest or smallest values of a column.
 
-    The limit is a scalar subquery. Without ties exactly n rows are marked, the
-    first ones in row order; `order_columns` must then tell rows apart.
+    The limit of a list is found by counting, so no task receives the list. Without ties
+    exactly n rows are marked, the first ones in row order; `order_columns` must then
+    tell rows apart.
     """
     _check(df, [column], color)
     if mode not in EXTREMES:
@@ -99,30 +100,22 @@ def highlight_extremes(
     value = to_double(df, column)
     numbers = df.withColumn("_number", value).filter(F.col("_number").isNotNull())
     largest = mode in ("max", "top_n")
-    if mode in ("top_n", "bottom_n"):
-        numbers = within_reach(numbers, "_number", n, largest, rows_per_task)
     message = f"column {column} has no numbers to highlight"
     if mode in ("max", "min"):
         limit = numbers.agg((F.max if largest else F.min)("_number")).scalar()
         test = fail_if(limit.isNull(), message, value == limit)
-    elif include_ties:
-        # The sort key alone is carried to the top-n step.
-        best = numbers.select("_number").orderBy(F.desc("_number") if largest else F.asc("_number")).limit(n)
-        limit = best.agg((F.min if largest else F.max)("_number")).scalar()
-        test = fail_if(limit.isNull(), message, value >= limit if largest else value <= limit)
-    else:
-        order = top_order(numbers, "_number", largest, order_columns)
-        if len(order) < 2:
-            raise ValueError("without ties the marked rows depend on row order: give order_columns")
-        names = ["_number", *[o.column for o in order[1:]]]
-        best = numbers.select(*[col(x) for x in names]).orderBy(*sort_columns(numbers, order)).limit(n)
-        # Size and place of the n-th row; ascending places, so the largest place among the smallest values ends the list.
-        size = F.col("_number") if not largest else -F.col("_number")
-        place = F.struct(size, *[F.struct(is_missing(df, x), col(x)) for x in names[1:]])
-        last = best.agg(F.max(place)).scalar()
-        mine = F.struct(value if not largest else -value, *[F.struct(is_missing(df, x), col(x)) for x in names[1:]])
-        test = fail_if(last.isNull(), message, value.isNotNull() & (mine <= last))
-    return _paint(df, as_flag(test), color, _names([column]))
+        return _paint(df, as_flag(test), color, _names([column]))
+    order = top_order(numbers, "_number", largest, order_columns)
+    if not include_ties and len(order) < 2:
+        raise ValueError("without ties the marked rows depend on row order: give order_columns")
+    limit = nth_value(numbers, "_number", n, largest).select("_value").scalar()
+    within = as_flag(fail_if(limit.isNull(), message, value >= limit if largest else value <= limit))
+    if include_ties:
+        return _paint(df, within, color, _names([column]))
+    # rows within the limit are n and those that tie with the last; row order decides among them
+    marked = df.withColumns({"_number": value, "_within": within})
+    numbered = number_rows(marked, [], order, F.col("_within"), "_nth", rows_per_task)
+    return _paint(numbered, as_flag(F.col("_nth") <= n), color, _names([column])).drop("_number", "_within", "_nth")
 
 
 def highlight_missing(df: DataFrame, columns: list[str] | str, color: str) -> DataFrame:
@@ -164,7 +157,6 @@ def _blend(low: str, high: str, share: Column) -> Column:
 
 def color_scale(
     df: DataFrame, column: str, palette: str, position_column: str | None = None, color_column: str | None = None,
-    rows_per_task: int = ROWS_PER_TASK,
 ) -> DataFrame:
     """Place of each value between minimum (-1), median (0) and maximum (1), with its colour."""
     require_columns(df, [column])
@@ -173,12 +165,9 @@ def color_scale(
     value = to_double(df, column)
     numbers = df.select(value.alias("_number"))
     ends = [F.min("_number").alias("low"), F.max("_number").alias("high")]
-    if needs_split(numbers, rows_per_task):
-        low, high = (numbers.agg(e).scalar() for e in ends)
-        middle = exact_median(numbers, None, "_number", "middle", rows_per_task).scalar()
-    else:
-        stats = numbers.agg(F.struct(*ends, F.median("_number").alias("middle"))).scalar()
-        low, high, middle = stats["low"], stats["high"], stats["middle"]
+    stats = numbers.agg(F.struct(*ends)).scalar()
+    low, high = stats["low"], stats["high"]
+    middle = medians(numbers, None, {"middle": "_number"}).scalar()
     below = F.try_divide(value - middle, middle - low)
     above = F.try_divide(value - middle, high - middle)
     position = F.coalesce(F.when(value <= middle, below).otherwise(above), F.when(value.isNotNull(), F.lit(0.0)))

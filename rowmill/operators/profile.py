@@ -12,7 +12,7 @@ from rowmill.functions.columns import (
 from rowmill.operators.numeric import rounded
 from rowmill.plans.hot_ranges import ROWS_PER_TASK, needs_split
 from rowmill.plans.lineage import materialize
-from rowmill.plans.median import exact_median
+from rowmill.plans.selection import medians
 
 SAMPLES, TOP_VALUES = 3, 3
 
@@ -120,8 +120,7 @@ def profile_table(
         counted, [F.desc("n"), F.col("place"), F.col("value")], TOP_VALUES, "top_values",
         F.struct(F.col("value"), F.col("n").alias("count")),
     )
-    medians = _medians(df, names, numeric, large, rows_per_task)
-    for part in (per_column, samples, top, medians):
+    for part in (per_column, samples, top, _medians(df, names, numeric)):
         facts = facts.join(F.broadcast(part), "column_id", "left")  # one row per column
     filled = F.col("rows") - F.col("missing_count")
     unique = F.coalesce(F.col("unique_count"), F.lit(0))
@@ -144,14 +143,9 @@ def profile_table(
     )
 
 
-def _medians(df: DataFrame, names: list[str], numeric: list[str], large: bool, rows_per_task: int) -> DataFrame:
+def _medians(df: DataFrame, names: list[str], numeric: list[str]) -> DataFrame:
     if not numeric:
         return df.sparkSession.createDataFrame([], "column_id int, median double")
-    if large:
-        cells = F.explode(F.array(*[
-            F.struct(F.lit(names.index(n)).alias("column_id"), to_double(df, n).alias("value")) for n in numeric
-        ])).alias("cell")
-        return exact_median(df.select(cells).select("cell.*"), "column_id", "value", "median", rows_per_task)
-    one = df.agg(*[F.median(to_double(df, n)).alias(f"m{names.index(n)}") for n in numeric])
+    one = medians(df, None, {f"m{names.index(n)}": n for n in numeric})
     rows = [F.struct(F.lit(names.index(n)).alias("column_id"), F.col(f"m{names.index(n)}").alias("median")) for n in numeric]
     return one.select(F.explode(F.array(*rows)).alias("m")).select("m.*")

@@ -2,24 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from rowmill.functions.columns import checked_timestamp, col, columns_of, fail_if, require_columns, require_number
-from rowmill.plans.hot_ranges import ROWS_PER_TASK, Order, order_of, sort_columns, source_order, split
-from rowmill.plans.top import within_reach
+from rowmill.plans.hot_ranges import ROWS_PER_TASK, Order, order_of, row_hash, sort_columns, source_order
+from rowmill.operators.windows import number_rows
+from rowmill.plans.selection import TOTAL, VALUE, nth_value
 
-# A list of so many rows is merged in one task; longer ones are numbered over all tasks.
-ONE_TASK = 10_000
-
-
-def _spread(df: DataFrame, names: list[str]) -> list[Column]:
-    """A hash of the columns of fixed width beside the sort columns, so that long texts are read only if there is nothing else."""
-    others = [f for f in df.schema.fields if f.name not in names and "map<" not in f.dataType.simpleString()]
-    fixed = [f for f in others if isinstance(f.dataType, (T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)) or f.name.startswith("_source")]
-    chosen = fixed or others
-    return [F.xxhash64(*[col(f.name) for f in chosen])] if chosen else []
+# Spark's own top-n holds so many rows in one task at most; longer lists never meet in one.
+SHORT_LIST = 1000
 
 
 def sort_rows(df: DataFrame, columns: list[str] | str, ascending: list[bool] | bool = True) -> DataFrame:
@@ -36,7 +28,8 @@ def sort_rows(df: DataFrame, columns: list[str] | str, ascending: list[bool] | b
     if len(directions) != len(names):
         raise ValueError("one direction per sort column is needed")
     keys = sort_columns(df, [Order(n, a) for n, a in zip(names, directions)])
-    return df.orderBy(*keys, *_spread(df, names))
+    spread = row_hash(df, names)
+    return df.orderBy(*keys, *([spread] if spread is not None else []))
 
 
 def top_order(df: DataFrame, column: str, largest: bool, order_columns: list[str] | str | None) -> list[Order]:
@@ -50,20 +43,25 @@ def select_top_n(
     df: DataFrame, column: str, n: int = 10, largest: bool = True, order_columns: list[str] | str | None = None,
     rows_per_task: int = ROWS_PER_TASK,
 ) -> DataFrame:
-    """The n rows with the largest or smallest number; `order_columns` decide ties."""
+    """The n rows with the largest or smallest number; `order_columns` decide ties.
+
+    The n-th value of a long list is found first; rows beyond it are left out, and the
+    rest are numbered in ranges, so that no task receives the whole list.
+    """
     require_number(df, [column])
     if isinstance(n, bool) or not isinstance(n, int) or n < 1:
         raise ValueError("n must be a whole number of at least 1")
     order = top_order(df, column, largest, order_columns)
-    rows = within_reach(df, column, n, largest, rows_per_task)
-    if n <= ONE_TASK:
-        return rows.orderBy(*sort_columns(df, order)).limit(n)
-    parts = split(rows, [], order, rows_per_task)
-    rows, number = parts.rows, F.row_number().over(parts.window)
-    if parts.hot:
-        rows = parts.carry(rows, {"_carried": F.count(F.lit(1))})
-        number = number + F.coalesce(F.col("_carried"), F.lit(0))
-    kept = parts.finish(rows.withColumn("_number", number).filter(F.col("_number") <= n), ["_carried", "_number"])
+    if n <= SHORT_LIST:
+        return df.orderBy(*sort_columns(df, order)).limit(n)
+    last = nth_value(df, column, n, largest).first()
+    reached = last is not None and last[TOTAL] >= n
+    limit = F.lit(last[VALUE]) if reached else None
+    value = col(column).cast("double")
+    # comparing as doubles keeps at least the rows that belong to the list
+    rows = df.filter(value >= limit if largest else value <= limit) if reached else df
+    numbered = number_rows(rows, [], order, F.lit(True), "_number", rows_per_task)
+    kept = numbered.filter(F.col("_number") <= n).drop("_number")
     return kept.orderBy(*sort_columns(kept, order))
 
 

@@ -18,7 +18,8 @@ from rowmill.functions.columns import (
     col, columns_of, is_missing, kind, or_null, require_columns, text_of, to_number, to_text, type_of,
 )
 from rowmill.functions.predicates import all_of
-from rowmill.plans.hot_ranges import sort_columns, Order
+from rowmill.plans.hot_ranges import Order, row_hash, sort_columns
+from rowmill.plans.lineage import written
 
 KIND, GROUP_ORDER, SUMMARY_ORDER = "_row_kind", "_group_order", "_summary_order"
 DETAIL, SUBTOTAL, GRAND_TOTAL, SUMMARY = "detail", "subtotal", "grand_total", "summary"
@@ -45,45 +46,59 @@ def add_subtotals(
     """Detail rows, one subtotal row per group and optionally a grand total.
 
     `_group_order` is the group's smallest row order when `order_columns` are
-    given (groups in order of first appearance), else the group key itself.
+    given (groups in order of first appearance), else the group key itself. Subtotals
+    and grand total come from one pass; with `order_columns` that pass runs at once,
+    as the detail rows read it too.
     """
     groups, values = columns_of(group_columns), columns_of(value_columns)
     require_columns(df, [*groups, *values, *columns_of(order_columns)])
     if not groups or not values:
         raise ValueError("name at least one group column and one value column")
     order = columns_of(order_columns)
-    keys = [col(g) for g in groups]
+    keys, named = [col(g) for g in groups], [f"_group{i}" for i in range(len(groups))]
     sums = [_sum(df, v).alias(f"_sum{i}") for i, v in enumerate(values)]
     rank = _as_one([or_null(df, o) for o in order] if order else keys)
-    first = F.min(rank).alias(GROUP_ORDER) if order else F.first(rank).alias(GROUP_ORDER)
-    per_group = df.groupBy(*[k.alias(f"_group{i}") for i, k in enumerate(keys)]).agg(*sums, first)
-
-    def cell(name: str, text: str, base: DataFrame, place: int) -> Column:
-        if place == 0:
-            return F.lit(text)
-        if name in values:
-            return base[f"_sum{values.index(name)}"]
-        return F.lit(None).cast(type_of(df, name))
-
-    def added(base: DataFrame, text: str, what: str, position: Column) -> DataFrame:
-        cells = [cell(n, text, base, groups.index(n) if n in groups else -1).alias(n) for n in df.columns]
-        return base.select(*cells, F.lit(what).alias(KIND), position.alias(GROUP_ORDER))
+    place = F.min(rank) if order else _as_one([F.col(n).alias(g) for n, g in zip(named, groups)])
+    # named first, so that sums read a group column's values and not the key that a set leaves out
+    rows, sets = df.withColumns(dict(zip(named, keys)) | {"_real": F.lit(1)}), [[F.col(n) for n in named]]
+    if include_grand_total:
+        # an empty table has a grand total too: a row that is none gives its set a row to sum
+        rows = rows.unionByName(df.sparkSession.range(1).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in rows.schema.fields]))
+        sets.append([])
+    totals = rows.groupingSets(sets, *[F.col(n) for n in named]).agg(*sums, place.alias(GROUP_ORDER), F.grouping_id().alias("_level"), F.count("_real").alias("_rows"))
+    totals = totals.where("_level > 0 or _rows > 0")
+    if order:
+        totals = written(totals, "subtotals")
+    per_group = totals.where("_level = 0")
 
     detail = df
     if order:
         match = [k.eqNullSafe(F.col(f"_group{i}")) for i, k in enumerate(keys)]
-        places = per_group.select(*[f"_group{i}" for i in range(len(keys))], GROUP_ORDER)
-        detail = df.join(places, match, "left").drop(*[f"_group{i}" for i in range(len(keys))])
+        places = per_group.select(*named, GROUP_ORDER)
+        detail = df.join(places, match, "left").drop(*named)
         position = F.col(GROUP_ORDER)
     else:
         position = rank
     first_group = [to_text(df, n).alias(n) if n == groups[0] else col(n) for n in df.columns]
     result = detail.select(*first_group, F.lit(DETAIL).alias(KIND), position.alias(GROUP_ORDER))
-    result = result.unionByName(added(per_group, label, SUBTOTAL, F.col(GROUP_ORDER)))
-    if include_grand_total:
-        nowhere = F.lit(None).cast(per_group.schema[GROUP_ORDER].dataType)
-        result = result.unionByName(added(df.agg(*sums), grand_total_label, GRAND_TOTAL, nowhere))
-    return result
+    return result.unionByName(_labelled(df, totals, groups, values, label, grand_total_label))
+
+
+def _labelled(df: DataFrame, totals: DataFrame, groups: list[str], values: list[str], label: str, grand_total_label: str) -> DataFrame:
+    """The rows to add: labels in the first group column, sums in the value columns, null elsewhere."""
+    grand = F.col("_level") > 0
+    cells = []
+    for name in df.columns:
+        if name == groups[0]:
+            cell = F.when(grand, F.lit(grand_total_label)).otherwise(F.lit(label))
+        elif name in values:
+            cell = F.col(f"_sum{values.index(name)}")
+        else:
+            cell = F.lit(None).cast(type_of(df, name))
+        cells.append(cell.alias(name))
+    return totals.select(
+        *cells, F.when(grand, F.lit(GRAND_TOTAL)).otherwise(F.lit(SUBTOTAL)).alias(KIND), F.when(~grand, F.col(GROUP_ORDER)).alias(GROUP_ORDER),
+    )
 
 
 def _as_one(columns: list[Column]) -> Column:
@@ -99,18 +114,25 @@ def sort_with_totals(df: DataFrame, order_columns: list[str] | str | None = None
     keys.append((F.col(KIND) != DETAIL).asc())
     if SUMMARY_ORDER in df.columns:
         keys.append(F.col(SUMMARY_ORDER).asc_nulls_first())
-    return df.orderBy(*keys, *sort_columns(df, [Order(o) for o in columns_of(order_columns)]))
+    names = columns_of(order_columns)
+    # detail rows of a group share one key, so a hash of the row spreads what the order columns leave together
+    spread = row_hash(df, [KIND, GROUP_ORDER, SUMMARY_ORDER, *names])
+    return df.orderBy(*keys, *sort_columns(df, [Order(o) for o in names]), *([spread] if spread is not None else []))
 
 
 def _details(df: DataFrame) -> DataFrame:
     return df.filter(F.col(KIND) == DETAIL) if KIND in df.columns else df
 
 
-def _append(df: DataFrame, row: DataFrame, labels: dict[str, str], results: dict[str, Column]) -> DataFrame:
-    """`df` plus one summary row holding the results and the labels, null elsewhere.
+def _append(df: DataFrame, labels: dict[str, str], results: dict[str, Column]) -> DataFrame:
+    """`df` plus one summary row holding the results over its detail rows and the labels, null elsewhere.
 
-    A label turns its column into text; a result gives its column the result's type.
+    A label turns its column into text; a result gives its column the result's type. The
+    results are a scalar subquery: Spark merges those of several summary rows, so that
+    they take one scan together.
     """
+    found = _details(df).agg(F.struct(*[c.alias(f"_result_{n}") for n, c in results.items()])).scalar()
+    row = df.sparkSession.range(1).select(found.alias("found")).select("found.*")
     base = df if KIND in df.columns else df.withColumn(KIND, F.lit(DETAIL))
     if SUMMARY_ORDER not in base.columns:
         base = base.withColumn(SUMMARY_ORDER, F.lit(None).cast("int"))
@@ -176,9 +198,8 @@ def add_total_row(
             results[name] = F.coalesce(F.sum(number), F.lit(0))
         else:
             results[name] = {"average": F.avg, "min": F.min, "max": F.max}[aggregate](number)
-    row = _details(df).agg(*[c.alias(f"_result_{n}") for n, c in results.items()])
     first = next(n for n in df.columns if not n.startswith("_"))
-    return _append(df, row, {first: label}, results)
+    return _append(df, {first: label}, results)
 
 
 def _conditions(
@@ -220,7 +241,6 @@ def add_conditional_summary_row(
         number = or_null(df, value_column) if kind(type_of(df, value_column)) == "number" else F.lit(None).cast("double")
         picked = F.when(matching, number)
         result = F.coalesce(F.sum(picked), F.lit(0)) if aggregate == "sum" else F.avg(picked)
-    row = _details(df).agg(result.alias(f"_result_{output_column}"))
     others = [n for n in df.columns if n != output_column and not n.startswith("_")]
     place = label_column or (others[0] if others else None)
-    return _append(df, row, {place: label} if place else {}, {output_column: result})
+    return _append(df, {place: label} if place else {}, {output_column: result})

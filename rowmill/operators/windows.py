@@ -1,18 +1,20 @@
 """Ranks, running totals, percentage change and duplicate marks.
 
-Row order is always explicit. Groups too large for one task are cut into
-ranges (see `rowmill.plans.hot_ranges`); `rows_per_task` sets that size.
+Row order is always explicit. Groups too large for one task, and order values that
+too many rows share, are cut into ranges (see `rowmill.plans.hot_ranges`);
+`rows_per_task` sets that size. Rows that tie on all order columns come in no
+particular order, but each sees the others in the same one.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from rowmill.functions.columns import (
     col, columns_of, is_missing, kind, or_null, require_columns, to_double, to_number, type_of,
 )
-from rowmill.plans.hot_ranges import ROWS_PER_TASK, SOURCE_ROW, Order, order_of, split
+from rowmill.plans.hot_ranges import ROWS_PER_TASK, SOURCE_ROW, Order, Split, order_of, split
 from rowmill.plans.lineage import materialize
 
 RANK_METHODS = ("average", "min", "max", "first", "dense")
@@ -57,6 +59,24 @@ def _rank_by_value(df: DataFrame, keys: list[str], order: Order, method: str, re
     return joined.withColumn(result_column, F.col("_rank")).drop(*renamed.values(), name, "_rank")
 
 
+def number_rows(df: DataFrame, keys: list[str], order: list[Order], present: Column, result_column: str, rows_per_task: int) -> DataFrame:
+    """Numbers from 1 in the given order for rows that take part, null for others; ties in any order."""
+    parts = split(df, keys, order, rows_per_task, only=present, cut_ties=True)
+    rows, window = _apart(parts, present)
+    number = F.row_number().over(window)
+    if parts.hot:
+        rows = parts.carry(rows, {"_carried": F.count(F.when(present, F.lit(1)))})
+        number = number + F.coalesce(F.col("_carried"), F.lit(0))
+    return parts.finish(rows.withColumn(result_column, F.when(present, number)), ["_aside", "_carried"])
+
+
+def _apart(parts: Split, present: Column) -> tuple[DataFrame, WindowSpec]:
+    """The rows and their window; rows that take no part are spread over tasks by their input partition."""
+    rows = parts.rows.withColumn("_aside", F.when(present, F.lit(-1)).otherwise(F.spark_partition_id()))
+    slots = [*[col(k) for k in parts.keys], F.col("_aside"), *([F.col("_range")] if parts.hot else [])]
+    return rows, Window.partitionBy(*slots).orderBy(*parts.sort)
+
+
 def rank_rows(
     df: DataFrame, column: str, result_column: str = "rank", ascending: bool = False, method: str = "dense",
     group_columns: list[str] | str | None = None, order_columns: list[str] | str | None = None,
@@ -73,26 +93,18 @@ def rank_rows(
     ties = order_of(df, order_columns, "rank method 'first'") if method == "first" else []
     order = [Order(column, ascending), *ties]
     present = ~is_missing(df, column)
+    if method == "first":
+        ranked = number_rows(df, keys, order, present, result_column, rows_per_task)
+        return ranked.withColumn(result_column, col(result_column).cast("double"))
     parts = split(df, keys, order, rows_per_task, only=present)
-    if parts.hot and method != "first":
+    if parts.hot:
         return _rank_by_value(df, keys, order[0], method, result_column, rows_per_task)
-    # Rows without a value take no part; their input partition spreads them over tasks.
-    rows = parts.rows.withColumn("_aside", F.when(present, F.lit(-1)).otherwise(F.spark_partition_id()))
-    slots = [*[col(k) for k in keys], F.col("_aside"), *([F.col("_range")] if parts.hot else [])]
-    window = Window.partitionBy(*slots).orderBy(*parts.sort)
-    if method == "first":
-        rank = F.row_number().over(window)
-        if parts.hot:
-            rows = parts.carry(rows, {"_carried": F.count(F.when(present, F.lit(1)))})
-            rank = rank + F.coalesce(F.col("_carried"), F.lit(0))
-        rank = rank.cast("double")
-    else:
-        # Peers of the row, counted in the same sort as the rank.
-        peers = window.rangeBetween(Window.currentRow, Window.currentRow)
-        tied = F.count(F.lit(1)).over(peers) if method in ("max", "average") else F.lit(1)
-        rank = _rank_expression(method, F.rank().over(window), tied, F.dense_rank().over(window))
-    ranked = rows.withColumn(result_column, F.when(present, rank))
-    return parts.finish(ranked, ["_aside", "_carried"])
+    rows, window = _apart(parts, present)
+    # Peers of the row, counted in the same sort as the rank.
+    peers = window.rangeBetween(Window.currentRow, Window.currentRow)
+    tied = F.count(F.lit(1)).over(peers) if method in ("max", "average") else F.lit(1)
+    rank = _rank_expression(method, F.rank().over(window), tied, F.dense_rank().over(window))
+    return parts.finish(rows.withColumn(result_column, F.when(present, rank)), ["_aside"])
 
 
 def cumulative_sum(
@@ -102,7 +114,7 @@ def cumulative_sum(
 ) -> DataFrame:
     """Running sum in row order, per group or over the table; null counts as 0."""
     order = order_of(df, order_columns, "cumulative_sum")
-    parts = split(df, group_columns, order, rows_per_task)
+    parts = split(df, group_columns, order, rows_per_task, cut_ties=True)
     number = to_number(df, value_column)
     value = F.coalesce(number, F.lit(0)) if kind(type_of(df, value_column)) == "number" else F.coalesce(number, F.lit(0.0))
     rows, total = parts.rows, F.sum(value).over(parts.running)
@@ -126,7 +138,7 @@ def percent_change(
     if isinstance(periods, bool) or not isinstance(periods, int) or periods == 0:
         raise ValueError("periods must be a whole number other than 0")
     order = order_of(df, order_columns, "percent_change")
-    parts = split(df, group_columns, order, rows_per_task)
+    parts = split(df, group_columns, order, rows_per_task, cut_ties=True)
     value = to_double(df, value_column)
     filled = F.last(value, ignorenulls=True).over(parts.running)
     if not parts.hot:
@@ -134,7 +146,7 @@ def percent_change(
         before = F.lag("_filled", periods).over(parts.window)
         return rows.withColumn(result_column, _change(F.col("_filled"), before)).drop("_filled")
     # The last value of each range: by row order, ascending in every column.
-    place = F.struct(*[c for o in order for c in (is_missing(df, o.column), col(o.column))])
+    place = F.struct(*[c for o in parts.order for c in (is_missing(parts.rows, o.column), col(o.column))])
     rows = parts.carry(parts.rows, {"_seen": F.max_by(value, F.when(value.isNotNull(), place))}, last=True)
     rows = rows.withColumn("_filled", F.coalesce(filled, F.col("_seen")))
     if periods == 1:
@@ -188,7 +200,7 @@ def mark_duplicates(
         df, order = df.withColumn("_place", F.monotonically_increasing_id()), [Order("_place")]
     if keep == "last":
         order = [Order(o.column, not o.ascending) for o in order]
-    parts = split(df, keys, order, rows_per_task)
+    parts = split(df, keys, order, rows_per_task, cut_ties=True)
     rows, number = parts.rows, F.row_number().over(parts.window)
     if parts.hot:
         rows = parts.carry(rows, {"_carried": F.count(F.lit(1))})

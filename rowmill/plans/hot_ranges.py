@@ -12,6 +12,11 @@ their range bounds. The sample only steers the balance of the tasks. Every row
 falls into exactly one range whatever the bounds are, so results are exact.
 Without hot groups the plan is the ordinary one-shuffle window.
 
+Where one key value alone fills more than a range, its rows would still meet in one
+task. If the sample shows such a value (a bound that comes twice), a hash of the row
+and its position are added behind the order columns, which cuts the value too; what
+earlier ranges contribute is carried on as before. Without such values nothing is added.
+
 The bounds are values, not partition numbers, so a recomputed task assigns its
 rows to the same ranges as the lost one did.
 """
@@ -33,6 +38,7 @@ MAX_RANGES = 50_000  # also bounds every table that is broadcast here
 SAMPLES_PER_RANGE = 50
 SOURCE_FILE, SOURCE_BLOCK, SOURCE_ROW = "_source_file", "_source_block", "_source_row"
 
+TIE, SPOT = "_tie", "_spot"  # what parts rows that tie on all order columns: a hash of the row, then its position
 RANGE = "_range"  # place of the row's range within all ranges; -1 for rows of groups that stay whole
 JSON_OPTIONS = {"timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
 
@@ -151,7 +157,7 @@ class Split:
         return df.drop(*names.values())
 
     def finish(self, df: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
-        return df.drop(RANGE, *extra)
+        return df.drop(RANGE, TIE, SPOT, *extra)
 
 
 def _turned(c: Column, data_type: T.DataType) -> Column | None:
@@ -210,8 +216,19 @@ def _place(bounds: Column, size: int, key: Column, ascending: bool) -> Column:
     return at if ascending else F.lit(size) - at
 
 
-def _bounds(df: DataFrame, grouped: bool, key: Column, total: int, rows_per_task: int) -> tuple[T.DataType, dict[str, int | None]]:
-    """Sorted range bounds of all hot groups as JSON texts, each with the hash of its group."""
+def row_hash(df: DataFrame, names: Sequence[str]) -> Column | None:
+    """A hash of the columns of fixed width beside the named ones, so that long texts are read only if there is nothing else."""
+    others = [f for f in df.schema.fields if f.name not in names and "map<" not in f.dataType.simpleString()]
+    plain = (T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)
+    fixed = [f for f in others if isinstance(f.dataType, plain) or f.name.startswith("_source")]
+    chosen = fixed or others
+    return F.xxhash64(*[col(f.name) for f in chosen]) if chosen else None
+
+
+def _bounds(
+    df: DataFrame, grouped: bool, key: Column, total: int, rows_per_task: int,
+) -> tuple[T.DataType, dict[str, int | None], bool]:
+    """Sorted range bounds of all hot groups as JSON texts, each with the hash of its group, and whether a bound came twice."""
     ranges = min(MAX_RANGES, math.ceil(total / rows_per_task))
     fraction = min(1.0, ranges * SAMPLES_PER_RANGE / total)
     per_range = max(1, int(fraction * total / ranges))
@@ -222,24 +239,36 @@ def _bounds(df: DataFrame, grouped: bool, key: Column, total: int, rows_per_task
     cuts = numbered.filter(F.col("_row") % per_range == 0).orderBy("key")
     hashed = F.col("key.h") if grouped else F.lit(None).cast("long")
     found = cuts.select(F.to_json("key", JSON_OPTIONS).alias("json"), hashed.alias("h")).collect()  # at most MAX_RANGES rows
-    return sample.schema["key"].dataType, {row["json"]: row["h"] for row in found}
+    distinct = {row["json"]: row["h"] for row in found}
+    return sample.schema["key"].dataType, distinct, len(distinct) < len(found)
 
 
 def split(
     df: DataFrame, group_columns: Sequence[str] | str | None, order: Sequence[Order],
-    rows_per_task: int = ROWS_PER_TASK, only: Column | None = None,
+    rows_per_task: int = ROWS_PER_TASK, only: Column | None = None, cut_ties: bool = False,
 ) -> Split:
-    """Prepare rows for an ordered window. `only` restricts which rows count as load."""
+    """Prepare rows for an ordered window. `only` restricts which rows count as load.
+
+    With `cut_ties` rows that tie on all order columns may be parted too; windows must
+    then go by the order of the result.
+    """
     keys = columns_of(group_columns)
     require_columns(df, keys)
     order = list(order)
     sort = sort_columns(df, order)
-    load = df if only is None else df.filter(only)
-    total = load.count()
+    loaded = lambda rows: rows if only is None else rows.filter(only)
+    total = loaded(df).count()
     if total <= rows_per_task:
         return Split(df, keys, order, sort)
     key, ascending = _key(df, keys, order)
-    key_type, found = _bounds(load, bool(keys), key, total, rows_per_task)
+    key_type, found, tied = _bounds(loaded(df), bool(keys), key, total, rows_per_task)
+    if tied and cut_ties:
+        part = row_hash(df, [*keys, *[o.column for o in order]])
+        df = df.withColumns(({TIE: part} if part is not None else {}) | {SPOT: F.monotonically_increasing_id()})
+        order += [Order(n) for n in (TIE, SPOT) if n in df.columns]
+        sort = sort_columns(df, order)
+        key, ascending = _key(df, keys, order)
+        key_type, found, _ = _bounds(loaded(df), bool(keys), key, total, rows_per_task)
     if not found:
         return Split(df, keys, order, sort)
     # One literal holds all bounds; no row carries them.

@@ -10,10 +10,10 @@ import inspect
 import copy
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from rowmill.functions.columns import col, columns_of
+from rowmill.functions.columns import columns_of
 from rowmill.functions.predicates import all_of, as_flag, predicate
 from rowmill.operators import DATA_OPERATORS, FORMAT_OPERATORS, HIGHLIGHT_OPERATORS, OPERATORS, OUTPUT_OPERATORS
 from rowmill.operators.totals import _conditions
@@ -30,6 +30,7 @@ KEEPS_ROWS = frozenset({
     "cumulative_sum", "percent_change", "mark_duplicates", "mark_missing_required", "mark_error_values",
     *OUTPUT_OPERATORS,
 })
+ADDS_ONE = ("add_total_row", "add_conditional_summary_row")
 FILTERS = ("filter_rows", "filter_by_conditions", "filter_relative_dates", "filter_calendar_period")
 # A live cell formula is no notion of a table; the flag is accepted and values are computed.
 FORMULA_STEPS = ("calculate_column", "calculate_date_difference", "add_subtotals")
@@ -114,35 +115,62 @@ def _affected(df: DataFrame, name: str, params: dict[str, Any]) -> Column | None
     return None
 
 
+class _Counter:
+    """Counts taken on the way through one chain of steps, all of them by the one job that ends it."""
+
+    def __init__(self) -> None:
+        self.seen: list[tuple[Observation, list[str]]] = []
+        self.found: dict[str, int] = {}
+
+    def watch(self, df: DataFrame, counts: dict[str, Column]) -> DataFrame:
+        """The table, with counts over its rows noted under names."""
+        watched = Observation()
+        self.seen.append((watched, list(counts)))
+        return df.observe(watched, *[F.coalesce(c, F.lit(0)).alias(n) for n, c in counts.items()])
+
+    def run(self, df: DataFrame) -> None:
+        df.count()
+        for watched, names in self.seen:
+            got = watched.get
+            # an optimizer that knows a part to be empty leaves it out, and its counts with it
+            self.found |= {n: got.get(n, 0) for n in names}
+
+
 def preview_steps(df: DataFrame, steps: list[Step]) -> DataFrame:
     """Rows before and after each step: (step, function, before_rows, after_rows, affected_rows, groups).
 
-    Lazy. Every count is a scalar subquery over the pruned plan up to its step,
-    and only steps that change the number of rows are counted.
+    One job over one chain: the counts are noted as rows pass the steps that change
+    their number, and presentation steps are not run, as what they add is known. Runs
+    when called; the result has a row per step.
     """
-    count = F.count(F.lit(1))
-    rows = df.agg(count).scalar()
-    counted, data = [], df
-    for number, step, params in _in_phases(steps):
-        name = step["function"]
-        before, affected, groups = rows, F.lit(None).cast("long"), F.lit(None).cast("long")
-        after_df = _apply(df, number, step, params)
-        test = _affected(data, name, params) if name in OUTPUT_OPERATORS else None
-        if test is not None:
-            affected = data.agg(F.count_if(test)).scalar()
+    ordered, counter = _in_phases(steps), _Counter()
+    one = F.count(F.lit(1))
+    data = counter.watch(df, {"rows_0": one})
+    after, at = {}, "rows_0"
+    for number, step, params in ordered:
+        if step["function"] in DATA_OPERATORS:
+            data = _apply(data, number, step, params)
+            if step["function"] not in KEEPS_ROWS:
+                at = f"rows_{number}"
+                data = counter.watch(data, {at: one})
+        after[number] = at
+    tests = {f"affected_{n}": _affected(data, s["function"], p) for n, s, p in ordered if s["function"] in OUTPUT_OPERATORS}
+    tests = {n: F.count_if(t) for n, t in tests.items() if t is not None}
+    if tests:
+        data = counter.watch(data, tests)
+    counter.run(data)
+    result, rows = [], counter.found["rows_0"]
+    for number, step, params in ordered:
+        name, before, groups = step["function"], rows, None
+        if name in OUTPUT_OPERATORS:
+            rows += name in ADDS_ONE
+        else:
+            rows = counter.found[after[number]]
         if name == "add_subtotals":
-            keys = [col(k) for k in columns_of(params["group_columns"])]
-            groups = df.select(*keys).distinct().agg(count).scalar()
-        if name not in KEEPS_ROWS:
-            rows = after_df.agg(count).scalar()
-        df = after_df
-        data = df if name in DATA_OPERATORS else data
-        counted.append(F.struct(
-            F.lit(number).alias("step"), F.lit(name).alias("function"), before.alias("before_rows"),
-            rows.alias("after_rows"), affected.alias("affected_rows"), groups.alias("groups"),
-        ))
-    one = df.sparkSession.range(1).select(F.explode(F.array(*counted)).alias("s"))
-    return one.select("s.*")
+            groups = rows - before - bool(params.get("include_grand_total", True))
+        result.append((number, name, before, rows, counter.found.get(f"affected_{number}"), groups))
+    schema = "step int, function string, before_rows bigint, after_rows bigint, affected_rows bigint, groups bigint"
+    return df.sparkSession.createDataFrame(result, schema)
 
 
 def check_steps(df: DataFrame, steps: list[Step]) -> list[dict[str, Any]]:

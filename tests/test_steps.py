@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 import rowmill as rm
 from rowmill.streaming import ROW_WISE
@@ -42,6 +43,34 @@ def test_preview_counts(orders):
     assert got == [(i, 3, 3, None) for i in range(1, 6)] + [(6, 3, 2, None), (7, 2, 2, None), (8, 2, 2, 1)]
 
 
+def test_a_preview_reads_every_row_once(spark):
+    read = spark.sparkContext.accumulator(0)
+    counted = F.udf(lambda v: read.add(1) or v, "long").asNondeterministic()
+    df = spark.range(1000).select(counted("id").alias("id"), (F.col("id") % 10).alias("g"), (F.col("id") * 2).alias("v"))
+    steps = [
+        {"function": "calculate_column", "params": {"result_column": "w", "operator": "add", "left_column": "v", "right_column": "id"}},
+        {"function": "filter_rows", "params": {"column": "w", "operator": ">", "value": 300}},
+        {"function": "group_sum", "params": {"group_columns": "g", "value_column": "w", "result_column": "s"}},
+        {"function": "filter_rows", "params": {"column": "s", "operator": ">", "value": 10**9}},
+        {"function": "add_total_row", "params": {"value_columns": ["s"]}},
+        {"function": "highlight_rows", "params": {"column": "s", "operator": ">", "value": 1, "color": "red"}},
+    ]
+    found = rm.preview_steps(df, steps)
+    assert read.value == 1000
+    got = rows(found, "step", "before_rows", "after_rows", "affected_rows", order="step")
+    assert got == [(1, 1000, 1000, None), (2, 1000, 899, None), (3, 899, 10, None), (4, 10, 0, None), (5, 0, 1, None), (6, 0, 0, 0)]
+
+
+def test_previews_of_subtotals_and_of_nothing(spark, table):
+    df = table("g string, v int", ("a", 1), ("a", 2), ("b", 3))
+    steps = [{"function": "add_subtotals", "params": {"group_columns": "g", "value_columns": "v"}}]
+    assert rows(rm.preview_steps(df, steps), "before_rows", "after_rows", "groups") == [(3, 6, 2)]
+    assert rows(rm.preview_steps(df.limit(0), steps), "before_rows", "after_rows", "groups") == [(0, 1, 0)]
+    nothing = [{"function": "filter_rows", "params": {"column": "v", "operator": ">", "value": 9}},
+               {"function": "group_count", "params": {"group_columns": "g"}}, {"function": "select_top_n", "params": {"column": "count", "n": 2}}]
+    assert rows(rm.preview_steps(df, nothing), "before_rows", "after_rows", order="step") == [(3, 0), (0, 0), (0, 0)]
+
+
 @pytest.mark.parametrize("step, message", [
     ({"function": "explode_it"}, "unknown function"),
     ({"function": "filter_rows", "params": {"column": "amount"}}, "missing parameters: operator, value"),

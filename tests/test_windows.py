@@ -7,10 +7,11 @@ from decimal import Decimal
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 import rowmill as rm
 from rowmill.plans.hot_ranges import Order, split
-from rowmill.plans.median import exact_median
+from rowmill.plans.selection import medians, values_at
 from tests.conftest import rows
 
 SIZES = [10_000, 15]  # plain windows, and groups cut into ranges
@@ -100,22 +101,83 @@ def test_mark_duplicates(df, frame, size, keep, subset):
     assert out.columns == [*df.columns, "is_duplicate"]
 
 
-@pytest.mark.parametrize("size", SIZES)
-def test_median(df, frame, size):
+def test_median(df, frame):
     expected = frame.groupby("g", dropna=False)["v"].median()
-    got = {g: m for g, m in rows(exact_median(df, "g", "v", rows_per_task=size))}
+    got = {g: m for g, m in rows(medians(df, "g", {"m": "v"}))}
     assert got == {None if pd.isna(g) else g: m for g, m in expected.items()}
-    assert exact_median(df, None, "v", rows_per_task=size).first()[0] == frame["v"].median()
+    assert medians(df, None, {"m": "v"}).first()[0] == frame["v"].median()
     table = rm.group_aggregate(df, "g", [
         {"column": "v", "function": "median", "result_column": "m"}, {"column": "id", "function": "size", "result_column": "n"},
-    ], rows_per_task=size)
+        {"column": "day", "function": "median", "result_column": "d"}, {"column": "v", "function": "nunique", "result_column": "u"},
+    ])
     assert {r[0]: r[1] for r in rows(table)} == got
-    assert table.columns == ["g", "m", "n"]
+    assert table.columns == ["g", "m", "n", "d", "u"]
+
+
+NUMBERS = [0.0, -0.0, 1.0, 1.0, -1.0, 5e-324, -5e-324, 1.7e308, -1.7e308, 0.1, 0.1 + 2**-56, 1e16, 1e16 + 2, float("inf"), float("-inf"), 3.0, 3.0, 3.0]
+
+
+@pytest.mark.parametrize("parts", [2, 7, 65_536])
+def test_every_place_of_every_double(spark, monkeypatch, parts):
+    """Zeros, denormal and huge numbers, neighbours in the last bit, infinities and ties; also with few parts to a pass."""
+    from rowmill.plans import selection
+
+    monkeypatch.setattr(selection, "PARTS", parts)
+    df = spark.createDataFrame([(v,) for v in [*NUMBERS, None, float("nan")]], "v double")
+    n = len(NUMBERS)
+    found = values_at(df, None, ["v"], lambda total: [F.lit(i) for i in range(n + 2)]).collect()
+    assert [r["_value"] for r in sorted(found, key=lambda r: r["_place"])] == sorted(NUMBERS)
+    assert {r["_total"] for r in found} == {n}
+
+
+def test_places_in_groups_with_clashing_names(spark):
+    data = [(i % 3 if i % 7 else None, float(i * 37 % 101) / 7, i % 5) for i in range(400)]
+    df = spark.createDataFrame(data, "c int, v double, n int").withColumnsRenamed({"v": "lo", "n": "bucket"})
+    found = {r["c"]: (r["a"], r["b"]) for r in medians(df, "c", {"a": "lo", "b": "bucket"}).collect()}
+    frame = pd.DataFrame(data, columns=["c", "v", "n"])
+    for key in (0, 1, 2, None):
+        mine = frame[frame.c.isna()] if key is None else frame[frame.c == key]
+        assert found[key] == (mine.v.median(), mine.n.median())
+    assert medians(df.limit(0), None, {"a": "lo"}).collect()[0][0] is None
+    assert medians(df.limit(0), "c", {"a": "lo"}).count() == 0
+
+
+@pytest.fixture(scope="module")
+def one_date(spark):
+    """Rows of one date, half of them equal in every column."""
+    return spark.range(8000, numPartitions=6).select(F.lit(dt.date(2026, 1, 1)).alias("day"), F.when(F.col("id") % 2 == 0, F.col("id")).alias("id"), F.lit(2).alias("v"))
+
+
+def test_one_date_in_all_rows_is_cut(one_date):
+    parts = split(one_date, None, [Order("day")], rows_per_task=1000, cut_ties=True)
+    sizes = [r["count"] for r in parts.rows.groupBy("_range").count().collect()]
+    assert sum(sizes) == 8000 and max(sizes) <= 2000
+    assert parts.finish(parts.rows).columns == one_date.columns
+    # what tells rows apart anyway needs nothing more
+    assert "_tie" not in split(one_date.where("id is not null"), None, [Order("day"), Order("id")], 1000, cut_ties=True).rows.columns
+
+
+@pytest.mark.parametrize("group", [None, "day"])
+def test_windows_over_one_date(one_date, group):
+    options = {"group_columns": group, "order_columns": "day", "rows_per_task": 1000}
+    total = rm.cumulative_sum(one_date, "v", **options)
+    assert sorted(r[0] for r in rows(total, "running_total")) == list(range(2, 16001, 2))
+    ranked = rm.rank_rows(one_date, "day", method="first", **options)
+    assert sorted(r[0] for r in rows(ranked, "rank")) == [float(i) for i in range(1, 8001)]
+    for periods in (1, 3):
+        change = [r[0] for r in rows(rm.percent_change(one_date, "v", periods=periods, **options), "pct_change")]
+        assert change.count(None) == periods and change.count(0.0) == 8000 - periods
+    # the order among ties is one order: changes multiply up to the last value over the first
+    steps = one_date.withColumn("v", F.col("id").cast("double") % 7 + 1)
+    both = rm.percent_change(rm.cumulative_sum(steps.withColumn("one", F.lit(1)), "one", "place", **options), "v", **options)
+    assert both.count() == 8000
+    marked = rm.mark_duplicates(one_date, "day", keep="first", order_columns="v", rows_per_task=1000)
+    assert marked.where("not is_duplicate").count() == 1
 
 
 def test_median_of_a_group_without_values(spark):
     df = spark.createDataFrame([("a", None), ("b", 1.0), ("b", 2.0)], "g string, v double")
-    table = rm.group_aggregate(df, "g", [{"column": "v", "function": "median", "result_column": "m"}], rows_per_task=1)
+    table = rm.group_aggregate(df, "g", [{"column": "v", "function": "median", "result_column": "m"}])
     assert sorted(rows(table)) == [("a", None), ("b", 1.5)]
 
 

@@ -11,7 +11,7 @@ from tests.conftest import rows
 
 @pytest.mark.parametrize("size", [100, 10**6])
 def test_long_top_lists(spark, monkeypatch, size):
-    monkeypatch.setattr(sorting, "ONE_TASK", 10)
+    monkeypatch.setattr(sorting, "SHORT_LIST", 10)
     df = spark.range(3000).select((F.col("id") * 7919 % 3000 % 500).alias("v"), F.col("id").alias("id"))
     expected = sorted(((r.v, r.id) for r in df.collect()), key=lambda r: (-r[0], r[1]))[:1500]
     assert [tuple(r) for r in rm.select_top_n(df, "v", 1500, order_columns="id", rows_per_task=size).collect()] == expected
