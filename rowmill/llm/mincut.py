@@ -5,7 +5,9 @@ and signs, and what the elements around it say (a menu, an article), give the co
 taking it for content or for boilerplate: the capacities from the source and to the
 sink. Blocks that follow each other, and blocks with the same parent, are joined by
 smoothness edges that are weaker the further apart they are in the document tree. The
-minimum cut, found by maximum flow, separates content from boilerplate.
+minimum cut, found by maximum flow, separates content from boilerplate. Names have a
+bounded cost: against the wording of a block and all its neighbours they lose, and where
+elements have no names, wording and neighbourhood alone decide.
 
 The classifier is fitted on pages whose elements name their role.
 """
@@ -16,7 +18,7 @@ import html
 import json
 import math
 import re
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,8 +30,11 @@ from rowmill.llm.toxicity import _logistic
 
 #: Pages that the classifier is fitted on at most: those with the smallest hash of their page_id.
 MOST_PAGES = 1_000
-#: Cost of contradicting the elements around a block, bound of the classifier's part, and strength of the smoothness edges.
-NAMED, WORDED, SMOOTH = 6.0, 3.0, 1.0
+#: Cost of contradicting the elements around a block, what a vague name inside the main part takes from it, bound of the
+#: classifier's part, and strength of the smoothness edges, of which a block has two or more.
+NAMED, VAGUE, WORDED, SMOOTH = 4.5, 4.0, 3.0, 1.0
+#: Steps in the tree beyond which an edge gets no weaker.
+FAR = 12
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S
@@ -54,16 +59,21 @@ SIDE_NAMES = set(
     "signup skip social sponsor sponsored subscribe subscription tags toolbar topbar widget".split()
 )
 COMMENT_NAMES = set("comment comments commentlist disqus replies reply respond discussion".split())
+HEAD_NAMES = set("banner header masthead topbar".split())
 MAIN_NAMES = set("article content entry main maincontent post story".split())
 
 
 class _Element:
-    __slots__ = ("tag", "parent", "depth", "said", "soft", "comments")
+    """An element: `said` is 1 or -1 where it names itself main or side part, `vague` where only the end of a longer name does."""
+
+    __slots__ = ("tag", "parent", "depth", "said", "soft", "vague", "comments", "holds_main", "inside_main", "evidence")
 
     def __init__(self, tag: str, parent: _Element | None, attributes: str):
-        self.tag, self.parent = tag, parent
-        self.depth = parent.depth + 1 if parent else 0
-        self.said, self.soft, self.comments = 0, False, bool(parent and parent.comments)
+        self.tag, self.parent, self.depth = tag, parent, parent.depth + 1 if parent else 0
+        self.said, self.soft, self.vague, self.holds_main = 0, False, False, False
+        self.comments = bool(parent and parent.comments)
+        self.inside_main = bool(parent and (parent.inside_main or parent.tag in MAIN_ELEMENTS))
+        self.evidence = 0.0
         names = []
         if attributes and tag not in ("html", "body"):
             for _, a, b, c in NAMES.findall(attributes):
@@ -76,21 +86,41 @@ class _Element:
             if ends & COMMENT_NAMES:
                 self.said, self.comments = -1, True
             elif ends & SIDE_NAMES and self.said == 0:
-                self.said, self.soft = -1, True
+                if self.inside_main and ends & SIDE_NAMES <= HEAD_NAMES:
+                    pass  # the head of an article belongs to it
+                elif self.inside_main and parts[0] not in SIDE_NAMES:
+                    self.vague = True
+                else:
+                    self.said, self.soft = -1, True
             elif ends & MAIN_NAMES and self.said == 0:
                 self.said = 1
-        if tag in SIDE_ELEMENTS:
+        if tag == "header" and self.inside_main:
+            pass
+        elif tag in SIDE_ELEMENTS:
             self.said, self.soft = -1, tag == "header"
         elif tag in MAIN_ELEMENTS and self.said == 0:
             self.said = 1
         if self.said > 0 and tag in MAIN_ELEMENTS and not self.comments:
             above = parent
-            while above:  # what holds the article is no side part, whatever its class
+            while above and not above.holds_main:  # what holds the article is no side part, whatever its class
+                above.holds_main = True
                 if above.soft:
                     above.said = 0
                 above = above.parent
 
 
+def _weigh(elements: list[_Element]) -> None:
+    """Evidence of each element, parents first: side parts keep theirs to the end, a vague name takes some from a main part."""
+    for e in elements:
+        above = e.parent.evidence if e.parent else 0.0
+        if above <= -NAMED or e.said < 0:
+            e.evidence = -NAMED
+        elif e.vague:
+            e.evidence = above - VAGUE if above > 0 else above
+        else:
+            e.evidence = NAMED if e.said > 0 else above
+
+
 class Block:
     """A run of text without block elements inside."""
 
@@ -101,13 +131,8 @@ class Block:
 
     def named(self) -> int:
         """-1 inside a part that names itself a side part, 1 inside one that names itself the main part, else 0."""
-        at, main = self.parent, 0
-        while at:
-            if at.said < 0 and not (at.tag == "header" and at.soft and main == 0 and _inside_main(at)):
-                return -1  # the head of an article belongs to it
-            main = main or max(0, at.said)
-            at = at.parent
-        return main
+        evidence = self.parent.evidence
+        return 1 if evidence >= NAMED else -1 if evidence <= -NAMED else 0
 
     def features(self) -> list[float]:
         words = len(self.text.split())
@@ -115,18 +140,10 @@ class Block:
         return [math.log1p(words), self.links / len(self.text), float(ends), float(self.tag in ("p", "pre", "blockquote")), float(self.tag in ("li", "td", "th", "dd"))]
 
 
-def _inside_main(element: _Element) -> bool:
-    at = element.parent
-    while at:
-        if at.tag in MAIN_ELEMENTS:
-            return True
-        at = at.parent
-    return False
-
-
 def read_blocks(page: str) -> list[Block]:
     """The blocks of a page in order; comments, scripts, styles, titles and controls have none."""
     element = _Element("#root", None, "")
+    elements, still_open = [element], Counter()
     out: list[Block] = []
     text: list[str] = []
     links = in_link = hidden = 0
@@ -137,12 +154,16 @@ def read_blocks(page: str) -> list[Block]:
         if text:
             joined = " ".join("".join(text).split())
             if joined:
-                own = element
-                while own.parent and own.tag not in BLOCKS:
-                    own = own.parent
-                out.append(Block(joined, own, own.tag, min(links, len(joined))))
+                out.append(Block(joined, element, element.tag, min(links, len(joined))))
             text, links = [], 0
 
+    def leave(upto: _Element) -> None:
+        """Close elements from the innermost to this one."""
+        nonlocal element
+        while element is not upto.parent:
+            still_open[element.tag] -= 1
+            element = element.parent
+
     def add(raw: str) -> None:
         nonlocal links
         if raw and not hidden:
@@ -178,31 +199,34 @@ def read_blocks(page: str) -> list[Block]:
             end_block()
             hidden = in_link = 0
             if slash:
-                found = element
-                while found.parent and found.tag != tag:
-                    found = found.parent
-                if found.parent:
-                    element = found.parent
+                if still_open[tag]:
+                    found = element
+                    while found.tag != tag:
+                        found = found.parent
+                    leave(found)
             else:
-                while element.tag == "p" and element.parent:
-                    element = element.parent
-                if tag in CLOSES:
+                while element.tag == "p":
+                    leave(element)
+                if tag in CLOSES and any(still_open[t] for t in CLOSES[tag]):
                     found = element
                     while found.parent and found.tag not in CLOSES[tag] and found.tag not in SCOPES:
                         found = found.parent
-                    if found.parent and found.tag in CLOSES[tag]:
-                        element = found.parent
+                    if found.tag in CLOSES[tag]:
+                        leave(found)
                 if tag not in VOID:
                     element = _Element(tag, element, attributes)
+                    elements.append(element)
+                    still_open[tag] += 1
     add(page[at:])
     end_block()
+    _weigh(elements)
     return out
 
 
 def _steps_apart(a: _Element, b: _Element) -> int:
-    """Edges between two elements in the document tree."""
+    """Edges between two elements in the document tree, counted up to FAR."""
     steps = 0
-    while a is not b:
+    while a is not b and steps < FAR:
         if a.depth >= b.depth:
             a = a.parent
         else:
@@ -274,12 +298,18 @@ def minimum_cut(costs: list[float], edges: list[tuple[int, int, float]]) -> list
                     room[e ^ 1] += flow
 
 
-def label_blocks(blocks: list[Block], weights: list[float]) -> list[bool]:
-    """Which blocks are content."""
+def block_costs(blocks: list[Block], weights: list[float]) -> list[float]:
+    """What taking each block for boilerplate costs more than taking it for content."""
     costs = []
     for block in blocks:
         guess = weights[0] + sum(w * x for w, x in zip(weights[1:], block.features()))
-        costs.append(NAMED * block.named() + max(-WORDED, min(WORDED, guess)))
+        costs.append(block.parent.evidence + max(-WORDED, min(WORDED, guess)))
+    return costs
+
+
+def label_blocks(blocks: list[Block], weights: list[float]) -> list[bool]:
+    """Which blocks are content."""
+    costs = block_costs(blocks, weights)
     edges, last = [], {}
     for i, block in enumerate(blocks):
         if i:

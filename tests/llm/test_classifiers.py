@@ -3,6 +3,7 @@
 import html
 import json
 import re
+import time
 
 import numpy as np
 import pytest
@@ -176,3 +177,59 @@ def test_odd_pages(spark):
     assert len(found) == 5 and max(len(r["text"]) for r in found) == 999_999
     empty = pages.limit(0)
     assert mincut.extract_main_text(empty, mincut.fit(empty)).count() == 0
+
+
+def without_names(page):
+    """The page with every element that names its role turned into a div, and without classes, ids and roles."""
+    page = re.sub(r"<(/?)(?:article|nav|aside|footer|header|main|section)\b", r"<\1div", page)
+    return re.sub(r"\s(?:class|id|role)=(?:\"[^\"]*\"|'[^']*')", "", page)
+
+
+def test_pages_without_names_are_told_apart_by_the_cut(spark, sf_dir):
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    weights = json.loads(mincut.fit(pages))
+    kept = whole = wrong = rest = decided = 0
+    for (page,) in pages.where("html is not null").select("html").collect():
+        named, plain = mincut.read_blocks(page), mincut.read_blocks(without_names(page))
+        labels = mincut.label_blocks(plain, weights)
+        assert [b.text for b in named] == [b.text for b in plain] and not any(b.named() for b in plain)
+        decided += sum((c > 0) != label for c, label in zip(mincut.block_costs(plain, weights), labels))
+        for block, label in zip(named, labels):
+            size = len(block.text)
+            whole, kept, rest, wrong = (whole + size, kept + size * label, rest, wrong) if block.named() > 0 else (whole, kept, rest + size, wrong + size * label)
+    assert kept >= 0.9 * whole and wrong <= 0.1 * rest
+
+
+def test_the_cut_goes_against_words_and_names():
+    """A short line between paragraphs stays with them; so does a paragraph whose name speaks against it, unless its words do too."""
+    long = "<p>This paragraph is long enough to be a sentence of an article, and it ends like one.</p>"
+    weights = [-2.0, 1.6, -4.0, 1.5, 1.0, -0.5]
+
+    def decided(page):
+        blocks = mincut.read_blocks(page)
+        labels = mincut.label_blocks(blocks, weights)
+        return [b.text for b, c, label in zip(blocks, mincut.block_costs(blocks, weights), labels) if (c > 0) != label], mincut.main_text(page, weights)
+
+    against, text = decided(f"<div>{long}<div>Yes</div>{long}{long}</div>")
+    assert against == ["Yes"] and "Yes" in text
+    against, text = decided(f"<article>{long * 2}<p class='share'>{long[3:-4]}</p>{long * 2}</article>")
+    assert len(against) == 1 and text.count("\n") == 4
+    against, text = decided(f"<article>{long * 2}</article><ul class='share'><li><a href='x'>this</a></li></ul>")
+    assert against == [] and "this" not in text
+
+
+def test_names_inside_an_article():
+    long = "This paragraph is long enough to be a sentence of an article, and it ends like one."
+    page = (
+        f"<nav>Menu</nav><article><div class='entry-header'><h1>The title</h1></div><header><h2>Second head</h2></header><p>{long}</p><p class='note-related'>{long}</p>"
+        f"<ul class='list-tags'><li><a href='a'>tag</a></li></ul><aside><p>{long}</p></aside><footer>Foot</footer><p>{long}</p></article><div class='site-footer'><p>{long}</p></div>"
+        f"<section class='comments'><article><p>{long}</p></article></section>"
+    )
+    assert mincut.main_text(page, mincut.UNTRAINED).split("\n") == ["The title", "Second head", long, long, long]
+
+
+@pytest.mark.parametrize("page", ["<div>text " * 100_000, "<article>text " * 50_000, "<div>a " * 20_000 + "</span></section>" * 100_000, "<ul><li>x" * 30_000])
+def test_very_deep_pages_take_linear_time(page):
+    started = time.process_time()
+    assert mincut.main_text(page, mincut.UNTRAINED) is not None
+    assert time.process_time() - started < 30
