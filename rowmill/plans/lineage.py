@@ -33,12 +33,18 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The table, written once as Parquet below the shared folder and read back; it is deleted when the session ends."""
-    spark = df.sparkSession
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder below the shared one, which is deleted with all it holds when the session's process ends."""
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.mkdirs(target)
+    files.deleteOnExit(target)  # what isn't there yet could not be noted
+    return path
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The table, written once as Parquet below the shared folder and read back; it is deleted when the session's process ends."""
+    path = f"{scratch(df.sparkSession, name)}/table"
     df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
