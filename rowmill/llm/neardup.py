@@ -34,6 +34,8 @@ BLOCK, HUBS, BLOCK_SHINGLES = 512, 32, 8_000_000
 #: Estimates this many standard deviations below the threshold are not confirmed.
 MARGIN = 5.0
 KEPT_WORDS = 150_000
+#: Classes of more than one in so many rows are joined by broadcast: fewer than this many.
+FREQUENT = 4_096
 
 
 class _WordHashes(dict):
@@ -235,7 +237,18 @@ def _block_pairs(members: DataFrame) -> DataFrame:
     return rows.withColumn("block", F.explode(F.concat(with_rest, with_major))).drop("of_major", "of_rest", "h", "mine")
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8, carry: list[str] | None = None) -> DataFrame:
+def _to_rows(rows: DataFrame, of_class: DataFrame, n_rows: int) -> DataFrame:
+    """Rows with what their class has. Frequent classes, fewer than FREQUENT of them, go to all tasks; rows without a class meet nobody."""
+    rest = [c for c in of_class.columns if c not in ("digest", "members")]
+    frequent = of_class.where(F.col("members") * FREQUENT > n_rows)
+    few = of_class.where(F.col("members") * FREQUENT <= n_rows).drop("members")
+    marked = rows.join(F.broadcast(frequent.select("digest", F.lit(True).alias("in_frequent"), *[F.col(c).alias(f"many_{c}") for c in rest])), "digest", "left")
+    met, alone = marked.where("digest IS NOT NULL AND in_frequent IS NULL"), marked.where("digest IS NULL OR in_frequent")
+    found = met.join(few, "digest", "left").unionByName(alone, allowMissingColumns=True)
+    return found.select(*rows.columns, *[F.coalesce(F.col(c), F.col(f"many_{c}")).alias(c) for c in rest])
+
+
+def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8, carry: list[str] | None = None, component: str | None = None) -> DataFrame:
     """doc_id, the carried columns, n_shingles, component_id and kept for every row of `docs`.
 
     Texts are linked if intersection / union of their shingle sets is at least
@@ -244,12 +257,13 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8, car
     and null texts, have no shingles and are linked with nothing. Equal rows, and
     rows that share a doc_id, are rows of their own. A null doc_id is greater than any
     other. An empty table stays empty. Columns other than doc_id, text and those in
-    `carry` are not read.
+    `carry` are not read. `component` names a further column that tells components
+    apart whatever their rows' doc_ids are: equal within one, null without words.
     """
     carry = carry or []
     rows = written(sketch(docs, width, carry), "sketches")
     classes = written(
-        rows.where("digest IS NOT NULL").groupBy(F.col("digest").alias("c")).agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("registers").alias("registers")), "classes"
+        rows.where("digest IS NOT NULL").groupBy(F.col("digest").alias("c")).agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("registers").alias("registers"), F.count(F.lit(1)).alias("members")), "classes"
     )
     cuts = F.array(*[F.xxhash64(F.lit(b), F.substring("registers", 2 * PER_BAND * b + 1, 2 * PER_BAND)) for b in range(BANDS)])
     bands = classes.select("c", "rep", "n", F.posexplode(cuts).alias("band", "k"))
@@ -280,9 +294,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8, car
     second = links(_block_pairs(rest))
     labels = written(components(first.unionByName(second)), "labels")
 
-    classed = classes.select("c", "rep").join(labels, "c", "left").withColumn("comp", F.coalesce("comp", "c"))
+    classed = classes.select("c", "rep", "members").join(labels, "c", "left").withColumn("comp", F.coalesce("comp", "c"))
     roots = classed.groupBy("comp").agg(F.min("rep").alias("component_id"))
-    of_class = classed.join(roots, "comp").select(F.col("c").alias("digest"), "component_id")
-    joined = rows.drop("registers").join(of_class, "digest", "left")
-    component = F.coalesce("component_id", "doc_id")
-    return joined.select("doc_id", *carry, "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    of_class = classed.join(roots, "comp").select(F.col("c").alias("digest"), "members", "component_id", F.col("comp").alias("component"))
+    joined = _to_rows(rows.drop("registers"), written(of_class, "of_class"), rows.count())
+    smallest = F.coalesce("component_id", "doc_id")
+    more = [F.col("component").alias(component)] if component else []
+    return joined.select("doc_id", *carry, "n_shingles", smallest.alias("component_id"), F.col("doc_id").eqNullSafe(smallest).alias("kept"), *more)

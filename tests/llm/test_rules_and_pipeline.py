@@ -178,3 +178,14 @@ def test_registered_queries_and_their_sql(spark, sf_dir):
     for name, sql in ORACLES.items():
         df, expected = QUERIES[name](spark, sf_dir), duck.execute(sql)
         assert compare(df.columns, [tuple(r) for r in df.collect()], [d[0] for d in expected.description], expected.fetchall()) == "exact"
+
+
+def test_groups_are_told_apart_by_their_texts(spark, sf_dir):
+    """Unrelated documents with one doc_id, or with none, stay; near copies without doc_ids leave one row."""
+    words = lambda seed, n=60: " ".join(f"w{(seed * 7919 + i * i) % 1009}x{seed}" for i in range(n))
+    near = words(5).rsplit(" ", 1)[0]
+    rows = [(7, words(1)), (7, words(2)), (8, words(1)), (None, words(3)), (None, words(4)), (None, words(5)), (None, near), (None, words(5) + " end"), (9, "")]
+    df = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    kept = [(r["doc_id"], r["text"]) for r in corpus_pipeline.one_of_each_group_stays(spark, df, sf_dir).collect()]
+    assert len(kept) == 6 and {k for k in kept if k[0]} == {(7, words(1)), (7, words(2)), (9, "")}
+    assert {t for i, t in kept if i is None} >= {words(3), words(4)}
