@@ -8,7 +8,6 @@ operator it calls does.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,7 +16,7 @@ from pyspark.sql import functions as F
 from rowmill.llm import mixing, neardup, outliers, packing, toxicity
 from rowmill.llm.tokens import word_tokenizer
 from rowmill.llm.words import word_count
-from rowmill.plans.lineage import shared_folder
+from rowmill.plans.lineage import scratch
 
 #: The stages depend on iterative and learned operators, which SQL cannot express.
 ORACLE_SQL = None
@@ -45,11 +44,16 @@ def poor_documents_go(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def one_of_each_group_stays(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of near-duplicates: the one with the smallest doc_id. Texts without words are no duplicates of each other, rows of one doc_id are."""
+    """One row of each group of near-duplicates: the one with the smallest doc_id, null last. Texts without words are no duplicates of each other.
+
+    Groups are told apart by their texts: unrelated documents with one doc_id, or
+    without any, stay. Of equal rows one stays.
+    """
     keyed, key = _keyed(docs)
-    found = neardup.near_duplicates(keyed, carry=[key]).where("kept")
-    group = F.coalesce(F.col("component_id").cast("string"), F.concat(F.lit("-"), F.col(key)))
-    stay = found.groupBy(group.alias("group")).agg(F.min(key).alias(key)).select(key).distinct()
+    found = neardup.near_duplicates(keyed, carry=[key], component="component")
+    group = F.coalesce(F.hex("component"), F.concat(F.lit("-"), F.col(key)))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", key))
+    stay = found.groupBy(group.alias("group")).agg(first.alias("first")).select(F.col(f"first.{key}").alias(key)).distinct()
     return keyed.join(stay, key, "left_semi").dropDuplicates([key]).select(*docs.columns)
 
 
@@ -78,9 +82,9 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of a folder of tables; each result is written below the shared folder and read back."""
+    """All stages over the documents of a folder of tables; each result is written below the shared folder, read back, and deleted when the session's process ends."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    base = f"{shared_folder(spark)}/corpus-{uuid.uuid4().hex}"
+    base = scratch(spark, "corpus")
     for i, (_, stage) in enumerate(STAGES):
         path = f"{base}/{i}"
         stage(spark, docs, sf_dir).write.parquet(path)
