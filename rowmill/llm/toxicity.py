@@ -28,8 +28,6 @@ from rowmill.plans.lineage import written
 
 #: Labelled rows of either class that learning uses at most, those with the smallest hash of their doc_id.
 MOST_TOXIC, MOST_CLEAN = 4_000, 8_000
-#: Entries that are weighed on the driver at most, and entries and exceptions of a lexicon at most.
-MOST_CANDIDATES, MOST_ENTRIES, MOST_EXCEPTIONS = 20_000, 2_000, 2_000
 #: An entry occurs in so many toxic rows, is this much likelier in them (logarithm), and this hard to explain by chance (G statistic).
 LEAST_ROWS, LEAST_LOG_ODDS, LEAST_G = 3, 2.0, 18.0
 PREFIXES = range(3, 9)
@@ -122,11 +120,16 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> list[float]:
 
 
 def _sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The labelled rows to learn from: text and toxic, bounded for either class."""
+    """The labelled rows to learn from: text and toxic, one for each doc_id, bounded for either class.
+
+    Of rows that share a doc_id, the text with the smallest hash counts.
+    """
     known = labels.where("toxic IN (0, 1) AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     pick = lambda label, most: known.where(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     chosen = pick(1, MOST_TOXIC).unionByName(pick(0, MOST_CLEAN))  # so few rows that they go to all tasks
-    return written(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic"), "labelled")
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    single = rows.groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.max("toxic").alias("toxic"))
+    return written(single.select("text", "toxic"), "labelled")
 
 
 def _counts(sample: DataFrame, terms) -> DataFrame:
@@ -162,13 +165,14 @@ def _log_odds(n_toxic: int, n_clean: int) -> Column:
 def _chosen(rows: list) -> dict[str, float]:
     """Entries from candidates: of beginnings that say the same, the longest; none below another entry that covers it."""
     entries: dict[str, float] = {}
-    pos: dict[str, int] = {}
+    above: dict[str, int] = {}  # by beginning: rows with the most frequent entry that begins so
     for row in sorted(rows, key=lambda r: (-r["g"], -len(r["term"]), r["term"])):
         term = row["term"]
         below = any(term[:n] in entries for n in range(2, len(term)))
-        above = max([pos[e] for e in entries if e.startswith(term)], default=0)
-        if not below and row["pos"] > 1.1 * above and len(entries) < MOST_ENTRIES:
-            entries[term], pos[term] = row["log_odds"], row["pos"]
+        if not below and row["pos"] > 1.1 * above.get(term, 0):
+            entries[term] = row["log_odds"]
+            for n in range(1, len(term) + 1):
+                above[term[:n]] = max(above.get(term[:n], 0), row["pos"])
     return entries
 
 
@@ -190,7 +194,7 @@ def learn(docs: DataFrame, labels: DataFrame, exceptions: list[str] | None = Non
     g = 2 * (expected(F.col("pos"), n_toxic) + expected(F.col("neg"), n_clean))
     likely = _counts(sample, _word_terms).withColumns({"log_odds": _log_odds(n_toxic, n_clean), "g": g})
     likely = likely.where((F.col("pos") >= LEAST_ROWS) & (F.col("log_odds") >= LEAST_LOG_ODDS) & (F.col("g") >= LEAST_G))
-    entries = _chosen(likely.orderBy(F.col("g").desc(), "term").limit(MOST_CANDIDATES).collect())
+    entries = _chosen(likely.collect())  # of the words of a bounded sample
     own = [fold(phrase) for phrase in exceptions or []]
     bare = json.dumps({"entries": entries, "exceptions": own, "curve": [0.0, 0.0, 0.0]})
 
@@ -208,7 +212,7 @@ def learn(docs: DataFrame, labels: DataFrame, exceptions: list[str] | None = Non
         return found
 
     excused = _counts(sample, around).where((F.col("neg") >= LEAST_ROWS) & (_log_odds(n_toxic, n_clean) <= -0.5))
-    phrases = own + [r["term"] for r in excused.orderBy(F.col("neg").desc(), "term").limit(MOST_EXCEPTIONS).collect()]
+    phrases = own + [r["term"] for r in excused.orderBy(F.col("neg").desc(), "term").collect()]
     model = json.dumps({"entries": entries, "exceptions": phrases, "curve": [0.0, 0.0, 0.0]})
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
