@@ -120,7 +120,8 @@ def learn(docs: DataFrame) -> str:
     """The scorer's weights (JSON), from documents alone.
 
     All rows are counted by their votes; at most 3 ** 8 patterns reach the driver. The
-    scorer is fitted on `MOST_ROWS` rows. Null texts vote nothing; an empty table gives a
+    scorer is fitted on at most `MOST_ROWS` different texts, those with the smallest hashes;
+    doc_ids are not read. Null texts vote nothing; an empty table gives a
     scorer that finds everything good.
     """
     voted = docs.select(votes(F.col("text")).alias("votes"))
@@ -128,8 +129,11 @@ def learn(docs: DataFrame) -> str:
     if not patterns:
         return json.dumps([0.0] * BUCKETS + [5.0])
     posterior, _ = estimate(patterns)
-    edge = docs.select("doc_id").where("doc_id IS NOT NULL").withColumn("h", F.xxhash64("doc_id")).orderBy("h", "doc_id").limit(MOST_ROWS).distinct()
-    sample = docs.join(F.broadcast(edge), "doc_id", "left_semi").limit(2 * MOST_ROWS).select("text", votes(F.col("text")).alias("votes"))
+    # different texts by hash, so that neither doc_ids nor copies have a say in the choice
+    hashed = docs.select("text", F.xxhash64("text").alias("h")).where("text IS NOT NULL")
+    edge = hashed.groupBy("h").count().select("h").orderBy("h").limit(MOST_ROWS)
+    sample = hashed.join(F.broadcast(edge), "h", "left_semi").groupBy("h").agg(F.min("text").alias("text"))
+    sample = sample.orderBy("h").select("text", votes(F.col("text")).alias("votes"))
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
