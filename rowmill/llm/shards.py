@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 #: Walks beyond this many steps end in an error. There are fewer than sqrt(n) values beyond the number of rows n,
 #: so up to 4096 rows no walk is as long, and for more rows the chance is below 64 ** -64.
 LONGEST_WALK = 64
+#: Numbers of a repeated row that are listed at a time.
+RUN = 100_000
 
 
 def radices(n: int) -> tuple[int, int]:
@@ -50,15 +52,15 @@ def permuted(number: Column, n: int, seed: int = 0, rounds: int = 6) -> Column:
     return F.transform(F.array(first), lambda place: F.when(place < n, place).otherwise(walked))[0]
 
 
-def row_numbers(df: DataFrame, keys: list[str], buckets: int = 4096) -> tuple[DataFrame, int]:
+def row_numbers(df: DataFrame, keys: list[str], buckets: int = 65_536) -> tuple[DataFrame, int]:
     """Distinct rows with how many there are (`copies`) and the number of the first (`first_number`); and the number of all rows.
 
-    Rows are ordered by a hash bucket of the keys, then by all their columns; the
-    order depends on values alone. Equal rows are counted before the shuffle, so a
+    Rows are ordered by a hash bucket of all their columns, then by the keys and the
+    others; the order depends on values alone, and no value of a key fills a bucket. Equal rows are counted before the shuffle, so a
     row that is repeated many times is one row in it. At most `buckets` counts
     reach the driver.
     """
-    bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets))
+    bucket = F.pmod(F.xxhash64(*df.columns), F.lit(buckets))
     sizes = dict(df.groupBy(bucket.alias("bucket")).count().collect())
     offsets, total = [], 0
     for i in range(buckets):
@@ -76,14 +78,17 @@ def shuffle_into_shards(df: DataFrame, keys: list[str], n_shards: int, seed: int
     """All rows with `shard` and `slot`: shards of equal size (one row more at most), in an order that the seed fixes.
 
     The same rows get the same places however they are stored or partitioned.
-    `keys` spread the rows (a key column may be null); columns of the names shard,
-    slot, copies, first_number and bucket are replaced. Equal rows keep their
+    `keys` (which may be null) come first in the order of rows before it is shuffled; columns of the names shard,
+    slot, copies, first_number, bucket, upto, from and place are replaced. Equal rows keep their
     number. All columns must be comparable, so no maps. An empty table stays empty.
     """
     if n_shards < 1:
         raise ValueError("n_shards is at least 1")
-    df = df.select(*[c for c in df.columns if c not in ("shard", "slot", "copies", "first_number", "bucket")])
+    df = df.select(*[c for c in df.columns if c not in ("shard", "slot", "copies", "first_number", "bucket", "upto", "from", "place")])
     numbered, n = row_numbers(df, keys)
-    number = F.explode(F.sequence(F.col("first_number"), F.col("first_number") + F.col("copies") - 1))
-    placed = numbered.select(*df.columns, number.alias("place")).withColumn("place", permuted(F.col("place"), max(1, n), seed))
+    # copies in runs, so that no array holds all numbers of a row that is repeated many times
+    upto = F.col("first_number") + F.col("copies")
+    runs = numbered.select(*df.columns, upto.alias("upto"), F.explode(F.sequence(F.col("first_number"), upto - 1, F.lit(RUN))).alias("from"))
+    number = F.explode(F.sequence(F.col("from"), F.least(F.col("from") + RUN, F.col("upto")) - 1))
+    placed = runs.select(*df.columns, number.alias("place")).withColumn("place", permuted(F.col("place"), max(1, n), seed))
     return placed.select(*df.columns, (F.col("place") % n_shards).cast("int").alias("shard"), F.floor(F.col("place") / F.lit(n_shards)).cast("long").alias("slot"))
