@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 import zlib
 from collections import Counter
 from collections.abc import Callable, Iterator
@@ -14,7 +13,7 @@ import corpus_pipeline
 from rowmill.llm import bitplanes, lexical, mincut, mixing, neardup, outliers, packing, shards, spelling, topk, toxicity, warc, weaklabels
 from rowmill.llm.tokens import word_tokenizer
 from rowmill.llm.words import word_count
-from rowmill.plans.lineage import shared_folder
+from rowmill.plans.lineage import scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -125,7 +124,7 @@ def op8_min_cut_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def op9_bit_plane_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{shared_folder(spark)}/token-files-{uuid.uuid4().hex}"
+    path = scratch(spark, "token-files")
     bitplanes.write_token_files(spark.read.parquet(f"{sf_dir}/documents.parquet"), path, word_tokenizer(), end_id=2)
     read = bitplanes.read_token_documents(spark, path)
     return read.select("doc_id", "start", F.floor(F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
@@ -152,7 +151,7 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN place = 1 THEN 'respons
 
 @query(OP11_SQL)
 def op11_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
+    path = f"{scratch(spark, 'warc')}/archives"
     warc.write_warc(spark.read.parquet(f"{sf_dir}/pages.parquet"), path, minimum_revisit=0)
     records = warc.read_warc(spark, path)
     return records.select(
@@ -240,7 +239,7 @@ SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 10
 
 @query(OP13_SQL)
 def op13_block_max_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
+    path = scratch(spark, "index")
     lexical.build_index(spark.read.parquet(f"{sf_dir}/documents.parquet"), path)
     return lexical.search(spark, path, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), k=10)
 

@@ -233,3 +233,63 @@ def test_very_deep_pages_take_linear_time(page):
     started = time.process_time()
     assert mincut.main_text(page, mincut.UNTRAINED) is not None
     assert time.process_time() - started < 30
+
+
+def test_a_repeated_labelled_document_counts_once(spark, insults):
+    docs, labels = insults
+    first = labels.where("toxic = 1").orderBy("doc_id").limit(1)
+    copies = docs.join(first.select("doc_id"), "doc_id").withColumn("i", F.explode(F.sequence(F.lit(1), F.lit(5000)))).drop("i")
+    many = docs.unionByName(copies.select(*docs.columns))
+    sample = toxicity._sample(many, labels)
+    assert sample.count() == labels.where("toxic IN (0, 1)").select("doc_id").distinct().join(docs, "doc_id").select("doc_id").distinct().count()
+    assert json.loads(toxicity.learn(many, labels)) == json.loads(toxicity.learn(docs, labels))
+
+
+def plain_score(text, model):
+    """The score of a model without the automaton: every entry searched by itself, hits inside exceptions left out."""
+    model, folded = json.loads(model), toxicity.fold(text)
+    starts = lambda term: [m.start() for m in re.finditer(f"(?={re.escape(term)})", folded)]
+    excused = [(at, at + len(p)) for p in model["exceptions"] for at in starts(p)]
+    best = {}
+    for term, weight in model["entries"].items():
+        for at in [] if term in model["exceptions"] else starts(term):
+            if not any(a <= at < z for a, z in excused):
+                best[at] = max(best.get(at, 0.0), weight)
+    total = sum(best.values())
+    c, a, b = model["curve"]
+    margin = c + a * np.log1p(total) + b * np.log1p(100 * total / max(1, folded.count(" ") - 1))
+    return float(1 / (1 + np.exp(-np.clip(margin, -30, 30))))
+
+
+def test_scores_against_a_plain_search(spark, sf_dir, docs):
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = toxicity.learn(docs, labels.where(~toxicity.held_out(F.col("doc_id"))))
+    rows = docs.select("text", toxicity.score(F.col("text"), model).alias("score")).collect()
+    apart = [abs(r["score"] - plain_score(r["text"], model)) for r in rows]
+    assert sum(x > 1e-9 for x in apart) == 0
+
+
+def test_weak_labels_without_doc_ids(spark, sf_dir, docs):
+    weights = weaklabels.learn(docs)
+    none = docs.withColumn("doc_id", F.lit(None).cast("long"))
+    assert weaklabels.learn(none.repartition(5)) == weights and weaklabels.learn(docs.withColumn("doc_id", F.lit(1))) == weights
+    repeated = docs.unionByName(docs.orderBy("doc_id").limit(1).withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(20_000)))).drop("n"))
+    assert len({round(r[0], 6) for r in docs.select(weaklabels.score(F.col("text"), weaklabels.learn(repeated))).collect()}) > 50
+
+
+def test_posteriors_and_scores_in_plain_numbers(spark, docs):
+    """Bayes' rule on the accuracies that were found, and the linear score written out."""
+    patterns = dict(docs.select(weaklabels.votes(F.col("text")).alias("v")).groupBy("v").count().collect())
+    posterior, accuracy = weaklabels.estimate(patterns)
+    for pattern, found in posterior.items():
+        good = bad = 1.0
+        for vote, right in zip(pattern, accuracy):
+            good *= right if vote == "+" else 1 - right if vote == "-" else 1
+            bad *= 1 - right if vote == "+" else right if vote == "-" else 1
+        assert abs(found - good / (good + bad)) < 1e-3
+    weights = json.loads(weaklabels.learn(docs))
+    for row in docs.select("text", weaklabels.score(F.col("text"), json.dumps(weights)).alias("s")).limit(100).collect():
+        margin = weights[-1]
+        for bucket, share in weaklabels._features(row["text"]).items():
+            margin += weights[bucket] * share
+        assert abs(row["s"] - 1 / (1 + np.exp(-max(-30, min(30, margin))))) < 1e-9
