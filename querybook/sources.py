@@ -192,7 +192,7 @@ _REQUEST = "documents in fr or de from src1, not SRC12 or esrc2"
     UNION ALL SELECT 'text', text, count(*) FROM documents WHERE length(text) BETWEEN 2 AND {len(_REQUEST)} GROUP BY text)
   WHERE regexp_matches('{_REQUEST.lower()}', '(^|[^a-z0-9_])' || regexp_escape(lower("value")) || '($|[^a-z0-9_])') ORDER BY length("value") DESC, "column", "value" """)
 def find_values(t):
-    return rm.find_values(t("documents"), _REQUEST)
+    return rm.find_values(t("documents"), _REQUEST, minimum_length=2)
 
 
 _CANDIDATES = """WITH cells AS (
@@ -210,7 +210,7 @@ UNION ALL SELECT "column", 'endswith', f, n3 FROM counts WHERE n3 > 0 AND n3 NOT
 
 @query(_CANDIDATES)
 def find_filter_candidates(t):
-    df = rm.find_filter_candidates(t("part"), fragments=["red", "ing", "ECONOMY", "zzz"], columns=["p_name", "p_type"])
+    df = rm.find_filter_candidates(t("part"), fragments=["red", "ing", "ECONOMY", "zzz"], columns=["p_name", "p_type"], minimum_length=2)
     return df.drop("matched_values")
 
 
@@ -256,3 +256,47 @@ def cells_from_csv_of_any_width(t):
     df = rm.read_region(cells, rm.find_table_regions(cells), headers)
     df = rm.convert_column_type(rm.convert_column_type(df, "balance", "number"), "c_custkey", "number")
     return df.select("c_name", "c_mktsegment", "balance", F.col("c_custkey").cast("bigint").alias("c_custkey"))
+
+
+@query("SELECT o_orderstatus, CAST(sum(o_custkey) AS BIGINT) AS total, min(strftime(o_orderdate, '%Y-%m-%d')) AS first_day FROM orders GROUP BY 1")
+def load_csv_with_types(t):
+    target = t.scratch()
+    rm.write_result(t("orders").select("o_orderstatus", "o_custkey", "o_orderdate"), target, "csv")
+    df = rm.load_table(t.spark, target, "csv", infer_types=True)
+    df = rm.group_aggregate(df, "o_orderstatus", [
+        {"column": "o_custkey", "function": "sum", "result_column": "total"}, {"column": "o_orderdate", "function": "min", "result_column": "first_day"}])
+    return df.withColumn("first_day", F.date_format("first_day", "yyyy-MM-dd"))
+
+
+@query("""SELECT 'even' AS source_file, 'even' AS source_table, c_custkey, c_name, CAST(NULL AS DOUBLE) AS c_acctbal FROM customer WHERE c_custkey % 2 = 0
+  UNION ALL SELECT 'odd', 'odd', c_custkey, c_name, c_acctbal FROM customer WHERE c_custkey % 2 = 1""")
+def combine_csv_files_of_two_layouts(t):
+    base, customers = t.scratch(), t("customer")
+    customers.where("c_custkey % 2 = 0").select("c_custkey", "c_name").write.csv(f"{base}/even", header=True)
+    customers.where("c_custkey % 2 = 1").select("c_name", "c_acctbal", "c_custkey").write.csv(f"{base}/odd", header=True)
+    df = rm.combine_files(t.spark, [f"{base}/even", f"{base}/odd"], "csv", infer_types=True)
+    return df.select("source_file", "source_table", "c_custkey", "c_name", "c_acctbal")
+
+
+@query("""SELECT 'even' AS source_file, c_custkey, CAST(c_nationkey AS VARCHAR) AS nation FROM customer WHERE c_custkey % 2 = 0
+  UNION ALL SELECT 'odd', c_custkey, 'n' || c_nationkey FROM customer WHERE c_custkey % 2 = 1""")
+def combine_files_of_clashing_kinds(t):
+    base, customers = t.scratch(), t("customer")
+    customers.where("c_custkey % 2 = 0").selectExpr("cast(c_custkey AS int) AS c_custkey", "cast(c_nationkey AS int) AS nation").write.parquet(f"{base}/even")
+    customers.where("c_custkey % 2 = 1").selectExpr("c_custkey", "concat('n', c_nationkey) AS nation").write.parquet(f"{base}/odd")
+    return rm.combine_files(t.spark, [f"{base}/even", f"{base}/odd"]).select("source_file", "c_custkey", "nation")
+
+
+@query("""SELECT CASE WHEN c_custkey % 2 = 0 THEN 'even' ELSE 'odd' END AS source_file, c_custkey FROM customer WHERE c_acctbal >= 0""")
+def combine_files_without_hidden_rows(t):
+    base = t.scratch()
+    customers = t("customer").selectExpr("c_custkey", "c_acctbal < 0 AS hide")
+    for name, odd in (("even", 0), ("odd", 1)):
+        customers.where(F.col("c_custkey") % 2 == odd).write.parquet(f"{base}/{name}")
+    df = rm.combine_files(t.spark, [f"{base}/even", f"{base}/odd"], hidden_column="hide", include_hidden_rows=False)
+    return df.select("source_file", "c_custkey")
+
+
+@query("""SELECT 'o_orderstatus' AS "column", o_orderstatus AS "value", count(*) AS row_count FROM orders WHERE o_orderstatus IN ('F', 'O') GROUP BY o_orderstatus""")
+def find_values_of_one_letter(t):
+    return rm.find_values(t("orders"), "how many have status f, and how many o?")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 import rowmill as rm
-from querybook.base import query
+from querybook.base import ORACLES, query
 
 FLAGSHIP = [
     {"function": "calculate_column", "params": {
@@ -76,3 +76,33 @@ def report_with_total_and_highlight(t):
         {"function": "highlight_rows", "params": {"column": "n", "operator": ">", "value": 10, "color": "green"}},
     ])
     return df.select("o_orderstatus", F.col("total").cast("double").alias("total"), "n", "highlight")
+
+
+@query(ORACLES["preview_steps"])
+def check_steps(t):
+    found = rm.check_steps(t("lineitem"), FLAGSHIP)
+    return t.spark.createDataFrame(found, "step int, function string, before_rows bigint, after_rows bigint, affected_rows bigint, groups bigint").select(
+        "step", "function", "before_rows", "after_rows"
+    )
+
+
+@query("""SELECT CAST(1 AS INTEGER) AS step, 'add_subtotals' AS function, (SELECT count(*) FROM orders) AS before_rows,
+    (SELECT count(*) + count(DISTINCT o_custkey) + 1 FROM orders) AS after_rows, (SELECT count(DISTINCT o_custkey) FROM orders) AS groups, CAST(NULL AS BIGINT) AS affected_rows
+  UNION ALL SELECT 2, 'highlight_rows', (SELECT count(*) + count(DISTINCT o_custkey) + 1 FROM orders), (SELECT count(*) + count(DISTINCT o_custkey) + 1 FROM orders), NULL,
+    (SELECT count(*) FILTER (WHERE o_totalprice > 100000) + (SELECT count(*) FROM (SELECT sum(CAST(o_totalprice AS DECIMAL(18, 2))) AS s FROM orders GROUP BY o_custkey) WHERE s > 100000) + 1 FROM orders)
+  UNION ALL SELECT 3, 'add_total_row', (SELECT count(*) + count(DISTINCT o_custkey) + 1 FROM orders), (SELECT count(*) + count(DISTINCT o_custkey) + 2 FROM orders), NULL, NULL""")
+def preview_steps_of_a_report(t):
+    df = t("orders").select("o_custkey", F.col("o_totalprice").cast("decimal(18,2)").alias("o_totalprice"))
+    return rm.preview_steps(df, [
+        {"function": "add_subtotals", "params": {"group_columns": "o_custkey", "value_columns": "o_totalprice"}},
+        {"function": "highlight_rows", "params": {"column": "o_totalprice", "operator": ">", "value": 100000, "color": "red"}},
+        {"function": "add_total_row", "params": {"value_columns": ["o_totalprice"]}},
+    ])
+
+
+@query(ORACLES["preview_steps"])
+def append_run_log(t):
+    log = t.scratch()
+    rm.append_run_log(t.spark, log, "done", FLAGSHIP, source="lineitem", preview=rm.check_steps(t("lineitem"), FLAGSHIP))
+    entry = F.from_json("preview", "array<struct<step:int, function:string, before_rows:bigint, after_rows:bigint>>")
+    return t.spark.read.json(log).where("status = 'done' AND source = 'lineitem'").select(F.explode(entry).alias("e")).select("e.*")

@@ -193,3 +193,12 @@ def color_scale(t):
 def color_scale_over_many_rows(t):
     df = rm.color_scale(t("events"), "value", "red_yellow_green")
     return df.select("event_id", "value_scale", "value_color")
+
+
+@query("""SELECT o_orderstatus, CAST(o_totalprice AS DOUBLE) AS total, 'detail' AS kind FROM orders
+  UNION ALL SELECT 'Subtotal', CAST(sum(CAST(o_totalprice AS DECIMAL(18, 2))) AS DOUBLE), 'subtotal' FROM orders GROUP BY o_orderstatus
+  UNION ALL SELECT 'Grand total', CAST(sum(CAST(o_totalprice AS DECIMAL(18, 2))) AS DOUBLE), 'grand_total' FROM orders""")
+def sort_with_totals(t):
+    df = t("orders").select("o_orderstatus", F.col("o_totalprice").cast("decimal(18,2)").alias("total"))
+    out = rm.sort_with_totals(rm.add_subtotals(df, "o_orderstatus", "total"))
+    return out.select("o_orderstatus", F.col("total").cast("double").alias("total"), F.col("_row_kind").alias("kind"))

@@ -113,3 +113,23 @@ def _duplicates(name, keys, options):
 for _name in _KEPT:
     _duplicates(_name, ["o_custkey", "o_orderstatus"], {})
     _duplicates(_name, ["o_orderstatus"], {"rows_per_task": CUT})
+
+
+def _one_date(t):
+    """The orders, all of one date: every row ties, and only a hash of the row can cut them into ranges."""
+    return t("orders").select("o_orderkey", F.lit("2026-01-01").cast("date").alias("day"), F.lit(1).cast("bigint").alias("one"))
+
+
+@query("SELECT row_number() OVER () AS running_total FROM orders")
+def cumulative_sum_over_one_date(t):
+    return rm.cumulative_sum(_one_date(t), "one", order_columns="day", rows_per_task=CUT).select("running_total")
+
+
+@query("SELECT CAST(row_number() OVER () AS DOUBLE) AS rank FROM orders")
+def rank_rows_first_over_one_date(t):
+    return rm.rank_rows(_one_date(t), "one", method="first", order_columns="day", rows_per_task=CUT).select("rank")
+
+
+@query("SELECT CASE WHEN row_number() OVER () > 1 THEN CAST(0 AS DOUBLE) END AS pct_change FROM orders")
+def percent_change_over_one_date(t):
+    return rm.percent_change(_one_date(t), "one", order_columns="day", rows_per_task=CUT).select("pct_change")

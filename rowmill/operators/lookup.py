@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rowmill.functions.columns import col, is_missing, kind, strip, to_text, type_of
+from rowmill.functions.columns import SPACE, col, is_missing, kind, strip, to_text, type_of
 
 WORD = "[a-z0-9_]"
 #: Pieces up to which they are sent to all tasks; more are dealt out with the values, over SALTS places per column.
@@ -29,14 +29,24 @@ def _not_too_many(df: DataFrame, names: list[str], max_distinct: int) -> list[st
     return [n for i, n in enumerate(names) if sizes[i] <= 2 * max_distinct + 10]
 
 
-def _distinct_values(df: DataFrame, names: list[str], max_distinct: int | None) -> DataFrame:
-    """(column, raw, n, value) of all columns, or of those with at most `max_distinct` distinct raw values."""
+def _distinct_values(df: DataFrame, names: list[str], max_distinct: int | None, longest: int | None = None) -> DataFrame:
+    """(column, raw, n, value) of all columns, or of those with at most `max_distinct` distinct raw values.
+
+    Texts that are surely longer than `longest`, whatever white space they begin or end
+    with, are left out before they are counted.
+    """
     names = names if max_distinct is None else _not_too_many(df, names, max_distinct)
     if not names:
         return df.sparkSession.createDataFrame([], "column string, raw string, n bigint, value string")
-    cells = F.explode(F.array(*[
-        F.struct(F.lit(n).alias("column"), F.when(~is_missing(df, n), to_text(df, n)).alias("raw")) for n in names
-    ]))
+    def cell(name: str) -> Column:
+        raw, wanted = to_text(df, name), ~is_missing(df, name)
+        if longest is not None:
+            # lower-case forms may be shorter, but not by so much
+            ends = F.concat(F.substring(raw, 1, 1), F.substring(raw, -1, 1))
+            wanted = wanted & ((F.length(raw) <= 3 * longest + 3) | ends.rlike(f"(?U){SPACE}"))
+        return F.when(wanted, raw)
+
+    cells = F.explode(F.array(*[F.struct(F.lit(n).alias("column"), cell(n).alias("raw")) for n in names]))
     counted = (
         df.select(cells.alias("cell")).select("cell.*").filter(F.col("raw").isNotNull())
         .groupBy("column", "raw").agg(F.count(F.lit(1)).alias("n"))
@@ -48,6 +58,11 @@ def _distinct_values(df: DataFrame, names: list[str], max_distinct: int | None)
     return counted.withColumn("value", strip(F.col("raw")))
 
 
+def _after_counting(test: Column) -> Column:
+    """A test that the optimizer can't move below the count of distinct values, where every cell would take it."""
+    return F.when(F.monotonically_increasing_id() >= 0, test)
+
+
 def _text_columns(df: DataFrame, columns: list[str] | None, texts_only: bool) -> list[str]:
     names = columns or df.columns
     return [n for n in names if kind(type_of(df, n)) in (("text",) if texts_only else ("text", "number", "boolean", "datetime"))]
@@ -69,20 +84,20 @@ def _occurs(value: Column, text: str) -> Column:
 
 def find_values(
     df: DataFrame, text: str, columns: list[str] | None = None, max_distinct: int | None = None, limit: int | None = None,
-    minimum_length: int = 2, maximum_length: int | None = None,
+    minimum_length: int = 1, maximum_length: int | None = None,
 ) -> DataFrame:
     """Exact values of text columns that the search text names, longest first, with their row counts.
 
-    Values shorter than `minimum_length` characters say too little to count as named.
+    Values shorter than `minimum_length` characters don't count as named.
     """
     names = _text_columns(df, columns, texts_only=True)
     if not names:
         raise ValueError("the table has no text column")
-    values = _distinct_values(df, names, max_distinct).withColumn("folded", F.lower("value"))
-    length = F.length("folded")
     # A value longer than the search text cannot stand in it.
     longest = min(len(text), maximum_length or len(text))
-    hits = values.filter(length.between(minimum_length, longest) & _occurs(F.col("folded"), text.strip().casefold()))
+    values = _distinct_values(df, names, max_distinct, longest if max_distinct is None else None).withColumn("folded", F.lower("value"))
+    length = F.length("folded")
+    hits = values.filter(_after_counting(length.between(minimum_length, longest) & _occurs(F.col("folded"), text.strip().casefold())))
     grouped = hits.groupBy("column", "folded").agg(F.min("value").alias("value"), F.sum("n").alias("row_count"))
     ranked = grouped.orderBy(F.length("value").desc(), "column", "value")
     return (ranked if limit is None else ranked.limit(limit)).select("column", "value", "row_count")
@@ -105,7 +120,7 @@ def _shared_pieces(value: Column, text: str, minimum: int) -> Column:
 
 def find_filter_candidates(
     df: DataFrame, text: str | None = None, fragments: list[str] | None = None, columns: list[str] | None = None,
-    max_distinct: int | None = None, minimum_length: int = 2, limit: int | None = None, examples: int = 8,
+    max_distinct: int | None = None, minimum_length: int = 1, limit: int | None = None, examples: int = 8,
 ) -> DataFrame:
     """Text filters that would match something: piece × column × ==, contains, startswith, endswith.
 

@@ -70,3 +70,14 @@ def test_filter_candidates_from_text(table):
     df = table("vendor string", ("Acme Ltd",), ("Acme Inc",), ("Other",))
     got = rows(rm.find_filter_candidates(df, text="rows of acme please"), "operator", "value", "row_count")
     assert got[0] == ("contains", "Acme ", 2)  # as the column spells it
+
+
+def test_values_are_matched_after_they_are_counted(spark, tmp_path):
+    """No test of the search text stands below the count of distinct values, and long texts are left out before it."""
+    spark.range(50).selectExpr("concat('item-', id % 5) AS item", "repeat('long text ', 400) AS note").write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    out = rm.find_values(df, "show item-3 and item-4")
+    assert rows(out) == [("item", "item-3", 10), ("item", "item-4", 10)]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Contains(" in plan[: plan.rindex("Aggregate")] and "Contains(" not in plan[plan.rindex("Aggregate"):]
+    assert rows(rm.find_values(spark.createDataFrame([("F",), ("O",), ("  F  " + " " * 200,)], "s string"), "only f")) == [("s", "F", 2)]

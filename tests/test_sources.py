@@ -150,3 +150,46 @@ def test_cells_of_csv_grids(spark, tmp_path, size):
     assert rows(regions, "sheet", "header_row", "data_end_row", "headers") == [("my grid", 3, 35, ["client", "note", "paid"])]
     table = rm.read_region(cells, regions, ["client", "note", "paid"])
     assert rows(table, "client", "note", "paid", order="_source_row")[:2] == [("A", "x, y", "1"), ("B", None, "2")]
+
+
+def test_types_of_text_files(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("whole,num,mixed,code,day,moment,flag,text,empty\n1,1.5,1,007,2026-01-02,2026-01-02 03:04:05,true,x,\n"
+                                    " -2 ,1e3,2.5,012,2026-02-03,2026-02-03,False,1,\n,,,,,,,,\n3,+4,3,5,2026/03/04,2026-03-04,TRUE,2, \n")
+    df = rm.load_table(spark, str(tmp_path / "a.csv"), "csv", infer_types=True)
+    assert [f.dataType.simpleString() for f in df.schema.fields] == ["bigint", "double", "double", "string", "date", "timestamp_ntz", "boolean", "string", "string"]
+    assert rows(df, "whole", "num", "mixed", "code", "flag", "text", order="whole") == [
+        (-2, 1000.0, 2.5, "012", False, "1"), (1, 1.5, 1.0, "007", True, "x"), (3, 4.0, 3.0, "5", True, "2"),
+    ]
+    assert rows(rm.group_sum(df, "flag", "whole"), order="flag") == [(False, -2), (True, 4)]
+    plain = rm.load_table(spark, str(tmp_path / "a.csv"), "csv")
+    assert {f.dataType.simpleString() for f in plain.schema.fields} == {"string"}
+    (tmp_path / "b.csv").write_text("x,y\n")
+    assert rm.load_table(spark, str(tmp_path / "b.csv"), "csv", infer_types=True).count() == 0
+
+
+def test_files_of_clashing_kinds(spark, tmp_path):
+    spark.createDataFrame([(1, 5)], "k int, v int").write.parquet(str(tmp_path / "a"))
+    spark.createDataFrame([(2, "x")], "k bigint, v string").write.parquet(str(tmp_path / "b"))
+    spark.createDataFrame([(3, "y", True)], "k bigint, v string, hide boolean").write.parquet(str(tmp_path / "c"))
+    paths = [str(tmp_path / n) for n in "abc"]
+    df = rm.combine_files(spark, paths, hidden_column="hide")
+    assert rows(df, "source_file", "k", "v", "_hidden", order="k") == [("a", 1, "5", None), ("b", 2, "x", None), ("c", 3, "y", True)]
+    assert df.schema["k"].dataType.simpleString() == "bigint"
+    shown = rm.combine_files(spark, paths, hidden_column="hide", include_hidden_rows=False, include_source_metadata=True)
+    assert shown.count() == 2 and {"_source_file", "_source_row"} <= set(shown.columns)
+
+
+def test_many_text_files_are_a_scan_per_layout(spark, tmp_path):
+    for i in range(12):
+        head, line = ("a,b", f"{i},x{i}") if i % 2 else ("b, a ,c", f"x{i},{i},")
+        (tmp_path / f"f {i}+.csv").write_text(f"{head}\n{line}\n , \n")
+    (tmp_path / "more").mkdir()
+    for i in (20, 21):
+        (tmp_path / "more" / f"part-{i}.csv").write_text(f"a,b\n{i},x{i}\n")
+    paths = [str(p) for p in sorted(tmp_path.glob("f*"))] + [str(tmp_path / "more")]
+    df = rm.combine_files(spark, paths, "csv", infer_types=True)
+    assert df._jdf.queryExecution().executedPlan().toString().count("FileScan") == 2
+    found = rows(df, "source_file", "source_table", "a", "b", order="a")
+    assert found == [(f"f {i}+.csv", f"f {i}+", i, f"x{i}") for i in range(12)] + [("more", "more", i, f"x{i}") for i in (20, 21)]
+    placed = rm.combine_files(spark, paths, "csv", include_source_metadata=True)
+    assert len({r[0] for r in rows(placed, "_source_file")}) == 14
