@@ -300,3 +300,14 @@ def combine_files_without_hidden_rows(t):
 @query("""SELECT 'o_orderstatus' AS "column", o_orderstatus AS "value", count(*) AS row_count FROM orders WHERE o_orderstatus IN ('F', 'O') GROUP BY o_orderstatus""")
 def find_values_of_one_letter(t):
     return rm.find_values(t("orders"), "how many have status f, and how many o?")
+
+
+@query(r"SELECT doc_id, text FROM documents WHERE regexp_matches(text, '\S')")
+def cells_from_csv_with_line_breaks(t):
+    target = t.scratch()
+    options = {"escape": '"', "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+    t("documents").select("doc_id", "text").write.options(quoteAll=True, **options).csv(target)
+    cells = rm.cells_from_csv(t.spark, target, width=2, rows_per_task=2000, escape='"')
+    cell = lambda i: F.max(F.when(F.col("col") == i, F.col("value")))
+    found = cells.groupBy("file", "row").agg(cell(1).cast("bigint").alias("doc_id"), cell(2).alias("text"))
+    return found.where("text IS NOT NULL").select("doc_id", "text")

@@ -9,12 +9,13 @@ sheet spreads over all tasks.
 from __future__ import annotations
 
 import re
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rowmill.functions.columns import NOT_SPACE, parse_number, parse_timestamp, strip
-from rowmill.plans.hot_ranges import ROWS_PER_TASK, SOURCE_FILE, SOURCE_ROW, source_order, Order, split
+from rowmill.functions.columns import NOT_SPACE, col, parse_number, parse_timestamp, strip
+from rowmill.plans.hot_ranges import ROWS_PER_TASK, SOURCE_FILE, SOURCE_ROW, source_order, Order, Split, split
 from rowmill.plans.lineage import materialize
 from rowmill.sources.load import ORIGIN_FILE, ORIGIN_TABLE, _with_position
 
@@ -32,29 +33,85 @@ SHEET = ["file", "sheet"]
 SPAN = [*SHEET, "start_col", "end_col"]
 
 
+def _numbered(parts: Split, rows: DataFrame, step: Column, name: str) -> DataFrame:
+    """A running sum in row order, over all ranges of the file."""
+    rows = rows.withColumn("_step", step.cast("long"))
+    total = F.sum("_step").over(parts.running)
+    if parts.hot:
+        rows = replace(parts, rows=rows).carry(rows, {"_carried": F.sum("_step")})
+        total = total + F.coalesce(F.col("_carried"), F.lit(0))
+    return rows.withColumn(name, total).drop("_step", "_carried")
+
+
+def _quoting(spark: SparkSession, options: dict[str, str]) -> tuple[str, str, str]:
+    """Patterns for a line that ends inside a quoted cell: one that begins outside of one, and the two that begin inside."""
+    given = {k.lower(): v for k, v in options.items()}
+    quote, escape, between = re.escape(given.get("quote", '"') or "\0"), re.escape(given.get("escape", "\\")), re.escape(_separator(spark, options))
+    body = f"(?:(?!{quote}|{escape})[\\s\\S]|{escape}[\\s\\S]?|{quote}{quote})*+" if escape != quote else f"(?:(?!{quote})[\\s\\S]|{quote}{quote})*+"
+    rest = f"(?:(?!{between})[\\s\\S])*+"
+    closed = f"{body}{quote}(?!{quote}){rest}"
+    field = f"(?:{quote}{closed}|(?!{quote}){rest})"
+    return f"^(?:{field}{between})*+{quote}{body}$", f"^{body}$", f"^{closed}(?:{between}{field})*{between}{quote}{body}$"
+
+
+def _records(spark: SparkSession, parts: Split, order: list[Order], options: dict[str, str]) -> DataFrame:
+    """(file, row, value): the records of the files in order; a line break inside a quoted cell ends none.
+
+    What a line does to the open quote is one of four things: leave it as it is, turn it
+    round, close it, or open it. So a quote is open behind a line if the last line that
+    closes or opens it leaves it so, turned by the lines since then. Two running values
+    give this for every line, whatever task it is in; parsing stays Spark's.
+    """
+    opens, stays, again = _quoting(spark, options)
+    out = F.col("value").rlike(opens)
+    into = F.col("value").rlike(stays) | F.col("value").rlike(again)
+    rows = parts.rows.withColumns({"_opens": out, "_stays": into})
+    turns, sets = F.col("_opens") & ~F.col("_stays"), F.col("_opens") == F.col("_stays")
+    rows = _numbered(parts, rows, turns, "_turns")
+    mark = F.when(sets, F.struct(F.col("_opens").alias("open"), F.col("_turns").alias("turns")))
+    last = F.last(mark, ignorenulls=True).over(parts.window.rowsBetween(Window.unboundedPreceding, -1))
+    if parts.hot:
+        place = F.struct(*[col(o.column) for o in order])
+        rows = replace(parts, rows=rows).carry(rows, {"_seen": F.max_by(F.struct(F.col("_opens").alias("open"), F.col("_turns").alias("turns")), F.when(sets, place))}, last=True)
+        last = F.coalesce(last, F.col("_seen"))
+    rows = rows.withColumn("_last", last)
+    before = F.col("_turns") - turns.cast("long")
+    inside = F.coalesce(F.col("_last.open"), F.lit(False)) != ((before - F.coalesce(F.col("_last.turns"), F.lit(0))) % 2 == 1)
+    rows = rows.withColumn("_inside", inside).withColumn("_open", F.when(sets, F.col("_opens")).otherwise(F.col("_inside") != turns))
+    rows = _numbered(parts, rows, ~F.col("_inside"), "row").withColumn("_line", F.struct(*[col(o.column) for o in order]))
+    alone = ~F.col("_inside") & ~F.col("_open")
+    single = rows.where(alone).select(F.col(SOURCE_FILE).alias("file"), F.col("row").cast("long").alias("row"), "value")
+    lines = F.sort_array(F.collect_list(F.struct("_line", "value")))
+    many = rows.where(~alone).groupBy(F.col(SOURCE_FILE).alias("file"), F.col("row").cast("long").alias("row")).agg(F.array_join(F.transform(lines, lambda x: x["value"]), "\n").alias("value"))
+    return single.unionByName(many)
+
+
 def cells_from_csv(
     spark: SparkSession, path: str | list[str], width: int | None = None, rows_per_task: int = ROWS_PER_TASK,
     **options: str,
 ) -> DataFrame:
-    """Cells of headerless CSV files, one line per row; `sheet` is the file name.
+    """Cells of headerless CSV files, one record per row; `sheet` is the file name.
 
-    Without a `width` a small job finds the most fields that any line can have.
+    Line breaks inside quoted cells belong to the cell (a quote that is never closed takes
+    the rest of its file into one cell). Without a `width` a small job finds the most
+    fields that any record can have; another finds out whether there are quotes at all.
     """
     lines = _with_position(spark.read.text(path), "text")
     order = [Order(n) for n in source_order(lines) if n != SOURCE_FILE]
     parts = split(lines, SOURCE_FILE, order, rows_per_task)
-    rows, number = parts.rows, F.row_number().over(parts.window)
-    if parts.hot:
-        rows = parts.carry(rows, {"_carried": F.count(F.lit(1))})
-        number = number + F.coalesce(F.col("_carried"), F.lit(0))
+    quote = {k.lower(): v for k, v in options.items()}.get("quote", '"')
+    if quote and not lines.where(F.col("value").contains(quote)).isEmpty():
+        numbered = _records(spark, parts, order, options)
+    else:
+        rows = _numbered(parts, parts.rows, F.lit(1), "row")
+        numbered = rows.select(F.col(SOURCE_FILE).alias("file"), F.col("row").cast("long").alias("row"), "value")
     if width is None:
-        # A separator inside quotes or over another one counts too, so no line has more fields.
+        # A separator inside quotes or over another one counts too, so no record has more fields.
         separators = F.regexp_count("value", F.lit(f"(?={re.escape(_separator(spark, options))})"))
-        width = 1 + (lines.agg(F.max(separators)).first()[0] or 0)
+        width = 1 + (numbered.agg(F.max(separators)).first()[0] or 0)
     schema = ", ".join(f"c{i} string" for i in range(1, width + 1))
     record = F.from_csv("value", F.lit(schema), options)
     cells = F.posexplode(F.array(*[record[f"c{i}"] for i in range(1, width + 1)]))
-    numbered = rows.select(F.col(SOURCE_FILE).alias("file"), number.cast("long").alias("row"), "value")
     table = numbered.select(
         "file", F.regexp_replace(F.url_decode(F.substring_index("file", "/", -1)), r"\.[^.]*$", "").alias("sheet"), "row", cells
     )

@@ -3,6 +3,7 @@ import json
 
 import pytest
 from pyspark.errors import PySparkException
+from pyspark.sql import functions as F
 
 import rowmill as rm
 from tests.conftest import rows, values
@@ -193,3 +194,38 @@ def test_many_text_files_are_a_scan_per_layout(spark, tmp_path):
     assert found == [(f"f {i}+.csv", f"f {i}+", i, f"x{i}") for i in range(12)] + [("more", "more", i, f"x{i}") for i in (20, 21)]
     placed = rm.combine_files(spark, paths, "csv", include_source_metadata=True)
     assert len({r[0] for r in rows(placed, "_source_file")}) == 14
+
+
+TRICKY = [
+    ['a', 'b', 'c'], ['1', 'line one\nline two', 'x'], ['2', 'quote " inside\n\n"twice", with, commas', 'y'], ['3', '5" pipe', '6"'], ['4', '', ' "'], ['', 'only\nthis', ''],
+    ['7', '\n', 'z'], ['8', 'a\nb\nc\nd,"e"\nf', 'end'], ['9', 'x', 'y'],
+]
+
+
+@pytest.mark.parametrize("size", [10**6, 3])
+@pytest.mark.parametrize("options, between, repeats", [({"escape": '"'}, ",", 1), ({"escape": '"', "sep": ";"}, ";", 40), ({"escape": '"', "quote": "'"}, "|", 3)])
+def test_line_breaks_inside_quoted_cells(spark, tmp_path, size, options, between, repeats):
+    import csv
+
+    quote, options = options.get("quote", '"'), {**options, "delimiter": between}
+    if quote != '"':
+        options["escape"] = quote
+    table = [[c.replace('"', quote) for c in row] for row in TRICKY] * repeats
+    with open(tmp_path / "grid.csv", "w", newline="") as file:
+        csv.writer(file, delimiter=between, quotechar=quote, lineterminator="\n").writerows(table)
+    with open(tmp_path / "other.csv", "w", newline="") as file:
+        csv.writer(file, delimiter=between, quotechar=quote, lineterminator="\n").writerows(table[::-1])
+    options.pop("sep", None)
+    cells = rm.cells_from_csv(spark, str(tmp_path), rows_per_task=size, **options)
+    for name, rows_of in (("grid", table), ("other", table[::-1])):
+        expected = {(r, c, v) for r, row in enumerate(rows_of, 1) for c, v in enumerate(row, 1) if v.strip()}
+        assert {(x["row"], x["col"], x["value"]) for x in cells.where(F.col("sheet") == name).collect()} == expected
+
+
+def test_stray_quotes_join_no_lines(spark, tmp_path):
+    """Quotes that open no cell: inside or behind a word; and a backslash that keeps a quote from closing."""
+    (tmp_path / "g.csv").write_text('size,what\n5",pipe\n6" wide,plank "old"\n"a \\" b",c\n"x\ny",z\n')
+    cells = rm.cells_from_csv(spark, str(tmp_path / "g.csv"))
+    found = {(r["row"], r["col"]): r["value"] for r in cells.collect()}
+    assert found == {(1, 1): "size", (1, 2): "what", (2, 1): '5"', (2, 2): "pipe", (3, 1): '6" wide', (3, 2): 'plank "old"',
+                     (4, 1): 'a " b', (4, 2): "c", (5, 1): "x\ny", (5, 2): "z"}
