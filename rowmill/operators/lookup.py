@@ -8,6 +8,8 @@ the list.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -104,18 +106,28 @@ def find_values(
 
 
 def _shared_pieces(value: Column, text: str, minimum: int) -> Column:
-    """The longest pieces of the search text that the value contains, each once; none below the minimum length."""
-    n = len(text)
+    """The longest pieces of the search text that the value contains, each once; none below the minimum length.
+
+    Pieces begin at each place of the shorter of the two and grow as long as the other
+    has them, so a long search text costs a short value no more than its own length.
+    """
+
+    def longest(short: Column, size: Column, holds: Callable[[Column], Column]) -> Column:
+        def reach(start: Column) -> Column:
+            step = lambda best, n: F.when((best == n - 1) & holds(F.substr(short, start, n)), n).otherwise(best)
+            return F.aggregate(F.sequence(F.lit(1), size - start + 1), F.lit(0), step)
 
-    def reach(start: Column) -> Column:
-        """Length of the longest piece from here that the value contains: one character more as long as it does."""
-        step = lambda best, size: F.when((best == size - 1) & value.contains(F.substr(F.lit(text), start, size)), size).otherwise(best)
-        return F.aggregate(F.sequence(F.lit(1), F.lit(n) - start + 1), F.lit(0), step)
+        reached = F.transform(F.sequence(F.lit(1), size), lambda start: F.struct(reach(start).alias("size"), start.alias("start")))
+        top = lambda found: F.array_max(F.transform(found, lambda x: x["size"]))
+        best = F.transform(F.array(reached), lambda found: F.transform(F.array(top(found)), lambda n: F.filter(found, lambda x: (x["size"] == n) & (n >= minimum)))[0])[0]
+        return F.array_distinct(F.transform(best, lambda x: F.substr(short, x["start"], x["size"])))
 
-    reached = F.transform(F.sequence(F.lit(1), F.lit(n)), lambda start: F.struct(reach(start).alias("size"), start.alias("start")))
-    longest = lambda found: F.filter(found, lambda x: (x["size"] == F.array_max(F.transform(found, lambda y: y["size"]))) & (x["size"] >= minimum))
-    best = F.transform(F.array(reached), longest)[0]
-    return F.array_distinct(F.transform(best, lambda x: F.substr(F.lit(text), x["start"], x["size"])))
+    nothing = F.array().cast("array<string>")
+    if not text:
+        return nothing
+    by_value = longest(value, F.length(value), lambda piece: F.lit(text).contains(piece))
+    by_text = longest(F.lit(text), F.lit(len(text)), lambda piece: value.contains(piece))
+    return F.when(F.length(value) == 0, nothing).when(F.length(value) < len(text), by_value).otherwise(by_text)
 
 
 def find_filter_candidates(
@@ -139,7 +151,7 @@ def find_filter_candidates(
         listed = [f.casefold() for f in dict.fromkeys(fragments) if len(f) >= minimum_length]
         pieces = F.filter(F.array(*[F.lit(f) for f in dict.fromkeys(listed)]).cast("array<string>"), lambda f: folded.contains(f))
     else:
-        pieces = _shared_pieces(folded, text.casefold(), minimum_length) if text else F.array().cast("array<string>")
+        pieces = _shared_pieces(folded, text.casefold(), minimum_length)
     spelled = F.transform(pieces, lambda f: F.substr(F.col("value"), F.call_function("locate", f, folded), F.length(f)))
     wanted = values.select("column", F.explode(spelled).alias("piece")).distinct()
     if wanted.count() <= BROADCAST_PIECES:

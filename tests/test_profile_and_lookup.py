@@ -2,6 +2,8 @@ import datetime as dt
 
 import pytest
 
+from pyspark.sql import functions as F
+
 import rowmill as rm
 from tests.conftest import rows
 
@@ -81,3 +83,18 @@ def test_values_are_matched_after_they_are_counted(spark, tmp_path):
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert "Contains(" in plan[: plan.rindex("Aggregate")] and "Contains(" not in plan[plan.rindex("Aggregate"):]
     assert rows(rm.find_values(spark.createDataFrame([("F",), ("O",), ("  F  " + " " * 200,)], "s string"), "only f")) == [("s", "F", 2)]
+
+
+def test_shared_pieces_against_brute_force(spark):
+    import random
+
+    from rowmill.operators.lookup import _shared_pieces
+
+    rng = random.Random(8)
+    for text in ("abacabadab", "b", "", "ab" * 200):
+        values = ["", "b", "abab", text, *["".join(rng.choices("abcd", k=rng.randint(1, 30))) for _ in range(40)]]
+        df = spark.createDataFrame([(v,) for v in values], "v string")
+        for v, found in df.select("v", _shared_pieces(F.col("v"), text, 2).alias("p")).collect():
+            pieces = {text[i:j] for i in range(len(text)) for j in range(i + 2, min(len(text), i + len(v)) + 1) if text[i:j] in v} if len(v) > 1 else set()
+            best = max(map(len, pieces), default=0)
+            assert sorted(found) == sorted(p for p in pieces if len(p) == best)
