@@ -3,11 +3,14 @@
 Input is a long cell table (file, sheet, row, col, value): one row per cell,
 rows and columns counted from 1. Sheets may hold titles, gaps and notes around
 the table. All work is grouped by sheet *and* row or span, so one very long
-sheet spreads over all tasks.
+sheet spreads over all tasks. Tables with a row per cell or sheet row are never
+broadcast, whatever size the optimizer expects (it does not see how far rows are
+exploded), and are shuffled into as many tasks as their cells need.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from dataclasses import replace
 
@@ -28,6 +31,9 @@ DENSITY_ROWS = 3
 #: Rows whose places in a span are found in one task, and spans of a sheet that are matched with its rows first.
 ROW_BLOCK = 4096
 LEADING_SPANS = 4
+#: Cells that one task groups by row, at most that many tasks, and rows of sheets or spans that every task gets whole.
+CELLS_PER_TASK, MAX_TASKS = 250_000, 50_000
+SENT_ROWS = 100_000
 
 SHEET = ["file", "sheet"]
 SPAN = [*SHEET, "start_col", "end_col"]
@@ -151,6 +157,16 @@ def _unique_names(values: Column, start: Column) -> Column:
     return F.aggregate(named, F.array().cast("array<string>"), given)
 
 
+def _tasks(cells: int) -> int:
+    """Tasks for that many cells; a given number also keeps Spark from joining partitions that are small when compressed."""
+    return max(1, min(MAX_TASKS, math.ceil(cells / CELLS_PER_TASK)))
+
+
+def _sent(few: DataFrame) -> DataFrame:
+    """A table of sheets or spans, to be joined with their rows: short, it goes to every task; long, it is shuffled with the rows."""
+    return F.broadcast(few) if few.limit(SENT_ROWS + 1).count() <= SENT_ROWS else few.hint("merge")
+
+
 def _filled_columns(cells: DataFrame) -> DataFrame:
     """The columns of the filled cells of each row, ascending."""
     return cells.groupBy(*SHEET, "row").agg(F.sort_array(F.collect_list("col")).alias("cols"))
@@ -181,13 +197,14 @@ def _header_candidates(cells: DataFrame, header_rows: int | None) -> DataFrame:
     return found.filter(best >= ACCEPTED_SCORE - 1e-9).select(*SPAN, F.col("row").alias("header_row"), "width", "names")
 
 
-def _scored(candidates: DataFrame, columns: DataFrame) -> DataFrame:
+def _scored(candidates: DataFrame, columns: DataFrame, tasks: int) -> DataFrame:
     """Candidates with their score but for the row bonus: names, and the share of filled cells in the rows right below."""
-    last = columns.groupBy(*SHEET).agg(F.max("row").alias("last_row"))
-    below = candidates.join(last, SHEET).filter(F.col("last_row") > F.col("header_row"))
+    last = materialize(columns.groupBy(*SHEET).agg(F.max("row").alias("last_row")))
+    below = candidates.join(_sent(last), SHEET).filter(F.col("last_row") > F.col("header_row"))
     rows = F.sequence(F.col("header_row") + 1, F.least(F.col("last_row"), F.col("header_row") + DENSITY_ROWS))
     rows_below = below.select(*SPAN, "header_row", "width", "names", F.size(rows).alias("looked_at"), F.explode(rows).alias("row"))
-    hit = rows_below.join(columns, [*SHEET, "row"], "left")
+    place = [*SHEET, "row"]
+    hit = rows_below.repartition(tasks, *place).join(columns.repartition(tasks, *place).hint("merge"), place, "left")
     filled = F.sum(F.coalesce(F.size(_inside()), F.lit(0)))
     dense = hit.groupBy(*SPAN, "header_row", "width", "names", "looked_at").agg(filled.alias("filled"))
     base = F.col("names") + F.col("filled") / (F.col("width") * F.col("looked_at")) * DENSITY_WEIGHT
@@ -202,14 +219,14 @@ def _filled_rows(spans: DataFrame, columns: DataFrame) -> DataFrame:
     ends are found inside blocks of rows and carried over from block to block, so
     that a long sheet spreads over all tasks.
     """
-    rows = columns.join(spans, SHEET).filter(F.size(_inside()) > 0)
+    rows = columns.join(_sent(spans), SHEET).filter(F.size(_inside()) > 0)
     rows = materialize(rows.select(*SPAN, "row", F.floor(F.col("row") / ROW_BLOCK).alias("block")))
     block, across = [*SPAN, "block"], Window.partitionBy(*SPAN).orderBy("block")
     up, down = Window.partitionBy(*block).orderBy("row"), Window.partitionBy(*block).orderBy(F.col("row").desc())
     before = across.rowsBetween(Window.unboundedPreceding, -1)
     blocks = rows.groupBy(*block).agg(F.min("row").alias("first"), F.count(F.lit(1)).alias("n"))
     blocks = blocks.select(*block, F.lead("first").over(across).alias("next_block"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("carried"))
-    joined = rows.join(blocks, block)
+    joined = rows.join(blocks.hint("merge"), block)
     following = F.coalesce(F.lead("row").over(up), F.col("next_block"))
     numbered = joined.withColumns({"number": F.col("carried") + F.row_number().over(up), "following": following})
     is_end = F.col("following").isNull() | (F.col("following") > F.col("row") + 2)
@@ -217,14 +234,14 @@ def _filled_rows(spans: DataFrame, columns: DataFrame) -> DataFrame:
     later = Window.partitionBy(*SPAN).orderBy(F.col("block").desc()).rowsBetween(Window.unboundedPreceding, -1)
     ends = marked.groupBy(*block).agg(F.min("end").alias("first_end")).select(*block, F.min("first_end").over(later).alias("later_end"))
     end = F.coalesce(F.min("end").over(down), F.col("later_end"))
-    found = marked.join(ends, block).select(*SPAN, "row", "number", end.alias("end"))
+    found = marked.join(ends.hint("merge"), block).select(*SPAN, "row", "number", end.alias("end"))
     return found.select(*SPAN, "row", "number", F.col("end.row").alias("end_row"), F.col("end.number").alias("end_number"))
 
 
 def _regions(scored: DataFrame, columns: DataFrame) -> DataFrame:
     """The accepted candidates with their end row, number of filled rows and confidence."""
-    rows = _filled_rows(scored.select(*SPAN).distinct(), columns)
-    ended = scored.join(rows.withColumnRenamed("row", "header_row"), [*SPAN, "header_row"])
+    rows = _filled_rows(materialize(scored.select(*SPAN).distinct()), columns)
+    ended = scored.join(rows.withColumnRenamed("row", "header_row").hint("merge"), [*SPAN, "header_row"])
     length = F.col("end_row") - F.col("header_row")
     score = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("base") + F.least(length, F.lit(ROWS_CAP)) * ROWS_WEIGHT))
     # A header that is itself the last row has no data below it.
@@ -245,14 +262,15 @@ def _best_regions(scored: DataFrame, columns: DataFrame) -> DataFrame:
     widest = Window.partitionBy(*SHEET).orderBy((F.col("end_col") - F.col("start_col")).desc(), "first", "start_col")
     spans = scored.groupBy(*SPAN).agg(F.min("header_row").alias("first"))
     leads = materialize(spans.withColumn("_rank", F.row_number().over(widest)).filter(F.col("_rank") <= LEADING_SPANS).select(*SPAN))
-    led = _regions(scored.join(leads, SPAN, "left_semi"), columns)
+    sent = _sent(leads)
+    led = _regions(scored.join(sent, SPAN, "left_semi"), columns)
     largest = materialize(_main(led, SPAN))
     around = largest.select(*SHEET, *[F.col(c).alias(f"lead_{c}") for c in ("start_col", "end_col", "header_row", "end_row")])
     covered = (
         (F.col("lead_start_col") <= F.col("start_col")) & (F.col("lead_end_col") >= F.col("end_col"))
         & F.col("header_row").between(F.col("lead_header_row"), F.col("lead_end_row"))
     )
-    rest = scored.join(leads, SPAN, "left_anti")
+    rest, around = scored.join(sent, SPAN, "left_anti"), _sent(around)
     same_sheet = (rest["file"] == around["file"]) & (rest["sheet"] == around["sheet"])
     rest = materialize(rest.join(around, same_sheet & covered, "left_anti"))
     if rest.isEmpty():
@@ -274,8 +292,9 @@ def _main(candidates: DataFrame, keys: list[str]) -> DataFrame:
 def _with_names(regions: DataFrame, cells: DataFrame) -> DataFrame:
     """The regions with the cells of their header row, blanks null."""
     wanted = regions.withColumn("col", F.explode(F.sequence("start_col", "end_col")))
-    heads = cells.select(*SHEET, F.col("row").alias("header_row"), "col", "value")
-    named = wanted.join(heads, [*SHEET, "header_row", "col"], "left")
+    row = [*SHEET, "header_row"]
+    heads = cells.select(*SHEET, F.col("row").alias("header_row"), "col", "value").join(_sent(regions.select(*row)), row, "left_semi")
+    named = wanted.join(heads.hint("merge"), [*row, "col"], "left")
     values = F.transform(F.sort_array(F.collect_list(F.struct("col", "value"))), lambda x: x["value"])
     return named.groupBy(*regions.columns).agg(values.alias("values"))
 
@@ -288,12 +307,12 @@ def _declared_regions(declared: DataFrame, cells: DataFrame) -> DataFrame:
         *SHEET, *[F.col(n).cast("long").alias(n) for n in ("start_col", "end_col", "header_row", "end_row")]
     )
     region = [*SPAN, "header_row", "end_row"]
-    rows = cells.select(*SHEET, "row", "col").join(ranges, SHEET).filter(
+    rows = cells.select(*SHEET, "row", "col").join(_sent(ranges), SHEET).filter(
         F.col("col").between(F.col("start_col"), F.col("end_col"))
         & F.col("row").between(F.col("header_row") + 1, F.col("end_row"))
     )
     counts = rows.select(*region, "row").distinct().groupBy(*region).agg(F.count(F.lit(1)).alias("filled_rows"))
-    counted = ranges.withColumn("confidence", F.lit(1.0)).join(counts, region, "left")
+    counted = ranges.withColumn("confidence", F.lit(1.0)).join(counts.hint("merge"), region, "left")
     return _main(counted.withColumn("filled_rows", F.coalesce("filled_rows", F.lit(0))), SHEET)
 
 
@@ -309,12 +328,14 @@ def find_table_regions(cells: DataFrame, declared: DataFrame | None = None, head
     ).filter(_filled(F.col("value")))
     free, regions = cells, None
     if declared is not None:
-        regions = _declared_regions(declared, cells)
-        free = cells.join(regions.select(*SHEET), SHEET, "left_anti")
+        regions = materialize(_declared_regions(declared, cells))
+        free = cells.join(_sent(regions.select(*SHEET)), SHEET, "left_anti")
+    tasks = _tasks(free.count())
+    free = free.repartition(tasks, *SHEET, "row")
     columns = materialize(_filled_columns(free))
-    scored = materialize(_scored(_header_candidates(free, header_rows), columns))
+    scored = materialize(_scored(_header_candidates(free, header_rows), columns, tasks))
     found = _best_regions(scored, columns)
-    result = found if regions is None else found.unionByName(regions)
+    result = materialize(found if regions is None else found.unionByName(regions))
     return _with_names(result, cells).select(
         *SHEET, "header_row", "start_col", "end_col", (F.col("header_row") + 1).alias("data_start_row"),
         F.col("end_row").alias("data_end_row"), _unique_names(F.col("values"), F.col("start_col")).alias("headers"),
