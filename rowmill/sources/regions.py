@@ -346,17 +346,21 @@ def find_table_regions(cells: DataFrame, declared: DataFrame | None = None, head
 def read_region(cells: DataFrame, regions: DataFrame, headers: list[str]) -> DataFrame:
     """The cells of all regions with these headers as a table, one row per sheet row.
 
-    Grouping by (file, sheet, row) spreads a long sheet over all tasks.
+    Grouping by (file, sheet, row) spreads a long sheet over all tasks. The places of
+    the regions are computed at once; they tell how many tasks the cells need.
     """
     same = regions.filter(F.col("headers") == F.array(*[F.lit(h) for h in headers]))
-    spots = same.select(*SHEET, "start_col", "end_col", "data_start_row", "data_end_row")
-    inside = cells.filter(_filled(F.col("value"))).join(spots, SHEET).filter(
+    filled = F.col("filled_rows") if "filled_rows" in regions.columns else F.col("data_end_row") - F.col("data_start_row") + 1
+    sizes = (filled * (F.col("end_col") - F.col("start_col") + 1)).cast("double").alias("_cells")
+    spots = materialize(same.select(*SHEET, "start_col", "end_col", "data_start_row", "data_end_row", sizes))
+    tasks = _tasks(spots.agg(F.sum("_cells")).first()[0] or 0)
+    inside = cells.filter(_filled(F.col("value"))).join(_sent(spots.drop("_cells")), SHEET).filter(
         F.col("row").between(F.col("data_start_row"), F.col("data_end_row"))
         & F.col("col").between(F.col("start_col"), F.col("end_col"))
     )
     place = (F.col("col") - F.col("start_col")).cast("int")
     values = [F.max(F.when(place == i, F.col("value"))).alias(h) for i, h in enumerate(headers)]
-    table = inside.groupBy(*SHEET, "row").agg(*values)
+    table = inside.repartition(tasks, *SHEET, "row").groupBy(*SHEET, "row").agg(*values)
     return table.select(
         F.col("file").alias(ORIGIN_FILE), F.col("sheet").alias(ORIGIN_TABLE), F.col("row").alias(SOURCE_ROW),
         *[F.col("`" + h.replace("`", "``") + "`") for h in headers],

@@ -33,3 +33,16 @@ def test_regions_do_not_depend_on_tasks_or_joins(spark, monkeypatch):
     assert sorted(rows(rm.find_table_regions(cells))) == expected
     monkeypatch.setattr(regions, "SENT_ROWS", 0)
     assert sorted(rows(rm.find_table_regions(cells))) == expected
+
+
+def test_cells_are_not_broadcast_to_read_a_region(spark, monkeypatch):
+    from rowmill.sources import regions
+
+    cells, headers = exploded(spark), [f"h{i}" for i in range(1, 13)]
+    table = rm.read_region(cells, rm.find_table_regions(cells), headers)
+    assert "BuildLeft" not in plan(table)  # the cells are the left side
+    expected = sorted(rows(table))
+    assert len(expected) == 39 and expected[0][:2] == ("f", "s")
+    monkeypatch.setattr(regions, "CELLS_PER_TASK", 50)
+    monkeypatch.setattr(regions, "SENT_ROWS", 0)
+    assert sorted(rows(rm.read_region(cells, rm.find_table_regions(cells), headers))) == expected
