@@ -12,14 +12,13 @@ from __future__ import annotations
 
 import math
 import re
-from dataclasses import replace
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from rowmill.functions.columns import NOT_SPACE, col, parse_number, parse_timestamp, strip
-from rowmill.plans.hot_ranges import ROWS_PER_TASK, SOURCE_FILE, SOURCE_ROW, source_order, Order, Split, split
-from rowmill.plans.lineage import materialize
+from rowmill.functions.columns import NOT_SPACE, parse_number, parse_timestamp, strip
+from rowmill.plans.hot_ranges import MAX_RANGES, ROWS_PER_TASK, SOURCE_BLOCK, SOURCE_FILE, SOURCE_ROW
+from rowmill.plans.lineage import materialize, written
 from rowmill.sources.load import ORIGIN_FILE, ORIGIN_TABLE, _with_position
 
 # How a header row is scored.
@@ -35,61 +34,98 @@ LEADING_SPANS = 4
 CELLS_PER_TASK, MAX_TASKS = 250_000, 50_000
 SENT_ROWS = 100_000
 
+PIECE = "_piece"  # the task that read a line
+START = [SOURCE_FILE, SOURCE_BLOCK, PIECE]
 SHEET = ["file", "sheet"]
 SPAN = [*SHEET, "start_col", "end_col"]
 
 
-def _numbered(parts: Split, rows: DataFrame, step: Column, name: str) -> DataFrame:
-    """A running sum in row order, over all ranges of the file."""
-    rows = rows.withColumn("_step", step.cast("long"))
-    total = F.sum("_step").over(parts.running)
-    if parts.hot:
-        rows = replace(parts, rows=rows).carry(rows, {"_carried": F.sum("_step")})
-        total = total + F.coalesce(F.col("_carried"), F.lit(0))
-    return rows.withColumn(name, total).drop("_step", "_carried")
-
-
 def _quoting(spark: SparkSession, options: dict[str, str]) -> tuple[str, str, str]:
     """Patterns for a line that ends inside a quoted cell: one that begins outside of one, and the two that begin inside."""
     given = {k.lower(): v for k, v in options.items()}
-    quote, escape, between = re.escape(given.get("quote", '"') or "\0"), re.escape(given.get("escape", "\\")), re.escape(_separator(spark, options))
-    body = f"(?:(?!{quote}|{escape})[\\s\\S]|{escape}[\\s\\S]?|{quote}{quote})*+" if escape != quote else f"(?:(?!{quote})[\\s\\S]|{quote}{quote})*+"
-    rest = f"(?:(?!{between})[\\s\\S])*+"
+    separator = _separator(spark, options)
+    quote, escape = re.escape(given.get("quote", '"') or "\0"), re.escape(given.get("escape", "\\") or "\0")
+    between, first = re.escape(separator), re.escape(separator[0])
+    body = f"(?:[^{quote}{escape}]++|{escape}[\\s\\S]?|{quote}{quote})*+" if escape != quote else f"(?:[^{quote}]++|{quote}{quote})*+"
+    rest = f"(?:[^{first}]++|(?!{between})[\\s\\S])*+"
     closed = f"{body}{quote}(?!{quote}){rest}"
     field = f"(?:{quote}{closed}|(?!{quote}){rest})"
-    return f"^(?:{field}{between})*+{quote}{body}$", f"^{body}$", f"^{closed}(?:{between}{field})*{between}{quote}{body}$"
+    return f"^(?:{field}{between})*+{quote}{body}$", f"^{body}$", f"^{closed}(?:{between}{field})*+{between}{quote}{body}$"
+
+
+def _lines(spark: SparkSession, path: str | list[str], quote: str, options: dict[str, str]) -> DataFrame:
+    """The lines of the files with their places, and whether a quote is open behind a line that begins outside or inside of one.
+
+    They are written, since places are only comparable if they come from one scan. Lines
+    without a quote, the most by far, are not matched.
+    """
+    lines = _with_position(spark.read.text(path), "text").withColumn(PIECE, F.shiftright(SOURCE_ROW, 33))
+    value, opens, stays = F.col("value"), F.lit(False), F.lit(True)
+    if quote:
+        out, inside, again = _quoting(spark, options)
+        opens = F.when(value.contains(quote), value.rlike(out)).otherwise(opens)
+        stays = F.when(value.contains(quote), value.rlike(inside) | value.rlike(again)).otherwise(stays)
+    return written(lines.select(*START, SOURCE_ROW, "value", opens.alias("_opens"), stays.alias("_stays")), "lines")
 
 
-def _records(spark: SparkSession, parts: Split, order: list[Order], options: dict[str, str]) -> DataFrame:
+def _quote_before(rows: DataFrame, window: WindowSpec, opens: Column, stays: Column) -> DataFrame:
+    """Whether a quote is open before each row: `_open` if `_known` or if none is open before the window, else the contrary.
+
+    What a row does to the open quote is one of four things: leave it as it is, turn it
+    round, close it, or open it. So a quote is open behind a row if the last row that
+    closes or opens it leaves it so, turned by the rows since then.
+    """
+    before = window.rowsBetween(Window.unboundedPreceding, -1)
+    turns = F.coalesce(F.sum((opens & ~stays).cast("long")).over(before), F.lit(0))
+    mark = F.when(opens == stays, F.struct(opens.alias("open"), F.col("_turns").alias("turns")))
+    rows = rows.withColumn("_turns", turns).withColumn("_last", F.last(mark, ignorenulls=True).over(before))
+    turned = (F.col("_turns") - F.coalesce(F.col("_last.turns"), F.lit(0))) % 2 == 1
+    state = {"_known": F.col("_last").isNotNull(), "_open": F.coalesce(F.col("_last.open"), F.lit(False)) != turned}
+    return rows.withColumns(state).drop("_turns", "_last")
+
+
+def _records(lines: DataFrame, blocks: DataFrame, size: int) -> DataFrame:
     """(file, row, value): the records of the files in order; a line break inside a quoted cell ends none.
 
-    What a line does to the open quote is one of four things: leave it as it is, turn it
-    round, close it, or open it. So a quote is open behind a line if the last line that
-    closes or opens it leaves it so, turned by the lines since then. Two running values
-    give this for every line, whatever task it is in; parsing stays Spark's.
+    Each range of `size` lines is folded by itself, for both cases of a quote before it, from
+    the narrow columns. A table with one row per range tells which case holds and how many
+    records there are before it; with these every line finds its record. Parsing stays Spark's.
     """
-    opens, stays, again = _quoting(spark, options)
-    out = F.col("value").rlike(opens)
-    into = F.col("value").rlike(stays) | F.col("value").rlike(again)
-    rows = parts.rows.withColumns({"_opens": out, "_stays": into})
-    turns, sets = F.col("_opens") & ~F.col("_stays"), F.col("_opens") == F.col("_stays")
-    rows = _numbered(parts, rows, turns, "_turns")
-    mark = F.when(sets, F.struct(F.col("_opens").alias("open"), F.col("_turns").alias("turns")))
-    last = F.last(mark, ignorenulls=True).over(parts.window.rowsBetween(Window.unboundedPreceding, -1))
-    if parts.hot:
-        place = F.struct(*[col(o.column) for o in order])
-        rows = replace(parts, rows=rows).carry(rows, {"_seen": F.max_by(F.struct(F.col("_opens").alias("open"), F.col("_turns").alias("turns")), F.when(sets, place))}, last=True)
-        last = F.coalesce(last, F.col("_seen"))
-    rows = rows.withColumn("_last", last)
-    before = F.col("_turns") - turns.cast("long")
-    inside = F.coalesce(F.col("_last.open"), F.lit(False)) != ((before - F.coalesce(F.col("_last.turns"), F.lit(0))) % 2 == 1)
-    rows = rows.withColumn("_inside", inside).withColumn("_open", F.when(sets, F.col("_opens")).otherwise(F.col("_inside") != turns))
-    rows = _numbered(parts, rows, ~F.col("_inside"), "row").withColumn("_line", F.struct(*[col(o.column) for o in order]))
-    alone = ~F.col("_inside") & ~F.col("_open")
-    single = rows.where(alone).select(F.col(SOURCE_FILE).alias("file"), F.col("row").cast("long").alias("row"), "value")
-    lines = F.sort_array(F.collect_list(F.struct("_line", "value")))
-    many = rows.where(~alone).groupBy(F.col(SOURCE_FILE).alias("file"), F.col("row").cast("long").alias("row")).agg(F.array_join(F.transform(lines, lambda x: x["value"]), "\n").alias("value"))
-    return single.unionByName(many)
+    spot, opens, stays = [*START, "_range"], F.col("_opens"), F.col("_stays")
+    starts = F.broadcast(blocks.select(*START, "_first"))  # one row per split of a file
+    placed = lines.join(starts, START).withColumn("_range", F.floor((F.col(SOURCE_ROW) - F.col("_first")) / size)).drop("_first")
+    here = Window.partitionBy(*spot).orderBy(SOURCE_ROW)
+
+    folded = _quote_before(placed.drop("value"), here, opens, stays)
+    behind = F.when(opens == stays, opens).otherwise(F.col("_open") != (opens & ~stays))
+    ends = F.struct((F.col("_known") | (opens == stays)).alias("known"), behind.alias("open"))
+    begun = [F.count_if(~F.col("_open")).alias("_outside"), F.count_if(F.col("_open") != F.col("_known")).alias("_inside")]
+    ranges = materialize(folded.groupBy(*spot).agg(F.max_by(ends, SOURCE_ROW).alias("_end"), *begun))
+    in_file = Window.partitionBy(SOURCE_FILE).orderBy(*spot[1:])  # the ranges of one file
+    ranges = _quote_before(ranges, in_file, F.col("_end.open"), F.when(F.col("_end.known"), F.col("_end.open")).otherwise(~F.col("_end.open")))
+    records = F.sum(F.when(F.col("_open"), F.col("_inside")).otherwise(F.col("_outside")))
+    carried = F.coalesce(records.over(in_file.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranges = F.broadcast(ranges.select(*spot, F.col("_open").alias("_entry"), carried.alias("_carried")))  # one row per range
+
+    rows = _quote_before(placed, here, opens, stays).join(ranges, spot)
+    inside = F.when(F.col("_known"), F.col("_open")).otherwise(F.col("_open") != F.col("_entry"))
+    rows = rows.withColumn("_inside", inside)
+    behind = F.when(opens == stays, opens).otherwise(F.col("_inside") != (opens & ~stays))
+    number = F.col("_carried") + F.sum((~F.col("_inside")).cast("long")).over(here.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    rows = rows.withColumns({"_alone": ~F.col("_inside") & ~behind, "row": number})
+    rows = rows.select(F.col(SOURCE_FILE).alias("file"), "row", "value", "_alone", F.struct(SOURCE_BLOCK, SOURCE_ROW).alias("_line"))
+    in_order = F.sort_array(F.collect_list(F.struct("_line", "value")))
+    text = F.array_join(F.transform(in_order, lambda x: x["value"]), "\n")
+    many = rows.where(~F.col("_alone")).groupBy("file", "row").agg(text.alias("value"))
+    return rows.where("_alone").select("file", "row", "value").unionByName(many)
+
+
+def _numbered(lines: DataFrame, blocks: DataFrame) -> DataFrame:
+    """(file, row, value): the lines of the files in order, numbered by their places."""
+    before = Window.partitionBy(SOURCE_FILE).orderBy(*START[1:]).rowsBetween(Window.unboundedPreceding, -1)  # splits of a file
+    starts = blocks.select(*START, (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first") + 1).alias("_add"))
+    rows = lines.join(F.broadcast(starts), START)  # one row per split of a file
+    return rows.select(F.col(SOURCE_FILE).alias("file"), (F.col(SOURCE_ROW) + F.col("_add")).alias("row"), "value")
 
 
 def cells_from_csv(
@@ -99,28 +135,30 @@ def cells_from_csv(
     """Cells of headerless CSV files, one record per row; `sheet` is the file name.
 
     Line breaks inside quoted cells belong to the cell (a quote that is never closed takes
-    the rest of its file into one cell). Without a `width` a small job finds the most
-    fields that any record can have; another finds out whether there are quotes at all.
+    the rest of its file into one cell). The lines are written once below the shared folder,
+    which also tells whether any quote is open behind a line. Without a `width` a small job
+    finds the most fields that any record can have.
     """
-    lines = _with_position(spark.read.text(path), "text")
-    order = [Order(n) for n in source_order(lines) if n != SOURCE_FILE]
-    parts = split(lines, SOURCE_FILE, order, rows_per_task)
     quote = {k.lower(): v for k, v in options.items()}.get("quote", '"')
-    if quote and not lines.where(F.col("value").contains(quote)).isEmpty():
-        numbered = _records(spark, parts, order, options)
+    lines = _lines(spark, path, quote, options)
+    places = [F.min(SOURCE_ROW).alias("_first"), F.max(SOURCE_ROW).alias("_last"), F.count(F.lit(1)).alias("_n"), F.bool_or("_opens").alias("_opens")]
+    blocks = materialize(lines.groupBy(*START).agg(*places))
+    gaps = F.col("_last") - F.col("_first") + 1 != F.col("_n")  # a file that is named twice
+    total, any_gap, any_open = blocks.agg(F.sum("_n"), F.bool_or(gaps), F.bool_or("_opens")).first()
+    if any_open or any_gap:
+        numbered = _records(lines, blocks, max(rows_per_task, math.ceil(total / MAX_RANGES)))
     else:
-        rows = _numbered(parts, parts.rows, F.lit(1), "row")
-        numbered = rows.select(F.col(SOURCE_FILE).alias("file"), F.col("row").cast("long").alias("row"), "value")
+        numbered = _numbered(lines, blocks)
     if width is None:
         # A separator inside quotes or over another one counts too, so no record has more fields.
         separators = F.regexp_count("value", F.lit(f"(?={re.escape(_separator(spark, options))})"))
         width = 1 + (numbered.agg(F.max(separators)).first()[0] or 0)
     schema = ", ".join(f"c{i} string" for i in range(1, width + 1))
     record = F.from_csv("value", F.lit(schema), options)
-    cells = F.posexplode(F.array(*[record[f"c{i}"] for i in range(1, width + 1)]))
-    table = numbered.select(
-        "file", F.regexp_replace(F.url_decode(F.substring_index("file", "/", -1)), r"\.[^.]*$", "").alias("sheet"), "row", cells
-    )
+    # `transform` over one element parses a record once for all columns.
+    values = F.flatten(F.transform(F.array(record), lambda r: F.array(*[r[f"c{i}"] for i in range(1, width + 1)])))
+    sheet = F.regexp_replace(F.url_decode(F.substring_index("file", "/", -1)), r"\.[^.]*$", "").alias("sheet")
+    table = numbered.select("file", sheet, "row", values.alias("values")).select(*SHEET, "row", F.posexplode("values"))
     return table.select("file", "sheet", "row", (F.col("pos") + 1).alias("col"), F.col("col").alias("value")).filter(
         _filled(F.col("value"))
     )
