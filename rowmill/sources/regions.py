@@ -112,12 +112,22 @@ def _records(lines: DataFrame, blocks: DataFrame, size: int) -> DataFrame:
     rows = rows.withColumn("_inside", inside)
     behind = F.when(opens == stays, opens).otherwise(F.col("_inside") != (opens & ~stays))
     number = F.col("_carried") + F.sum((~F.col("_inside")).cast("long")).over(here.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    rows = rows.withColumns({"_alone": ~F.col("_inside") & ~behind, "row": number})
-    rows = rows.select(F.col(SOURCE_FILE).alias("file"), "row", "value", "_alone", F.struct(SOURCE_BLOCK, SOURCE_ROW).alias("_line"))
-    in_order = F.sort_array(F.collect_list(F.struct("_line", "value")))
-    text = F.array_join(F.transform(in_order, lambda x: x["value"]), "\n")
-    many = rows.where(~F.col("_alone")).groupBy("file", "row").agg(text.alias("value"))
-    return rows.where("_alone").select("file", "row", "value").unionByName(many)
+    rows = rows.withColumns({"_ended": ~behind, "row": number})
+    alone = ~F.col("_inside") & F.col("_ended")
+    single = rows.where(alone).select(F.col(SOURCE_FILE).alias("file"), "row", "value")
+
+    def joined(parts: DataFrame, keys: list[str], **more: Column) -> DataFrame:
+        """The lines or parts of each record, in order."""
+        in_order = F.transform(F.sort_array(F.collect_list(F.struct("_line", "value"))), lambda x: x["value"])
+        return parts.groupBy(*keys).agg(F.array_join(in_order, "\n").alias("value"), *[c.alias(n) for n, c in more.items()])
+
+    # Only records that lie in several ranges are shuffled again.
+    line = F.struct(SOURCE_BLOCK, SOURCE_ROW).alias("_line")
+    many = rows.where(~alone).select(*spot, "row", "value", "_inside", "_ended", line)
+    parts = joined(many, [*spot, "row"], _line=F.min("_line"), _whole=F.bool_or(~F.col("_inside")) & F.bool_or("_ended"))
+    parts = parts.select(F.col(SOURCE_FILE).alias("file"), "row", "value", "_line", "_whole")
+    whole = parts.where("_whole").select("file", "row", "value")
+    return single.unionByName(whole).unionByName(joined(parts.where(~F.col("_whole")), ["file", "row"]))
 
 
 def _numbered(lines: DataFrame, blocks: DataFrame) -> DataFrame:
